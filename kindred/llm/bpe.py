@@ -32,6 +32,8 @@ LOCKSTEP_BYTES = 64
 #: Characters encoded at a time: bounds a worker's memory.
 CHUNK_CHARS = 1 << 20
 _NEVER = np.int64(1) << 40
+#: Characters that end a chunk as a word of their own.
+_STOPS = frozenset(".,;!?)")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -68,9 +70,13 @@ class PairTable:
 
 
 class Encoder:
-    """Encodes and decodes with one vocabulary file; made once per worker."""
+    """Encodes and decodes with one vocabulary file; made once per worker.
 
-    def __init__(self, path: str):
+    With `speculate` off, every new word is merged exactly, which gives the same ids.
+    """
+
+    def __init__(self, path: str, speculate: bool = True):
+        self.speculate = speculate
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         stand_in = byte_alphabet()
@@ -197,6 +203,10 @@ class Encoder:
     def encode_words(self, words: list[str]) -> list[bytes]:
         """Ids of each word as little-endian 32-bit numbers."""
         raw = [w.encode() for w in words]
+        if not self.speculate:
+            short = [k for k, w in enumerate(raw) if len(w) <= LOCKSTEP_BYTES]
+            exact = dict(zip(short, self.merge_all([raw[k] for k in short]), strict=True))
+            return [exact[k] if k in exact else np.array(self.merge(w), "<u4").tobytes() for k, w in enumerate(raw)]
         guess = [self.propose(w) for w in raw]
         flat = np.array([i for g in guess for i in g], np.int64)
         ends = np.cumsum([len(g) for g in guess]) if guess else np.zeros(0, np.int64)
@@ -222,18 +232,35 @@ class Encoder:
 
     def _learn(self, spaced: list[str], plain: list[str]) -> None:
         """Put chunks that follow a space, and words and chunks that don't, into the caches."""
-        find = self.pattern.findall
-        parts = [find(" " + c) for c in spaced] + [find(c) for c in plain]
-        known, bare = self.spaced, self.plain
-        new = list({w for p in parts for w in p if (w[1:] not in known if w[0] == " " and len(w) > 1 else w not in bare)})
-        for w, ids in zip(new, self.encode_words(new), strict=True):
-            if w[0] == " " and len(w) > 1:
-                known[w[1:]] = ids
+        find, known, bare = self.pattern.findall, self.spaced, self.plain
+        # chunks of one word each, by cache; the others in parts, whose words may be new too
+        one, two, several = set(), set(), []
+        for c in spaced:
+            if c.isalpha():
+                one.add(c)
+            elif c[-1:] in _STOPS and c[:-1].isalpha():
+                several.append((known, c, [" " + c[:-1], c[-1]]))
+            else:
+                several.append((known, c, find(" " + c)))
+        for c in plain:
+            if c.isalpha():
+                two.add(c)
             else:
-                bare[w] = ids
-        for into, chunk, p in zip([known] * len(spaced) + [bare] * len(plain), [*spaced, *plain], parts, strict=True):
+                several.append((bare, c, find(c)))
+        for _, _, parts in several:
+            for w in parts:
+                if w[0] == " " and len(w) > 1:
+                    if w[1:] not in known:
+                        one.add(w[1:])
+                elif w not in bare:
+                    two.add(w)
+        first, second = list(one), list(two)
+        ids = self.encode_words([" " + c for c in first] + second)
+        known.update(zip(first, ids, strict=False))
+        bare.update(zip(second, ids[len(first) :], strict=True))
+        for into, chunk, parts in several:
             if chunk not in into:
-                into[chunk] = b"".join([known[w[1:]] if w[0] == " " and len(w) > 1 else bare[w] for w in p])
+                into[chunk] = b"".join([known[w[1:]] if w[0] == " " and len(w) > 1 else bare[w] for w in parts])
 
     def _encode(self, group: list[str]) -> list[bytes]:
         for cache in (self.spaced, self.plain):
@@ -265,8 +292,7 @@ class Encoder:
                 elif isinstance(kind, int):
                     got.append(kind.to_bytes(4, "little"))
                 else:
-                    got.append(self.plain[kind])
-                    got.extend(map(self.spaced.__getitem__, tail))
+                    got.append(self.plain[kind] + b"".join(map(self.spaced.__getitem__, tail)))
             out.append(b"".join(got))
         return out
 
@@ -288,9 +314,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, speculate: bool = True) -> Encoder:
     """This worker's encoder; workers are reused, so the vocabulary is read once."""
-    return Encoder(path)
+    return Encoder(path, speculate)
 
 
 def id_lists(packed: list[bytes]) -> pa.Array:

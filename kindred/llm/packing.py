@@ -94,7 +94,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id:
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         end = end_id.to_bytes(4, "little")
         cols: list[list] = [[] for _ in range(6)]
-        for doc, packed in zip(batch.column(0).to_pylist(), encoder(vocabulary).encode_batch(texts(batch.column(1))), strict=True):
+        for doc, packed in zip(batch.column(0).to_pylist(), encoder(vocabulary, speculate=False).encode_batch(texts(batch.column(1))), strict=True):
             packed += end
             for start in range(0, len(packed), 4 * capacity):
                 piece = packed[start : start + 4 * capacity]
