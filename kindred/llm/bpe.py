@@ -26,7 +26,7 @@ from kindred.llm.common import map_batches, slim, texts
 #: Fixed value: the byte-level split pattern of the public vocabularies (see public_tokenizers.PATTERN).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Entries a cache may hold before it is emptied: bounds a worker's memory, not what is encoded.
-CACHE_ENTRIES = 700_000
+CACHE_ENTRIES = 500_000
 #: Bytes of a word up to which failing words are merged side by side on arrays; longer ones are merged on a heap.
 LOCKSTEP_BYTES = 64
 #: Characters encoded at a time: bounds a worker's memory.
@@ -333,14 +333,28 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
     return map_batches(slim(docs, id_col, text_col), "doc_id long, ids array<int>", work)
 
 
+def _decoded(own: Encoder, lists: pa.ListArray) -> pa.Array:
+    flat, lengths = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+    ends = np.cumsum(lengths)
+    return pa.array([own.decode(flat[b - n : b].tolist()) for n, b in zip(lengths.tolist(), ends.tolist(), strict=True)], pa.string())
+
+
 def decode_ids(encoded: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, ids, decoded: the text that each list of ids stands for."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own = encoder(vocabulary)
         lists = batch.column("ids")
-        values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
-        decoded = [own.decode(values[a:b].tolist()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, _decoded(encoder(vocabulary), lists)], ["doc_id", "ids", "decoded"])
 
     return map_batches(encoded, "doc_id long, ids array<int>, decoded string", work)
+
+
+def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ids, decoded of each text: decode_ids over encode_documents, in one worker."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own = encoder(vocabulary)
+        lists = id_lists(own.encode_batch(texts(batch.column(1))))
+        return pa.RecordBatch.from_arrays([batch.column(0), lists, _decoded(own, lists)], ["doc_id", "ids", "decoded"])
+
+    return map_batches(slim(docs, id_col, text_col), "doc_id long, ids array<int>, decoded string", work)

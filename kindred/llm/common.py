@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: Fixed value: ASCII white space of the contracts, [\x20\x09-\x0D]. bytes.split(), bytes.strip() use just this set.
 SPACE = " \t\n\x0b\x0c\r"
 
+#: Rows that a worker turns into output at a time.
+SLICE_ROWS = 1024
+
 
 def slim(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns an operator reads, so that no other column of the caller can clash with its own."""
@@ -18,12 +21,13 @@ def slim(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def map_batches(df: DataFrame, schema, work: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> DataFrame:
-    """Apply `work` to each Arrow batch; the batch is the unit of memory."""
+    """Apply `work` to slices of each Arrow batch; the slice is the unit of what a worker holds besides its input."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and (out := work(batch)) is not None:
-                yield out
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                if (out := work(batch.slice(at, SLICE_ROWS))) is not None:
+                    yield out
 
     return df.mapInArrow(run, schema)
 

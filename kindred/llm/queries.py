@@ -63,7 +63,7 @@ def op9_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = bpe.decode_ids(bpe.encode_documents(_table(spark, sf_dir, "documents"), vocabulary()), vocabulary())
+    found = bpe.round_trip(_table(spark, sf_dir, "documents"), vocabulary())
     return found.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
