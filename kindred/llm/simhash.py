@@ -29,6 +29,8 @@ from kindred.plans.session import cut
 WORD_BREAK = r"[ \t\n\x0B\f\r]+"
 #: Neighbouring ids that one window holds, and neighbouring windows that the next level holds.
 NEAR_IDS, NEAR_BUCKETS = 64, 4096
+#: First ids up to this many (16 bytes each) are broadcast.
+BROADCAST_STARTS = 1_000_000
 _PACK = 0x0000000100000001
 BITS = 128
 
@@ -37,31 +39,33 @@ def _bucket() -> Column:
     return F.coalesce(F.floor(F.col("doc_id") / NEAR_IDS).cast("long"), F.lit(-(1 << 60)))
 
 
-def bucket_chain(rows: DataFrame) -> DataFrame:
-    """(_bucket, _after): each bucket of neighbouring ids and the one that follows it, the first following the last."""
-    buckets = rows.select(_bucket().alias("_bucket")).distinct().withColumn("_super", F.floor(F.col("_bucket") / NEAR_BUCKETS))
-    local = buckets.withColumn("_after", F.lead("_bucket").over(Window.partitionBy("_super").orderBy("_bucket")))
+def bucket_starts(rows: DataFrame) -> DataFrame:
+    """(doc_id, _before): the first id of each bucket of neighbouring ids, and the bucket before it; the last one precedes the first."""
+    buckets = rows.select(_bucket().alias("_bucket"), "doc_id").groupBy("_bucket").agg(F.min("doc_id").alias("doc_id")).withColumn("_super", F.floor(F.col("_bucket") / NEAR_BUCKETS))
+    local = buckets.withColumn("_before", F.lag("_bucket").over(Window.partitionBy("_super").orderBy("_bucket")))
     # one row per super-bucket (a quarter of a million ids): the only window without a partition spans a tiny table
     whole = Window.orderBy("_super")
-    supers = buckets.groupBy("_super").agg(F.min("_bucket").alias("lo"))
-    supers = supers.select("_super", F.coalesce(F.lead("lo").over(whole), F.first("lo").over(whole)).alias("_on"))
-    return cut(local.join(supers, "_super").select("_bucket", F.coalesce("_after", "_on").alias("_after")))
+    supers = buckets.groupBy("_super").agg(F.max("_bucket").alias("hi"))
+    supers = supers.select("_super", F.coalesce(F.lag("hi").over(whole), F.last("hi").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_on"))
+    return cut(local.join(supers, "_super").select("doc_id", F.coalesce("_before", "_on").alias("_before")))
 
 
-def with_next(rows: DataFrame, chain: DataFrame, columns: list[str], tie: str) -> DataFrame:
-    """`rows` with next_<column> of the following row by (doc_id, tie), the first row following the last.
+def with_next(rows: DataFrame, starts: DataFrame, columns: list[str], tie: str) -> DataFrame:
+    """`rows` with next_<column> of the following row by (doc_id, tie), the first row following the last, and _bucket.
 
-    Ids are dealt to buckets of neighbours, so the rows are shuffled once and no window spans the table. Only the last
-    row of each bucket needs another bucket's first row; those few are joined along the chain of buckets.
+    Ids are dealt to buckets of neighbours, and the first row of each bucket goes to the bucket before it as well: one
+    shuffle, and no window spans the table. The result stays dealt by _bucket.
     """
-    order = Window.partitionBy("_bucket").orderBy(F.col("doc_id").asc_nulls_first(), tie)
-    following = F.struct(*[F.col(c) for c in columns])
-    ranked = rows.withColumn("_bucket", _bucket()).withColumn("_next", F.lead(following).over(order)).withColumn("_first", F.lag(F.lit(1)).over(order).isNull())
-    inner = ranked.where("_next IS NOT NULL")
-    starts = ranked.where("_first").select(F.col("_bucket").alias("_after"), following.alias("_next"))
-    ends = ranked.where("_next IS NULL").drop("_next").join(chain, "_bucket").join(starts, "_after")
-    both = inner.unionByName(ends.select(*inner.columns))
-    return both.select(*rows.columns, *[F.col("_next").getField(c).alias(f"next_{c}") for c in columns])
+    # up to the bound the first ids (one in NEAR_IDS) are sent to every task; past it they are joined
+    small = F.broadcast(starts) if starts.count() <= BROADCAST_STARTS else starts
+    known = rows.withColumn("_own", _bucket()).join(small.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+    copies = F.when(F.col("_before").isNull(), F.array(F.struct(F.col("_own").alias("b"), F.lit(False).alias("guest")))).otherwise(
+        F.array(F.struct(F.col("_own").alias("b"), F.lit(False).alias("guest")), F.struct(F.col("_before").alias("b"), F.lit(True).alias("guest")))
+    )
+    dealt = known.withColumn("_copy", F.explode(copies)).select(*rows.columns, F.col("_copy.b").alias("_bucket"), F.col("_copy.guest").alias("_guest"))
+    order = Window.partitionBy("_bucket").orderBy("_guest", F.col("doc_id").asc_nulls_first(), tie)
+    found = dealt.withColumn("_next", F.lead(F.struct(*[F.col(c) for c in columns])).over(order)).where("NOT _guest")
+    return found.select(*rows.columns, "_bucket", *[F.col("_next").getField(c).alias(f"next_{c}") for c in columns])
 
 
 def _voted(hashes: list[Column]) -> list[Column]:
@@ -110,17 +114,18 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """Each document's fingerprint beside that of its edited text and of the next document: the columns of the contract."""
     rows = slim(docs, id_col, text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     half = F.expr("cast(n_chars div 2 as int)")
-    chain = bucket_chain(rows)
-    pair = with_next(rows, chain, ["text"], "text").withColumn("n_chars", F.length("text").cast("long"))
+    starts = bucket_starts(rows)
+    pair = with_next(rows, starts, ["text"], "text").withColumn("n_chars", F.length("text").cast("long"))
     pair = pair.withColumn("edited", F.concat(F.expr("substring(text, 1, cast(n_chars - n_chars div 2 as int))"), F.substring(F.col("next_text"), F.lit(1), half)))
     both = pair.withColumn("_row", F.monotonically_increasing_id()).select(
-        "_row", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.sha2("text", 256).alias("_tie"), F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("body")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("body")))).alias("one")
+        "_bucket", "_row", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.sha2("text", 256).alias("_tie"), F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("body")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("body")))).alias("one")
     )
-    keys = ["_row", "doc_id", "n_chars", "edited_sha256", "_tie", "which"]
+    # with _bucket among the keys the votes are counted where the rows already lie
+    keys = ["_bucket", "_row", "doc_id", "n_chars", "edited_sha256", "_tie", "which"]
     found = fingerprint_texts(both.select(*keys[:-1], "one.which", "one.body"), keys, "body")
     mine = lambda which, c: F.max(F.when(F.col("which") == which, F.col(c)))
     wide = found.groupBy(*keys[:-1]).agg(mine(0, "f0").alias("f0"), mine(0, "f1").alias("f1"), mine(1, "f0").alias("e0"), mine(1, "f1").alias("e1"))
-    return with_next(cut(wide), chain, ["f0", "f1"], "_tie").select(
+    return with_next(cut(wide.drop("_bucket")), starts, ["f0", "f1"], "_tie").select(
         "doc_id", "n_chars", "edited_sha256", hex_of("f0", "f1").alias("fingerprint"), hex_of("e0", "e1").alias("edited_fingerprint"),
         likeness(("f0", "f1"), ("e0", "e1")).alias("near_edited"), likeness(("f0", "f1"), ("next_f0", "next_f1")).alias("near_next"),
     )
