@@ -41,12 +41,15 @@ from kindred.llm.shingles import leaves, mix, shingle_sets
 from kindred.operators.components import connected_components
 from kindred.plans.session import cut
 
-#: Members of an open region up to which its open pairs are compared at once: a set meets this many others at most.
-SMALL_REGION = 64
+#: Members of an open region up to which one task bounds its open pairs, on sizes and counters (about 300 bytes a member).
+SMALL_REGION = 2048
 #: New pivots per region and round, for regions that no prefix takes apart.
 PIVOTS = 16
-#: Counters of the bound on the symmetric difference, one byte each.
-COUNTERS = 64
+#: Counters of the bound on the symmetric difference, one byte each; sums of FOLD of them give a coarser, faster bound.
+COUNTERS = 256
+FOLD = 4
+#: Open pairs that a task holds before it hands them on.
+HELD_PAIRS = 1 << 20
 #: Texts handled at a time in a worker.
 SLICE = 256
 #: Ids up to this many (8 bytes each) are broadcast to fetch their texts; more are joined.
@@ -68,11 +71,10 @@ def _set_keys(owner: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
 class JaccardJoin:
     """One join; keeps what its steps share."""
 
-    def __init__(self, docs: DataFrame, words: int, threshold: Fraction):
-        self.docs, self.words, self.t = docs, words, threshold
+    def __init__(self, docs: DataFrame, words: int, threshold: Fraction, small_region: int = SMALL_REGION):
+        self.docs, self.words, self.t, self.small_region = docs, words, threshold, small_region
         # s / (s + 1) < t, and a part of s + 1 members is never matched by one of s
         self.most = max(1, ceil(threshold / (1 - threshold)) - 1) if threshold < 1 else 1 << 30
-        self.tag = f"{words}:{threshold}"
 
     # -- what a text gives ------------------------------------------------------------------------------------------
 
@@ -130,10 +132,9 @@ class JaccardJoin:
 
     # -- exact distances ----------------------------------------------------------------------------------------------
 
-    def verify(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-        """(a, b, both, either, linked) of the pairs (a, b) of keys whose bounds leave a link open."""
-        t = self.t
-        num, den = t.numerator, t.denominator
+    def bounded(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+        """The pairs (a, b) of keys whose sizes and counters leave a link open."""
+        num, den = self.t.numerator, self.t.denominator
         sized = pairs.join(nodes.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a").join(
             nodes.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b"
         )
@@ -146,7 +147,12 @@ class JaccardJoin:
             open_ = np.abs(sa - sb).sum(1) * (den + num) <= n * (den - num)
             return pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(open_)) for c in ("a", "b")], ["a", "b"])
 
-        left = cut(map_batches(sized.select("a", "b", "na", "nb", "sa", "sb"), "a long, b long", bound))
+        return map_batches(sized.select("a", "b", "na", "nb", "sa", "sb"), "a long, b long", bound)
+
+    def verify(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+        """(a, b, both, either, linked) of the pairs (a, b) of keys, from their sets."""
+        num, den = self.t.numerator, self.t.denominator
+        left = cut(pairs)
         keys = left.select(F.col("a").alias("key")).union(left.select("b")).distinct()
         sets = self.sets(keys, nodes)
         both = left.join(sets.select(F.col("key").alias("a"), F.col("members").alias("ma")), "a").join(sets.select(F.col("key").alias("b"), F.col("members").alias("mb")), "b")
@@ -168,28 +174,77 @@ class JaccardJoin:
     def star(self, regions: DataFrame, pivots: DataFrame, nodes: DataFrame) -> DataFrame:
         """Exact distances from the pivots (sig, pivot) to the members (sig, key) of their regions."""
         pairs = regions.join(pivots, "sig").where("key <> pivot").select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct()
-        return self.verify(pairs, nodes)
+        return self.verify(self.bounded(pairs, nodes), nodes)
 
     def open_regions(self, regions: DataFrame, links: DataFrame) -> DataFrame:
-        """(sig, key, comp, size) of the regions of three or more whose members aren't all connected yet."""
+        """(sig, key, comp, size, home) of the regions of three or more whose members aren't all connected yet; home is the least component."""
         comps = connected_components(links)
         named = regions.join(comps.select(F.col("idx").alias("key"), F.col("group_id").alias("comp")), "key", "left").select("sig", "key", F.coalesce("comp", "key").alias("comp"))
         named = cut(named)
         state = named.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi AND size > 2")
-        return cut(named.join(state.select("sig", "size"), "sig"))
+        return cut(named.join(state.select("sig", "size", F.col("lo").alias("home")), "sig"))
 
-    def small(self, opened: DataFrame, measured: DataFrame, pivots: DataFrame, nodes: DataFrame) -> DataFrame:
-        """Links between members of small open regions, where component, size and triangle inequality leave them open."""
-        r = float(1 - self.t) + 1e-9
+    def small(self, opened: DataFrame, measured: DataFrame, pivots: DataFrame, nodes: DataFrame, nearest: bool) -> DataFrame:
+        """Distances within small open regions, of the pairs that component, size, triangle inequality and counters leave open.
+
+        With `nearest`, only of each member's pair of least bound: those links connect most of what is connected at
+        all, and leave fewer pairs open for the call that takes them all.
+        """
+        r, num, den = float(1 - self.t) + 1e-9, self.t.numerator, self.t.denominator
         far = measured.select("a", "b", (1 - F.col("both") / F.col("either")).alias("d"))
         far = far.union(far.select("b", "a", "d")).select(F.col("a").alias("key"), F.col("b").alias("pivot"), "d")
-        near = opened.where(F.col("size") <= SMALL_REGION).join(pivots, "sig").join(far, ["key", "pivot"], "left").join(nodes.select("key", "n"), "key")
-        x, y = near.where("key <> pivot").alias("x"), near.where("key <> pivot").alias("y")
-        num, den = self.t.numerator, self.t.denominator
-        pairs = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")))
-        pairs = pairs.where(F.least("x.n", "y.n") * den >= F.greatest("x.n", "y.n") * num)
-        pairs = pairs.where(F.coalesce(F.abs(F.col("x.d") - F.col("y.d")) <= r, F.lit(True)))
-        return self.verify(pairs.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct(), nodes)
+        rows = opened.where(F.col("size") <= self.small_region).join(pivots, "sig").join(far, ["key", "pivot"], "left").join(nodes.select("key", "n", "sketch"), "key")
+        rows = rows.where("key <> pivot").select("home", "sig", "key", "comp", "n", "sketch", "d")
+
+        def region(part: pa.Table) -> list[np.ndarray]:
+            key, comp, n = (part.column(c).to_numpy() for c in ("key", "comp", "n"))
+            d = part.column("d").to_numpy()  # null is nan, which rules nothing out
+            sketch = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint8).reshape(-1, COUNTERS).astype(np.int16)
+            coarse = sketch.reshape(len(key), -1, FOLD).sum(2, dtype=np.int16)
+            upto = np.searchsorted(n, n * den // num, side="right")  # sorted by n: partners lie between here and there
+            out = []
+            for i in range(len(key) - 1):
+                j = np.arange(i + 1, upto[i])
+                j = j[(comp[j] != comp[i]) & ~(np.abs(d[j] - d[i]) > r)]
+                for counters in (coarse, sketch):
+                    if len(j):
+                        apart = np.abs(counters[j] - counters[i]).sum(1, dtype=np.int64)
+                        near = apart * (den + num) <= (n[j] + n[i]) * (den - num)
+                        j, apart = j[near], apart[near]
+                if len(j):
+                    j = j[[np.argmin(apart / (n[j] + n[i]))]] if nearest else j
+                    out.append(np.stack([np.minimum(key[j], key[i]), np.maximum(key[j], key[i])]))
+            return out
+
+        def stream(batches):
+            """Regions come one after another, those of one home together: most regions of a group of near-copies
+            have the same home, so that a pair open in many of them is handed on once. The region that a batch ends
+            in waits for the next batch."""
+            rest, held, many = None, [], 0
+            for batch in batches:
+                table = pa.Table.from_batches([batch])
+                table = table if rest is None else pa.concat_tables([rest, table])
+                sigs = table.column("sig").to_numpy()
+                starts = np.flatnonzero(np.concatenate([[True], sigs[1:] != sigs[:-1]])) if len(sigs) else []
+                for a, b in zip(starts[:-1], starts[1:], strict=True):
+                    found = region(table.slice(a, b - a))
+                    held, many = held + found, many + sum(x.shape[1] for x in found)
+                    if many > HELD_PAIRS:
+                        held = [np.unique(np.concatenate(held, axis=1), axis=1)]
+                        if held[0].shape[1] > HELD_PAIRS // 2:
+                            yield emit(held)
+                            held = []
+                        many = sum(x.shape[1] for x in held)
+                rest = table.slice(starts[-1]) if len(starts) else None
+            held += region(rest) if rest is not None else []
+            if held:
+                yield emit(held)
+
+        def emit(found: list[np.ndarray]) -> pa.RecordBatch:
+            a, b = np.unique(np.concatenate(found, axis=1), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        return self.verify(rows.repartition("home").sortWithinPartitions("home", "sig", "n", "key").mapInArrow(stream, "a long, b long").distinct(), nodes)
 
     def prefixes(self, keys: DataFrame, nodes: DataFrame) -> DataFrame:
         """Regions (sig, key) by the rarest shingles of each set, rarity being counted among these sets."""
@@ -230,24 +285,23 @@ class JaccardJoin:
         pivots = self.pivots_of(regions, 0)
         measured = self.star(regions, pivots, nodes)
         links = measured.where("linked").select("a", "b")
-        opened = self.open_regions(regions, links)
-        found = self.small(opened, measured, pivots, nodes)
-        links = cut(links.union(found.where("linked").select("a", "b")))
-        large = opened.where(F.col("size") > SMALL_REGION)
         level = 0
-        while not large.isEmpty():
-            # the first time by local rarity; what stays large goes through rounds of new pivots
-            regions = self.prefixes(large.select("key").distinct(), nodes) if level == 0 else cut(large.select("sig", "key"))
-            pivots = self.pivots_of(regions, level, 1 if level == 0 else PIVOTS << min(level, 10))
-            measured = self.star(regions, pivots, nodes)
+        while True:
+            for nearest in (True, False):
+                opened = self.open_regions(regions, links)
+                found = self.small(opened, measured, pivots, nodes, nearest)
+                links = cut(links.union(found.where("linked").select("a", "b")).distinct())
+            large = opened.where(F.col("size") > self.small_region).select("sig", "key")
+            if large.isEmpty():
+                break
+            # the first time dealt anew by local rarity; what stays large goes through rounds of ever more pivots
+            regions = self.prefixes(large.select("key").distinct(), nodes) if level == 0 else large
+            many = self.pivots_of(regions, level, 1 if level == 0 else PIVOTS << min(level, 10))
+            measured = self.star(regions, many, nodes)
             links = cut(links.union(measured.where("linked").select("a", "b")).distinct())
-            if level:
-                regions = cut(regions.join(pivots.withColumnRenamed("pivot", "key"), ["sig", "key"], "left_anti"))
-            opened = self.open_regions(regions, links)
-            one = self.pivots_of(regions, level)
-            found = self.small(opened, measured, one, nodes) if not level else self.verify(self._pairs(opened.where(F.col("size") <= SMALL_REGION)), nodes)
-            links = cut(links.union(found.where("linked").select("a", "b")).distinct())
-            large = opened.where(F.col("size") > SMALL_REGION)
+            if level:  # a pivot has met every member of its region
+                regions = cut(regions.join(many.withColumnRenamed("pivot", "key"), ["sig", "key"], "left_anti"))
+            pivots = cut(many.groupBy("sig").agg(F.min("pivot").alias("pivot")))
             level += 1
         comps = connected_components(links)
         named = nodes.join(comps.withColumnRenamed("idx", "key"), "key", "left").select("key", "first_doc", F.coalesce("group_id", "key").alias("group_id"))
@@ -256,15 +310,10 @@ class JaccardJoin:
         own = F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
         return docs.join(labels, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
 
-    def _pairs(self, opened: DataFrame) -> DataFrame:
-        x, y = opened.alias("x"), opened.alias("y")
-        pairs = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")))
-        return pairs.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
-
 
-def jaccard_components(docs: DataFrame, words: int = 5, threshold: float | str = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, words: int = 5, threshold: float | str = 0.8, id_col: str = "doc_id", text_col: str = "text", small_region: int = SMALL_REGION) -> DataFrame:
     """doc_id, n_shingles, component_id: documents linked by Jaccard similarity of `threshold` or more, transitively."""
     t = Fraction(str(threshold))
     if not 0 < t <= 1:
         raise ValueError("the threshold must be over 0 and at most 1")
-    return JaccardJoin(slim(docs, id_col, text_col), words, t).components()
+    return JaccardJoin(slim(docs, id_col, text_col), words, t, small_region).components()

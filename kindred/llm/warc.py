@@ -145,7 +145,8 @@ def resolve_revisits(records: DataFrame, stretch: int = STRETCH) -> DataFrame:
         "source", "record", "type", "url", "date", "digest", F.col("status").alias("http_status"), "headers", "payload_sha256", "payload_bytes", canonical_url(F.col("url")).alias("canonical_url"), F.to_timestamp("date").alias("at")
     )
     named = named.withColumn("_stretch", F.floor(F.unix_timestamp("at") / stretch))
-    known = cut(named.where("canonical_url IS NOT NULL AND at IS NOT NULL"))
+    named = cut(named)
+    known = named.where("canonical_url IS NOT NULL AND at IS NOT NULL")
     full = F.when((F.col("type") == "response") & (F.col("http_status") == 200), F.struct("source", "record", "at", "digest", "headers", "payload_sha256", "payload_bytes"))
     order = ["at", "source", "record"]
     # what each stretch hands on: the last full response in it, then the last over all earlier stretches of the URL
