@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.plans.session import cut
+from kindred.plans.session import settle
 
 
 def _mark(edges: DataFrame) -> tuple[int, int]:
@@ -37,10 +37,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """
     clean = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
     loops = clean.where("u = v").select(F.col("u").alias("idx"))
-    now = cut(clean.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    now = settle(clean.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = _mark(now)
     while mark[0]:
-        now = cut(_small_star(_large_star(now)))
+        now = settle(_small_star(_large_star(now)))
         before, mark = mark, _mark(now)
         if mark == before:
             break

@@ -38,3 +38,9 @@ def cut(df: DataFrame) -> DataFrame:
     """Write `df` to the checkpoint folder and read it back: replicated files, so a lost executor costs no recomputation."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def settle(df: DataFrame, rows_per_task: int = 100_000) -> DataFrame:
+    """`cut`, read back by as few tasks as its rows need: later shuffles of a small table then write few files."""
+    out = cut(df)
+    return out.coalesce(max(1, -(-out.count() // rows_per_task)))
