@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from kindred.llm.common import map_batches, slim, texts
+from kindred.llm.common import claim, map_batches, slim, texts
 
 #: Fixed value: the byte-level split pattern of the public vocabularies (see public_tokenizers.PATTERN).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -314,9 +314,14 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
+def _encoder(path: str, speculate: bool) -> Encoder:
+    return Encoder(path, speculate)
+
+
 def encoder(path: str, speculate: bool = True) -> Encoder:
     """This worker's encoder; workers are reused, so the vocabulary is read once."""
-    return Encoder(path, speculate)
+    claim("bpe", _encoder.cache_clear)
+    return _encoder(path, speculate)
 
 
 def id_lists(packed: list[bytes]) -> pa.Array:

@@ -40,3 +40,14 @@ def raw_texts(column: pa.Array) -> list[bytes]:
 def texts(column: pa.Array) -> list[str]:
     """Texts; null is empty."""
     return ["" if x is None else x for x in column.to_pylist()]
+
+
+_holders: dict[str, Callable[[], None]] = {}
+
+
+def claim(name: str, clear: Callable[[], None]) -> None:
+    """Say that this worker now works for `name`, whose caches `clear` empties: workers are reused by other operators,
+    and what an earlier one kept is given back first."""
+    _holders[name] = clear
+    for other in [k for k in _holders if k != name]:
+        _holders.pop(other)()

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from kindred.llm.common import map_batches, raw_texts, slim
 from kindred.llm.shingles import leaves, mix, shingle_sets
 from kindred.operators.components import connected_components
-from kindred.plans.session import cut
+from kindred.plans.session import cut, settle
 
 #: Members of an open region up to which one task bounds its open pairs, on sizes and counters (about 300 bytes a member).
 SMALL_REGION = 2048
@@ -115,7 +115,7 @@ class JaccardJoin:
     def sets(self, keys: DataFrame, nodes: DataFrame) -> DataFrame:
         """(key, members): the sorted shingle hashes of the sets with these keys, from the texts of their first rows."""
         words = self.words
-        ids = cut(keys.join(nodes, "key").select(F.col("first_doc").alias("doc_id")).distinct())
+        ids = settle(keys.join(nodes, "key").select(F.col("first_doc").alias("doc_id")).distinct())
         rows = self.docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id").select("doc_id", "text")
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -128,7 +128,7 @@ class JaccardJoin:
                 out_sets += [hashes[s:e].tobytes() for s, e in zip([0, *ends[:-1]], ends, strict=True)]
             return pa.RecordBatch.from_arrays([_signed(np.concatenate(out_keys)), pa.array(out_sets, pa.binary())], ["key", "members"])
 
-        return cut(map_batches(rows, "key long, members binary", work).join(keys, "key", "left_semi").dropDuplicates(["key"]))
+        return settle(map_batches(rows, "key long, members binary", work).join(keys, "key", "left_semi").dropDuplicates(["key"]), 20_000)
 
     # -- exact distances ----------------------------------------------------------------------------------------------
 
@@ -152,7 +152,7 @@ class JaccardJoin:
     def verify(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         """(a, b, both, either, linked) of the pairs (a, b) of keys, from their sets."""
         num, den = self.t.numerator, self.t.denominator
-        left = cut(pairs)
+        left = settle(pairs)
         keys = left.select(F.col("a").alias("key")).union(left.select("b")).distinct()
         sets = self.sets(keys, nodes)
         both = left.join(sets.select(F.col("key").alias("a"), F.col("members").alias("ma")), "a").join(sets.select(F.col("key").alias("b"), F.col("members").alias("mb")), "b")
@@ -167,7 +167,7 @@ class JaccardJoin:
             s, e = np.array(shared, np.int64), np.array(either, np.int64)
             return pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(s), pa.array(e), pa.array(s * den >= e * num)], ["a", "b", "both", "either", "linked"])
 
-        return cut(map_batches(both.select("a", "b", "ma", "mb"), "a long, b long, both long, either long, linked boolean", exact))
+        return settle(map_batches(both.select("a", "b", "ma", "mb"), "a long, b long, both long, either long, linked boolean", exact))
 
     # -- regions ------------------------------------------------------------------------------------------------------
 
@@ -180,9 +180,9 @@ class JaccardJoin:
         """(sig, key, comp, size, home) of the regions of three or more whose members aren't all connected yet; home is the least component."""
         comps = connected_components(links)
         named = regions.join(comps.select(F.col("idx").alias("key"), F.col("group_id").alias("comp")), "key", "left").select("sig", "key", F.coalesce("comp", "key").alias("comp"))
-        named = cut(named)
+        named = settle(named)
         state = named.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi AND size > 2")
-        return cut(named.join(state.select("sig", "size", F.col("lo").alias("home")), "sig"))
+        return settle(named.join(state.select("sig", "size", F.col("lo").alias("home")), "sig"))
 
     def small(self, opened: DataFrame, measured: DataFrame, pivots: DataFrame, nodes: DataFrame, nearest: bool) -> DataFrame:
         """Distances within small open regions, of the pairs that component, size, triangle inequality and counters leave open.
@@ -267,7 +267,7 @@ class JaccardJoin:
     def pivots_of(self, regions: DataFrame, seed: int, many: int = 1) -> DataFrame:
         """(sig, pivot): the members of least hash, one for each of `many` classes."""
         if many == 1:
-            return cut(regions.groupBy("sig").agg(F.min("key").alias("pivot")))
+            return settle(regions.groupBy("sig").agg(F.min("key").alias("pivot")))
         order = F.xxhash64("key", F.lit(seed))
         return cut(regions.groupBy("sig", F.pmod(order, F.lit(many)).alias("c")).agg(F.min_by("key", order).alias("pivot")).drop("c"))
 
@@ -276,12 +276,12 @@ class JaccardJoin:
         scanned = self.scan()
         whole = cut(scanned)
         docs = whole.select("doc_id", "key", "n")
-        nodes = cut(whole.where("n > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.min("n").alias("n"), F.max("sketch").alias("sketch")))
+        nodes = settle(whole.where("n > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.min("n").alias("n"), F.max("sketch").alias("sketch")))
         parts = whole.where("sketch IS NOT NULL").select("key", F.explode("sigs").alias("sig"))
         alike = Window.partitionBy("sig")
         # the window's rows spill, so a part shared by very many sets is bounded by disk, not by memory
         regions = parts.withColumn("lo", F.min("key").over(alike)).withColumn("hi", F.max("key").over(alike)).where("lo <> hi")
-        regions = cut(regions.select("sig", "key").distinct())
+        regions = settle(regions.select("sig", "key").distinct())
         pivots = self.pivots_of(regions, 0)
         measured = self.star(regions, pivots, nodes)
         links = measured.where("linked").select("a", "b")
@@ -290,7 +290,7 @@ class JaccardJoin:
             for nearest in (True, False):
                 opened = self.open_regions(regions, links)
                 found = self.small(opened, measured, pivots, nodes, nearest)
-                links = cut(links.union(found.where("linked").select("a", "b")).distinct())
+                links = settle(links.union(found.where("linked").select("a", "b")).distinct())
             large = opened.where(F.col("size") > self.small_region).select("sig", "key")
             if large.isEmpty():
                 break
@@ -298,15 +298,15 @@ class JaccardJoin:
             regions = self.prefixes(large.select("key").distinct(), nodes) if level == 0 else large
             many = self.pivots_of(regions, level, 1 if level == 0 else PIVOTS << min(level, 10))
             measured = self.star(regions, many, nodes)
-            links = cut(links.union(measured.where("linked").select("a", "b")).distinct())
+            links = settle(links.union(measured.where("linked").select("a", "b")).distinct())
             if level:  # a pivot has met every member of its region
                 regions = cut(regions.join(many.withColumnRenamed("pivot", "key"), ["sig", "key"], "left_anti"))
-            pivots = cut(many.groupBy("sig").agg(F.min("pivot").alias("pivot")))
+            pivots = settle(many.groupBy("sig").agg(F.min("pivot").alias("pivot")))
             level += 1
         comps = connected_components(links)
         named = nodes.join(comps.withColumnRenamed("idx", "key"), "key", "left").select("key", "first_doc", F.coalesce("group_id", "key").alias("group_id"))
         least = named.groupBy("group_id").agg(F.min("first_doc").alias("component_id"))
-        labels = cut(named.join(least, "group_id").select("key", "component_id"))
+        labels = settle(named.join(least, "group_id").select("key", "component_id"))
         own = F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
         return docs.join(labels, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from kindred.llm.common import claim
+
 #: Words whose hashes a worker keeps before it starts afresh.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 200_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -31,6 +33,7 @@ def shingle_sets(raw: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
     A word is a run of anything but [\\x20\\x09-\\x0D], with A-Z lowered; a text with fewer than `words` words is one
     shingle, without words none.
     """
+    claim("shingles", _words.clear)
     if len(_words) > CACHE_ENTRIES:
         _words.clear()
     get = _words.__getitem__

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import map_batches, slim, texts
+from kindred.llm.common import claim, map_batches, slim, texts
 
 #: Hashed features; the model's size, whatever the corpus.
 BUCKETS = 1 << 20
@@ -41,7 +41,7 @@ COMMON = 0.05
 DEVIATIONS = 3.5
 STARTS = (4, 5, 6)
 #: Chunks whose vectors a worker keeps before it starts afresh.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000
 
 _RUNS = re.compile(r"[^\W\d_]+")
 
@@ -162,6 +162,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     schema = T.StructType([*T.StructType.fromDDL("doc_id long, score double, predicted int").fields, *[whole.schema[f"_carry_{c}"] for c in carry]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxicity", lambda: None)
         own = held.value
         at: dict[str, int] = {}
         table = np.zeros((0, 2 + own.factors.shape[1]))
