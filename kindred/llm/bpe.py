@@ -26,7 +26,7 @@ from kindred.llm.common import claim, map_batches, slim, texts
 #: Fixed value: the byte-level split pattern of the public vocabularies (see public_tokenizers.PATTERN).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Entries a cache may hold before it is emptied: bounds a worker's memory, not what is encoded.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 300_000
 #: Bytes of a word up to which failing words are merged side by side on arrays; longer ones are merged on a heap.
 LOCKSTEP_BYTES = 64
 #: Characters encoded at a time: bounds a worker's memory.

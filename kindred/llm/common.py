@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -49,5 +52,11 @@ def claim(name: str, clear: Callable[[], None]) -> None:
     """Say that this worker now works for `name`, whose caches `clear` empties: workers are reused by other operators,
     and what an earlier one kept is given back first."""
     _holders[name] = clear
-    for other in [k for k in _holders if k != name]:
+    others = [k for k in _holders if k != name]
+    for other in others:
         _holders.pop(other)()
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # where the C library can give freed memory back
+            ctypes.CDLL(None).malloc_trim(0)

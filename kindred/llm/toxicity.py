@@ -41,7 +41,7 @@ COMMON = 0.05
 DEVIATIONS = 3.5
 STARTS = (4, 5, 6)
 #: Chunks whose vectors a worker keeps before it starts afresh.
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 120_000
 
 _RUNS = re.compile(r"[^\W\d_]+")
 
@@ -92,11 +92,14 @@ def fit(features: list[np.ndarray], labels: np.ndarray, rank: int = 6, epochs: i
     bias = float(np.log(share / (1 - share)))
     if labels.min() == labels.max():
         return Model(bias, *[getattr(empty, k) for k in ("ids", "linear", "factors")])
-    each = [np.unique(f) for f in features]
-    ids, back, counts = np.unique(np.concatenate(each), return_inverse=True, return_counts=True)
-    toxic = np.bincount(back, np.repeat(labels, [len(f) for f in each]), len(ids))
-    deviation = np.abs(toxic - counts * share) / np.sqrt(counts * share * (1 - share))
-    ids = ids[(counts >= min_docs) & ((deviation >= DEVIATIONS) | (counts >= max(50, COMMON * len(labels))))]
+    counts, toxic = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32)
+    for f, y in zip(features, labels, strict=True):
+        own = np.unique(f)
+        counts[own] += 1
+        if y:
+            toxic[own] += 1
+    deviation = np.abs(toxic - counts * share) / np.sqrt(np.maximum(counts, 1) * share * (1 - share))
+    ids = np.flatnonzero((counts >= min_docs) & ((deviation >= DEVIATIONS) | (counts >= max(50, COMMON * len(labels)))))
     rng = np.random.default_rng(seed)
     local = []
     for f in features:
@@ -149,7 +152,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     got = map_batches(rows, "doc_id long, label int, features binary", work).toArrow()
     order = np.argsort(got["doc_id"].to_numpy(), kind="stable")
-    lists = [np.frombuffer(x, "<i4").astype(np.int64) for x in got["features"].to_pylist()]
+    # views into the Arrow buffers: the features are held once
+    lists = [np.frombuffer(x.as_buffer(), "<i4") for x in got["features"]]
     return fit([lists[i] for i in order], got["label"].to_numpy()[order].astype(float), **options)
 
 
