@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kindred.operators.quality import measure
 
 PICTURE_SCHEMA = "path string, width int, height int, phash string, blur_score double, brightness double"
+VECTOR_SIDE = 16
 
 
 def gray_of(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
@@ -41,8 +42,16 @@ def perceptual_hash(gray: np.ndarray, side: int = 32, low: int = 8) -> str:
     return f"{int(''.join('1' if b else '0' for b in (block > np.median(block)).ravel()), 2):016x}"
 
 
-def measure_pictures(spark: SparkSession, path: str) -> DataFrame:
-    """PICTURE_SCHEMA of the pictures under `path`; those that can't be decoded have NULL sizes and hash and zero quality."""
+def picture_vector(gray: np.ndarray, side: int = VECTOR_SIDE) -> list[float]:
+    """A deterministic stand-in for a model's vector: the small grey picture against its mean, and a constant, so that none is zero."""
+    small = _resize(gray, side).ravel()
+    return [*(small - small.mean()).tolist(), 1.0]
+
+
+def measure_pictures(spark: SparkSession, path: str | list[str], vectors: bool = False) -> DataFrame:
+    """PICTURE_SCHEMA, and with `vectors` also embedding, of the pictures under `path`; those that can't be decoded have NULL
+    sizes, hash and vector and zero quality."""
+    schema = PICTURE_SCHEMA + (", embedding array<float>" if vectors else "")
     rows = spark.read.format("image").option("recursiveFileLookup", "true").load(path).select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
 
     def work(batches):
@@ -50,10 +59,10 @@ def measure_pictures(spark: SparkSession, path: str) -> DataFrame:
             out = []
             for origin, h, w, c, data in pdf.itertuples(index=False):
                 if h <= 0 or w <= 0:
-                    out.append((origin, None, None, None, 0.0, 0.0))
+                    out.append((origin, None, None, None, 0.0, 0.0, *[None] * vectors))
                     continue
                 gray = gray_of(data, h, w, c)
-                out.append((origin, w, h, perceptual_hash(gray), *measure(gray)))
-            yield pd.DataFrame(out, columns=[x.split()[0] for x in PICTURE_SCHEMA.split(", ")]).astype({"width": "Int32", "height": "Int32"})
+                out.append((origin, w, h, perceptual_hash(gray), *measure(gray), *([picture_vector(gray)] if vectors else [])))
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")]).astype({"width": "Int32", "height": "Int32"})
 
-    return rows.mapInPandas(work, PICTURE_SCHEMA).withColumn("path", F.regexp_replace("path", "^file:(//)?", ""))
+    return rows.mapInPandas(work, schema).withColumn("path", F.regexp_replace("path", "^file:(//)?", ""))
