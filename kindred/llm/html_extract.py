@@ -2,12 +2,13 @@
 
 Each page's containers are scored: characters of text outside links and outside menus, adverts, forms, comments and
 the like, weighted by what the tag and class say. A page votes for the path of its best container, where a path is the
-chain of tags with generalised classes (digits dropped, lower case). Votes are summed per host in Spark and each
-host's winning path is used to extract all of its pages again; a page without that path uses its own best container.
+whole chain of tags with all generalised marks (words of class, id and role; digits dropped, lower case, in order of
+the alphabet), held as a digest of fixed length. Votes are summed per host in Spark and each host's winning path is used
+to extract all of its pages again; a page without that path uses its own best container.
 
 Defined results: null or empty html gives an empty text; a page without container gives all of its text outside the
 excluded parts; hosts are compared in lower case, and pages without a host form one host; ties between paths go to
-more characters, then to the least path; repeated pages vote like others; an empty table gives an empty result;
+more characters, then to the least digest; repeated pages vote like others; an empty table gives an empty result;
 columns other than id, url and html are ignored.
 """
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,9 +26,9 @@ from pyspark.sql import functions as F
 from kindred.llm.common import map_batches, texts
 from kindred.plans.session import cut
 
-#: Winning paths up to this many hosts are broadcast (a path is at most MAX_PATH characters); more are joined.
+#: Winning paths up to this many hosts are broadcast (a path is PATH_BYTES as hex digits); more are joined.
 BROADCAST_HOSTS = 100_000
-MAX_PATH = 400
+PATH_BYTES = 16
 SALTS = 16
 
 #: Elements by their role, from the HTML standard.
@@ -51,6 +53,12 @@ _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style)\b(?:\s*=\s*(?:"([^"]*
 _DIGITS = re.compile(r"[0-9]+")
 
 
+def path_of(parent: str, name: str, marks: str) -> str:
+    """Digest of the chain that ends in a tag with these marks, below the chain `parent`."""
+    # names and marks hold no white space, so different chains are different bytes
+    return blake2b(" ".join([parent, name, *sorted(marks.split())]).encode("utf-8", "surrogatepass"), digest_size=PATH_BYTES).hexdigest()
+
+
 class Page:
     """What one scan of a page finds: pieces of kept text and the containers around them.
 
@@ -103,8 +111,7 @@ class Page:
         if name in EXCLUDED or hidden or (marks.strip() and name not in ("html", "body", "article", "main") and UNWANTED.search(marks)):
             excluded = True
         if name not in INLINE:
-            own = ".".join(marks.split()[:2])
-            path = f"{path}>{name}.{own}"[:MAX_PATH] if own else f"{path}>{name}"[:MAX_PATH]
+            path = path_of(path, name, marks)
         if name in CONTAINERS and not excluded:
             weight = WEIGHTS.get(name, 1.0)
             if name not in WEIGHTS and (WANTED.search(marks) or "main" in marks):

@@ -109,6 +109,19 @@ def test_html_by_host_paths(spark):
     assert html_extract.extract_pages(frame.where("false")).count() == 0
 
 
+def test_html_paths_hold_the_whole_chain(spark):
+    """The article alone, below more than 400 characters of chain and where siblings differ in the third mark only."""
+    deep = "".join(f"<section class='builder-section layout-{x} stretched'><div class='builder-container width-{x}'><div class='builder-column size-{x}'><div class='builder-wrap populated-{x}'>" for x in ("outer", "middle", "inner", "last"))
+    text, teaser = "the text of the article itself " * 9, "teaser of another page "
+    marked = f"<div class='col pad article-body'>{text}</div><div class='col pad teaser-list'>{teaser}</div>"
+    rows = [(1, "http://deep/1", f"<body>{deep}<article>{text}</article><p>{teaser}</p></body>"), (2, "http://wide/1", f"<body>{marked}</body>"), (3, "http://wide/2", f"<body>{marked.replace('col pad article-body', 'pad article-body col')}</body>")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for limit in (1000, 0):
+        got = html_extract.extract_pages(frame, broadcast_hosts=limit).collect()
+        assert {r.page_id: r.text for r in got} == dict.fromkeys((1, 2, 3), text.strip())
+        assert {len(r.path) for r in got} == {32} and len({r.path for r in got}) == 2
+
+
 def test_simhash_columns(spark, docs, empty):
     ordered = sorted(CASES, key=lambda c: (c[0] is not None, c[0] or 0, hashlib.sha256((c[1] or "").encode()).hexdigest()))
     got = {r.doc_id: r for r in simhash.edited_fingerprints(docs).collect()}
