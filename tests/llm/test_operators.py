@@ -122,6 +122,20 @@ def test_html_paths_hold_the_whole_chain(spark):
         assert {len(r.path) for r in got} == {32} and len({r.path for r in got}) == 2
 
 
+def test_html_wrappers_named_after_what_they_sit_beside(spark):
+    text, note = "the text of the article itself " * 9, "a note that nobody asked for "
+    junk = f"<div class='share-buttons'>{note}</div><div class='comments-area'>{note * 40}</div><section class='comments'><article>{note * 40}</article></section><div class='sidebar'><article>{note}</article></div>"
+    bodies = [f"<div class='{c}'><div class='entry'><h2 class='section-header'>Head</h2><p>{text}</p></div></div>{junk}" for c in ("content-sidebar-wrap", "has-sidebar", "site-content no-sidebar", "side-by-side", "entry-content social-enabled", "entry comments-open", "content-comments-wrap")]
+    bodies += [f"<div class='sidebar'><article><h2 class='section-header'>Head</h2><p>{text}</p></article></div>{junk}", f"<div class='discussion'><main><h2>Head</h2>{text}</main></div>{junk}"]
+    # nothing is left without the wrapper, so the page is taken without the rule
+    bodies += [f"<div class='search'><h2>Head</h2>{text}</div>"]
+    # a comment inside the article goes, however long it is
+    bodies += [f"<article><h2>Head</h2>{text}<div id='comments'><article>{note * 40}</article></div></article>"]
+    rows = [(i, f"http://host{i}/", f"<body>{b}</body>") for i, b in enumerate(bodies)]
+    got = html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == dict.fromkeys(range(len(bodies)), f"Head {text}".strip())
+
+
 def test_simhash_columns(spark, docs, empty):
     ordered = sorted(CASES, key=lambda c: (c[0] is not None, c[0] or 0, hashlib.sha256((c[1] or "").encode()).hexdigest()))
     got = {r.doc_id: r for r in simhash.edited_fingerprints(docs).collect()}
