@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from kindred.functions.decide import Thresholds, decide
 from kindred.functions.features import fingerprint_distance, l2_normalize
 from kindred.operators.candidates import hamming_pairs, one_sided, top_k
-from kindred.operators.cluster import linkage_labels, split_groups
+from kindred.operators.cluster import chain_labels, linkage_labels, split_groups
 from kindred.operators.components import connected_components
 from kindred.operators.evidence import best_pairs
 from kindred.operators.quality import QualityLimits
@@ -114,6 +114,45 @@ def test_agglomerative_rules(spark):
     assert len(set(linkage_labels(exact, float(exact[0] @ exact[1]) + 1e-12, "complete"))) == 2
 
 
+def _sets(labels):
+    return {frozenset(np.flatnonzero(labels == x)) for x in set(labels)}
+
+
+@pytest.mark.parametrize("linkage", ["complete", "average"])
+def test_chain_finds_the_clusters_of_the_matrix(linkage):
+    rng = np.random.default_rng(6)
+    for least, dims, kept in ((0.97, 3, 0), (0.9, 4, 10**6), (-0.2, 3, 0), (1.0, 3, 0)):
+        v = rng.normal(size=(300, dims))
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        w = rng.integers(1, 5, 300)
+        assert _sets(chain_labels(v, least, linkage, w, kept)) == _sets(linkage_labels(v, least, linkage, w))
+        # a row of weight w is w equal rows
+        if least < 1:
+            many = linkage_labels(np.repeat(v, w, axis=0), least, linkage)
+            assert {frozenset(np.repeat(np.arange(300), w)[list(x)]) for x in _sets(many)} == _sets(linkage_labels(v, least, linkage, w))
+
+
+@pytest.mark.parametrize("linkage", ["complete", "average"])
+def test_agglomerative_splits_groups_past_the_matrix(spark, linkage):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(60, 3))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    v = np.concatenate([v, v[:20], np.repeat(v[:1], 6000, axis=0), np.zeros((2, 3))])
+    rows = spark.createDataFrame([(i, 0, x.tolist()) for i, x in enumerate(v)], "idx long, group_id long, embedding array<double>")
+    few = np.concatenate([np.arange(80), [len(v) - 2, len(v) - 1]])
+    w = np.ones(82, int)
+    w[0] += 6000
+    labels = linkage_labels(v[few], 0.9, linkage, w)
+    want = {}
+    for x in _sets(labels):
+        part = few[list(x)]
+        if len(part) > 1 or 0 in part:
+            want |= dict.fromkeys([int(i) for i in part] + (list(range(80, 6080)) if 0 in part else []), int(part.min()))
+    for most in (5000, 10):
+        got = split_groups(rows.select("idx", "group_id"), rows.select("idx", "embedding"), 0.9, linkage, most).collect()
+        assert len(got) == len(want) and {r.idx: r.group_id for r in got} == want
+
+
 def test_selection_is_exact_repeatable_and_blind_to_scale(spark):
     base = [(0, [1.0, 0.0]), (1, [0.9, 0.1]), (2, [0.0, 1.0]), (3, [0.1, 0.9]), (4, [-1.0, 0.0])]
     rows = spark.createDataFrame(base, "idx long, embedding array<float>")
