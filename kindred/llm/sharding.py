@@ -25,6 +25,8 @@ from kindred.plans.session import cut
 
 #: Rows of a block at most, and of a bucket of a shard on average: what one window holds.
 BLOCK_ROWS = 1 << 15
+#: Rows drawn at once where the total is past numpy's limit.
+DRAWN_AT_ONCE = 1 << 20
 
 
 def communication_matrix(blocks: np.ndarray, shards: int, seed: int) -> np.ndarray:
@@ -51,18 +53,22 @@ def _draw(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
         return n
     if good + bad < 10**9:
         return int(rng.hypergeometric(good, bad, n))
-    # numpy's limit: split the larger side at random, which leaves the law unchanged
-    half = (good + bad) // 2
-    first = _draw_big(rng, good + bad, half, n)
-    good_first = _draw_big(rng, good + bad, half, good)
-    return _draw(rng, good_first, half - good_first, first) + _draw(rng, good - good_first, bad + half - (good + bad) + good_first, n - first)
-
-
-def _draw_big(rng: np.random.Generator, total: int, marked: int, n: int) -> int:
-    """Hypergeometric for totals past numpy's limit: the normal limit law, rounded and clipped to the support."""
-    p = marked / total
-    sd = (n * p * (1 - p) * (total - n) / max(1, total - 1)) ** 0.5
-    return int(min(max(round(rng.normal(n * p, sd)), n - (total - marked), 0), n, marked))
+    # past numpy's limit: marked and drawn rows, and drawn and left ones, can change places without changing the law
+    total = good + bad
+    if n > total - n:
+        return good - _draw(rng, good, bad, total - n)
+    if good < n:
+        return _draw(rng, n, total - n, good)
+    # the least of the counts is drawn row by row, some at a time, without repeats
+    found = 0
+    while n:
+        some = min(n, DRAWN_AT_ONCE)
+        rows = np.unique(rng.integers(0, total, some))
+        while len(rows) < some:
+            rows = np.union1d(rows, rng.integers(0, total, some - len(rows)))
+        hits = int((rows < good).sum())
+        found, good, total, n = found + hits, good - hits, total - some, n - some
+    return found
 
 
 def shuffle_to_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 16, seed: int = 7, block_rows: int = BLOCK_ROWS) -> DataFrame:

@@ -97,6 +97,25 @@ def test_shards_are_exact_and_gapless(spark, docs, empty):
     assert matrix.sum(1).tolist() == [3, 0, 10, 7] and set(matrix.sum(0)) <= {3, 4}
 
 
+def test_draws_from_very_many_rows_are_exact():
+    class Exact:
+        """Draws whole numbers only: no limit law stands in for the hypergeometric one."""
+
+        def __init__(self, seed):
+            rng = np.random.default_rng(seed)
+            self.integers, self.hypergeometric = rng.integers, rng.hypergeometric
+
+    total, rng = 3 * 10**9, Exact(3)
+    got = Counter(sharding._draw(rng, total // 4, total - total // 4, 2) for _ in range(20_000))
+    assert all(abs(got[k] / 20_000 - p) < 0.02 for k, p in ((0, 9 / 16), (1, 6 / 16), (2, 1 / 16)))
+    # the other ways round: few marked rows, and all but a few drawn
+    got = Counter(sharding._draw(rng, 2, total - 2, total // 4) for _ in range(20_000))
+    assert all(abs(got[k] / 20_000 - p) < 0.02 for k, p in ((0, 9 / 16), (1, 6 / 16), (2, 1 / 16)))
+    assert sharding._draw(rng, total - 5, 5, total - 1) in (total - 5, total - 6)
+    matrix = sharding.communication_matrix(np.array([total, 40_000, 7]), 1, 1)
+    assert matrix.tolist() == [[total], [40_000], [7]]
+
+
 def test_html_by_host_paths(spark):
     page = lambda body: f"<html><head><title>t</title></head><body><nav>menu</nav><div class='ad-1'>buy</div>{body}<footer>f</footer>"
     main = "<div class='c12 x'><h1>Ti&amp;le</h1><p>First <b>bo</b>ld<br>line<p>two &lt;3<script>var a='</p>'</script></div><section class=comments><p>long long long reader comment</p></section>"
