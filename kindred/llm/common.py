@@ -18,9 +18,21 @@ SPACE = " \t\n\x0b\x0c\r"
 SLICE_ROWS = 1024
 
 
+def quoted(name: str) -> str:
+    """A column's name as Spark's expressions take it, whatever is in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def slim(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns an operator reads, so that no other column of the caller can clash with its own."""
-    return df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    return df.select(F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(text_col)).alias("text"))
+
+
+def with_carried(df: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...]) -> DataFrame:
+    """The two columns an operator reads, and those it hands through, as fields of one struct `carried`: their names can't
+    clash with any column of the operator's own."""
+    own = [F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(text_col)).alias("text")]
+    return df.select(*own, F.struct(*[F.col(quoted(c)).alias(c) for c in carry]).alias("carried")) if carry else df.select(*own)
 
 
 def map_batches(df: DataFrame, schema, work: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> DataFrame:

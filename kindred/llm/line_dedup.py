@@ -8,7 +8,8 @@ so no line text is ever joined or shuffled: only (hash, doc_id) pairs and, past
 Defined results: a null or empty text is one empty line; lines whose key has fewer than `min_chars` code points are
 always kept; a line repeated inside the document that keeps it stays repeated; rows that repeat a doc_id count as one
 document and each gets its own result row; rows with a null doc_id hold no line (they are not counted) and keep all
-of theirs; an empty table gives an empty result. Other columns of the input are ignored.
+of theirs; an empty table gives an empty result. Other columns of the input are ignored, or handed through in one struct,
+so that their names can't clash with the result's.
 
 The fingerprint is the full 64 bits of the hash: with 32 bits one unindexed line in four billion would be dropped
 wrongly, which a corpus of 10^12 lines would notice.
@@ -26,14 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kindred.llm.common import map_batches, raw_texts, slim
+from kindred.llm.common import map_batches, raw_texts, with_carried
 from kindred.plans.session import cut
 
 #: Keys of a shard on average; shards are dealt by hash, so none is much larger.
 SHARD_KEYS = 1 << 16
 #: Indexes up to this many bytes are broadcast; larger ones are probed where they lie.
 BROADCAST_BYTES = 48 << 20
-#: Probes of one shard and salt on average, on the path without a broadcast.
+#: Probes that one task holds of a shard, on the path without a broadcast: a shard with more is probed by several tasks.
 SALT_PROBES = 1 << 20
 
 _SHARD_SCHEMA = "shard long, sizes array<long>, bits binary, fingerprint binary, n_docs binary, last_doc binary"
@@ -152,23 +153,23 @@ def _result(batch: pa.RecordBatch, drops_of, min_chars: int) -> pa.RecordBatch:
     """The batch, its text replaced by the kept lines, with the two counts."""
     rows = [_drop(text, doc, drops, min_chars) for doc, text, drops in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1)), drops_of, strict=True)]
     columns = [batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary()).cast(pa.string())]
-    carried = [n for n in batch.schema.names[2:] if n != "_drops"]
+    carried = [n for n in batch.schema.names if n == "carried"]
     return pa.RecordBatch.from_arrays([*columns, *[batch.column(n) for n in carried]], ["doc_id", "n_lines", "n_dropped", "kept_text", *carried])
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, carry: tuple[str, ...] = (), broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, carry: tuple[str, ...] = (), broadcast_bytes: int = BROADCAST_BYTES, salt_probes: int = SALT_PROBES) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_text of each row of `docs`.
 
     A line goes if its key is found in `min_docs` documents or more and this document is not the largest of them.
     An index of at most `broadcast_bytes` is sent to every executor and documents are read once more; a larger one
     stays sharded, the documents' hashes travel to it, and only the hashes to drop travel back. Columns named in
-    `carry` come through unchanged after these four.
+    `carry` come through unchanged as fields of a struct `carried`.
     """
-    whole = slim(docs, id_col, text_col) if not carry else docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), *[F.col(f"`{c}`") for c in carry])
+    whole = with_carried(docs, id_col, text_col, carry)
     keys = document_keys(whole.select("doc_id", "text"), min_chars)
     index, shards, n = build_index(keys, min_docs)
     schema = T.StructType.fromDDL("doc_id long, n_lines long, n_dropped long, kept_text string")
-    schema = T.StructType([*schema.fields, *[whole.schema[c] for c in carry]])
+    schema = T.StructType([*schema.fields, *whole.schema.fields[2:]])
     if n * 24 <= broadcast_bytes:
         held = docs.sparkSession.sparkContext.broadcast({r.shard: (r.sizes, bytes(r.bits), bytes(r.fingerprint), bytes(r.n_docs), bytes(r.last_doc)) for r in index.toLocalIterator()})
 
@@ -188,10 +189,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         return whole.mapInArrow(probe, schema)
 
-    probes = keys.distinct().withColumn("shard", F.pmod("h", F.lit(shards)))
-    salts = max(1, -(-probes.count() // (SALT_PROBES * shards)))
-    probes = probes.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
-    salted = index.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    probes = cut(keys.distinct().withColumn("shard", F.pmod("h", F.lit(shards))))
+    # each shard has as many salts as its own probes need: a line of very many documents loads one shard alone
+    salts = F.floor((F.col("probes") - 1) / salt_probes + 1)
+    dealt = probes.groupBy("shard").agg(F.count(F.lit(1)).alias("probes")).select("shard", salts.alias("salts")).where("salts > 1")
+    many = {r.shard: r.salts for r in dealt.toLocalIterator()}  # at most probes / salt_probes shards
+    table = F.broadcast(docs.sparkSession.createDataFrame(sorted(many.items()), "shard long, salts long"))
+    probes = probes.join(table, "shard", "left").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.coalesce("salts", F.lit(1)))).drop("salts")
+    salted = index.join(table, "shard", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
 
     def routed(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         hs, ids = left["h"].to_numpy(np.int64), left["doc_id"].to_numpy(np.int64)
@@ -207,4 +212,4 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
         return _result(batch, [set(d or ()) for d in batch.column("_drops").to_pylist()], min_chars)
 
-    return map_batches(whole.join(drops, "doc_id", "left").select("doc_id", "text", *[F.col(f"`{c}`") for c in carry], "_drops"), schema, apply)
+    return map_batches(whole.join(drops, "doc_id", "left").select(*whole.columns, "_drops"), schema, apply)
