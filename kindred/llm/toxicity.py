@@ -13,7 +13,7 @@ Defined results: a null or empty text, or one without letters, has the score of
 are ignored, and of repeated labels of one document the largest counts; without any label to learn from every score is
 0.5, and with labels of one class only, the smoothed share of that class; repeated documents get equal scores;
 documents with a null doc_id are scored, never learned from; an empty table gives an empty result. Columns other than
-id and text are ignored.
+id and text are ignored, or handed through in one struct, so that their names can't clash with the result's.
 """
 
 from __future__ import annotations
@@ -27,18 +27,23 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from kindred.llm.common import claim, map_batches, slim, texts
+from kindred.llm.common import claim, map_batches, slim, texts, with_carried
 
 #: Hashed features; the model's size, whatever the corpus.
 BUCKETS = 1 << 20
 #: Labelled documents to learn from, at most.
 MAX_ROWS = 10_000
 #: Features seen in fewer training documents get no weight, nor do those that are neither common (in this share of the
-#: training documents) nor seen with one label more often than chance would have it (in standard deviations).
+#: training documents) nor seen with one label more often than chance would have it (in standard deviations), alone or with another.
 MIN_DOCS = 4
 COMMON = 0.05
 DEVIATIONS = 3.5
+#: Features that are kept for a pair's sake: of the PAIRED most frequent ones that no single test keeps, those of pairs that
+#: one label has more often than chance would have it (a likelihood ratio, in nats, over what so many pairs give anyway).
+PAIRED = 2048
+PAIR_SURPRISE = 8.0
 STARTS = (4, 5, 6)
 #: Chunks whose vectors a worker keeps before it starts afresh.
 CACHE_ENTRIES = 120_000
@@ -83,6 +88,37 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
+def paired_features(features: list[np.ndarray], labels: np.ndarray, candidates: np.ndarray, share: float, min_docs: int = 8, surprise: float = PAIR_SURPRISE) -> np.ndarray:
+    """Those of the candidates (sorted ids) that tell the labels only together with another one of them.
+
+    Equal documents count once, so that a document with many copies doesn't speak for its words.
+    """
+    if len(candidates) < 2:
+        return candidates[:0]
+    rows: dict[bytes, int] = {}
+    for k, f in enumerate(features):
+        rows.setdefault(np.unique(f).tobytes(), k)
+    kept = np.array(sorted(rows.values()))
+    both = np.zeros((2, len(candidates), len(candidates)), np.float32)
+    for a in range(0, len(kept), 1024):
+        part = kept[a : a + 1024]
+        there = np.zeros((len(part), len(candidates)), np.float32)
+        for r, k in enumerate(part):
+            at = np.searchsorted(candidates, features[k])
+            at[at == len(candidates)] = 0
+            there[r, at[candidates[at] == features[k]]] = 1
+        for y in (0, 1):
+            mine = there[labels[part] == y]
+            both[y] += mine.T @ mine
+    n = both[0] + both[1]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        p = both[1] / n
+        gain = n * (np.nan_to_num(p * np.log(p / share)) + np.nan_to_num((1 - p) * np.log((1 - p) / (1 - share))))
+    told = (n >= min_docs) & (gain >= surprise + 2 * np.log(len(candidates)))
+    np.fill_diagonal(told, False)
+    return candidates[told.any(1)]
+
+
 def fit(features: list[np.ndarray], labels: np.ndarray, rank: int = 6, epochs: int = 12, rate: float = 0.15, penalty: float = 2e-4, batch: int = 128, min_docs: int = MIN_DOCS, seed: int = 11) -> Model:
     """Logistic factorization machine by AdaGrad over mini-batches, in a fixed order of seeds."""
     empty = Model(0.0, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, rank)))
@@ -99,7 +135,10 @@ def fit(features: list[np.ndarray], labels: np.ndarray, rank: int = 6, epochs: i
         if y:
             toxic[own] += 1
     deviation = np.abs(toxic - counts * share) / np.sqrt(np.maximum(counts, 1) * share * (1 - share))
-    ids = np.flatnonzero((counts >= min_docs) & ((deviation >= DEVIATIONS) | (counts >= max(50, COMMON * len(labels)))))
+    alone = (counts >= min_docs) & ((deviation >= DEVIATIONS) | (counts >= max(50, COMMON * len(labels))))
+    others = np.flatnonzero(~alone & (counts >= max(min_docs, 8)))
+    others = np.sort(others[np.argsort(-counts[others], kind="stable")[:PAIRED]])
+    ids = np.union1d(np.flatnonzero(alone), paired_features(features, labels, others, share))
     rng = np.random.default_rng(seed)
     local = []
     for f in features:
@@ -158,12 +197,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, score, predicted of each text, then the columns named in `carry`, unchanged."""
-    from pyspark.sql import types as T
-
-    whole = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), *[F.col(f"`{c}`").alias(f"_carry_{c}") for c in carry])
+    """doc_id, score, predicted of each text; with `carry` also text and `carried`, a struct of the columns named, unchanged."""
+    whole = with_carried(docs, id_col, text_col, carry)
     held = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([*T.StructType.fromDDL("doc_id long, score double, predicted int").fields, *[whole.schema[f"_carry_{c}"] for c in carry]])
+    through = whole.schema.fields[1:] if carry else []
+    schema = T.StructType([*T.StructType.fromDDL("doc_id long, score double, predicted int").fields, *through])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("toxicity", lambda: None)
@@ -188,7 +226,6 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                     total[full] = np.add.reduceat(table[flat], (np.cumsum(lengths) - lengths)[full])
                 sums.append(total)
             got = own.scores(np.concatenate(sums)) if sums else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got), pa.array((got >= threshold).astype(np.int32)), *batch.columns[2:]], schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got), pa.array((got >= threshold).astype(np.int32)), *(batch.columns[1:] if carry else [])], schema.names)
 
-    out = whole.mapInArrow(run, schema)
-    return out.select("doc_id", "score", "predicted", *[F.col(f"`_carry_{c}`").alias(c) for c in carry])
+    return whole.mapInArrow(run, schema)
