@@ -11,8 +11,12 @@ one row per URL and stretch.
 
 Defined results: a revisit without an earlier full response has status `no_response`; one whose validators differ has
 `validator_mismatch` and no payload; a revisit with no validator at all is accepted; null or unparsable URLs resolve
-with nothing (`no_url`); repeated records are resolved each; a damaged record ends its file with one row that has
-`error` set; null or empty content gives no rows. Other columns are ignored.
+with nothing (`no_url`), and so do records whose date can't be read; repeated records are resolved each; records of equal
+time go by (source, record); a damaged record or gzip member ends its file with one row that has `error` set, after the
+records before it; null or empty content gives no rows; an empty table gives an empty result. A header field that is
+repeated has its values joined by ", ", Set-Cookie, whose values may hold commas, by line ends. Other columns are ignored.
+
+A file is one value in a worker, so files must be smaller than 2 GB each, as web archives by custom are.
 """
 
 from __future__ import annotations
@@ -45,30 +49,41 @@ def record_bytes(kind: str, url: str, date: str, http: bytes, extra: dict[str, s
 
 
 def _fields(block: bytes) -> dict[str, str]:
-    out: dict[str, str] = {}
-    last = None
+    """Fields by name in lower case; values of a repeated one are joined."""
+    rows: list[list[str]] = []
     for line in block.split(b"\r\n"):
-        if line[:1] in (b" ", b"\t") and last:
-            out[last] += " " + line.strip().decode("utf-8", "replace")
+        if line[:1] in (b" ", b"\t") and rows:
+            rows[-1][1] += " " + line.strip().decode("utf-8", "replace")
             continue
         name, colon, value = line.partition(b":")
         if colon:
-            last = name.strip().decode("latin-1").lower()
-            out[last] = value.strip().decode("utf-8", "replace")
+            rows.append([name.strip().decode("latin-1").lower(), value.strip().decode("utf-8", "replace")])
+    out: dict[str, str] = {}
+    for name, value in rows:
+        out[name] = value if name not in out else out[name] + ("\n" if name == "set-cookie" else ", ") + value
     return out
 
 
+def _members(data: bytes):
+    """The plain bytes, and the error that ended them."""
+    plain = []
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        try:
+            plain.append(member.decompress(data))
+        except zlib.error as e:
+            return b"".join(plain), f"a gzip member is damaged: {e}"
+        if not member.eof:
+            return b"".join(plain), "a gzip member is cut off"
+        data = member.unused_data
+    return b"".join(plain), None
+
+
 def parse_records(data: bytes):
     """(warc fields, http status, http headers, payload) of each record; raises ValueError at the first damaged one."""
+    error = None
     if data[:2] == b"\x1f\x8b":
-        plain, rest = [], data
-        while rest[:2] == b"\x1f\x8b":
-            member = zlib.decompressobj(31)
-            plain.append(member.decompress(rest))
-            if not member.eof:
-                raise ValueError("a gzip member is cut off")
-            rest = member.unused_data
-        data = b"".join(plain)
+        data, error = _members(data)
     at = 0
     while at < len(data):
         if data[at : at + 5] != b"WARC/":
@@ -92,6 +107,8 @@ def parse_records(data: bytes):
         at = end + 4 + int(length)
         while data[at : at + 2] == b"\r\n":
             at += 2
+    if error:
+        raise ValueError(error)
 
 
 def parse_warc(files: DataFrame, id_col: str = "source", content_col: str = "content") -> DataFrame:
@@ -142,7 +159,7 @@ def merged_headers(stored: Column, update: Column) -> Column:
 def resolve_revisits(records: DataFrame, stretch: int = STRETCH) -> DataFrame:
     """Each revisit (source, record, url, date) with canonical_url, status, the response it stands for and its merged headers."""
     named = records.where("type IN ('response', 'revisit') AND error IS NULL").select(
-        "source", "record", "type", "url", "date", "digest", F.col("status").alias("http_status"), "headers", "payload_sha256", "payload_bytes", canonical_url(F.col("url")).alias("canonical_url"), F.to_timestamp("date").alias("at")
+        "source", "record", "type", "url", "date", "digest", F.col("status").alias("http_status"), "headers", "payload_sha256", "payload_bytes", canonical_url(F.col("url")).alias("canonical_url"), F.try_to_timestamp("date").alias("at")
     )
     named = named.withColumn("_stretch", F.floor(F.unix_timestamp("at") / stretch))
     named = cut(named)
