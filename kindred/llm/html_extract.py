@@ -32,10 +32,9 @@ from pyspark.sql import functions as F
 from kindred.llm.common import map_batches, texts
 from kindred.plans.session import cut
 
-#: Winning paths up to this many hosts are broadcast (a path is PATH_BYTES as hex digits); more are joined.
+#: Winning paths of up to this many hosts, those with most votes, are broadcast (a path is PATH_BYTES as hex digits).
 BROADCAST_HOSTS = 100_000
 PATH_BYTES = 16
-SALTS = 16
 #: An element with an unwanted word in a part of its marks goes below this share of the page's text outside links.
 SMALL = 0.25
 
@@ -241,7 +240,7 @@ def host_of(url):
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """host, path: the path with most votes among the pages (page_id, host, html) of each host."""
+    """host, path, pages: the path with most votes among the pages (page_id, host, html) of each host, and how many voted."""
 
     def vote(batch: pa.RecordBatch) -> pa.RecordBatch:
         best = [Page(x).best() if x else ("", 0.0) for x in texts(batch.column("html"))]
@@ -250,7 +249,7 @@ def host_paths(pages: DataFrame) -> DataFrame:
     votes = map_batches(pages.select("host", "html"), "host string, path string, score double", vote).where("score > 0")
     summed = votes.groupBy("host", "path").agg(F.count(F.lit(1)).alias("votes"), F.sum(F.floor("score")).alias("chars"))
     # least path last: negated order isn't there for text, so the winner is the minimum of negated counts
-    return summed.groupBy("host").agg(F.min_by("path", F.struct(-F.col("votes"), -F.col("chars"), "path")).alias("path"))
+    return summed.groupBy("host").agg(F.min_by("path", F.struct(-F.col("votes"), -F.col("chars"), "path")).alias("path"), F.sum("votes").alias("pages"))
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_hosts: int = BROADCAST_HOSTS) -> DataFrame:
@@ -263,14 +262,17 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
         out = [Page(x).text(p) if x else "" for x, p in zip(texts(batch.column("html")), chosen, strict=True)]
         return pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array(chosen, pa.string())], ["page_id", "url", "text", "path"])
 
-    if paths.count() <= broadcast_hosts:
-        held = pages.sparkSession.sparkContext.broadcast({r.host: r.path for r in paths.toLocalIterator()})
+    # the hosts with most pages, never more than the bound: only pages of the others are shuffled, to hosts that are small
+    top = paths.orderBy(F.desc("pages"), "host").limit(broadcast_hosts)
+    held = pages.sparkSession.sparkContext.broadcast({r.host: r.path for r in top.toLocalIterator()})
 
-        def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield result(batch, [held.value.get(h, "") for h in batch.column("host").to_pylist()])
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield result(batch, [held.value.get(h, "") for h in batch.column("host").to_pylist()])
 
+    if paths.count() <= broadcast_hosts:
         return rows.mapInArrow(local, schema)
-    salted = paths.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    joined = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
-    return map_batches(joined.select("page_id", "url", "html", F.coalesce("path", F.lit("")).alias("path")), schema, lambda b: result(b, b.column("path").to_pylist()))
+    known = cut(top.select("host"))
+    most = rows.join(F.broadcast(known), "host", "left_semi").select("page_id", "url", "html", "host").mapInArrow(local, schema)
+    others = rows.join(F.broadcast(known), "host", "left_anti").join(paths.select("host", "path"), "host", "left")
+    return most.unionByName(map_batches(others.select("page_id", "url", "html", F.coalesce("path", F.lit("")).alias("path")), schema, lambda b: result(b, b.column("path").to_pylist())))
