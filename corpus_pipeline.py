@@ -1,4 +1,11 @@
-"""A training corpus from raw documents: toxic documents go, repeated lines go, one of each near-copy stays, the rest is packed."""
+"""A training corpus from raw documents: toxic documents go, repeated lines go, one of each near-copy stays, the rest is packed.
+
+Defined results, for the table of each stage: null, empty and white-space texts are never toxic enough alone to go, hold
+no repeated line, are copies of nothing and are packed as an end id; texts of any length are read whole; null and repeated
+doc_ids are rows like others, and each row is judged by its own text; of repeated rows, as of any near copies, the one of
+least doc_id stays (null ids last; among equal ids the first in the table); an empty table stays empty. Columns beside
+doc_id, text and n_chars come through unchanged, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -6,33 +13,51 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.llm import jaccard_join, line_dedup, packing, toxicity
+from kindred.llm.common import quoted
 from kindred.llm.queries import vocabulary
 from kindred.plans.session import cut
 
-#: Dropped ids up to this many (8 bytes each) are broadcast; more are joined.
-BROADCAST_IDS = 1_000_000
+#: Dropped rows up to this many (8 bytes each) are broadcast; more are joined.
+BROADCAST_ROWS = 1_000_000
+
+
+def _as(docs: DataFrame, out: DataFrame, **own) -> DataFrame:
+    """`out` with the columns of `docs`: `own` names those an operator returns, the others are in `carried`."""
+    return out.select(*[own[c].cast(docs.schema[c].dataType).alias(c) if c in own else F.col("carried")[c].alias(c) for c in docs.columns])
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score stays under the threshold."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    others = [c for c in docs.columns if c != "doc_id"]
-    return toxicity.score(docs, model, carry=tuple(others)).where("predicted = 0").select(*docs.columns)
+    others = tuple(c for c in docs.columns if c != "text")
+    kept = toxicity.score(docs, model, carry=others).where("predicted = 0")
+    return _as(docs, kept, text=F.col("text"))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that five documents or more share, but in the last of them."""
-    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    kept = line_dedup.dedup_lines(docs, carry=tuple(others))
-    kept = kept.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("kept_text").cast("long"))
-    return kept.select(*docs.columns)
+    others = tuple(c for c in docs.columns if c != "text")
+    kept = line_dedup.dedup_lines(docs, carry=others)
+    own = {"text": F.col("kept_text")} | ({"n_chars": F.length("kept_text")} if "n_chars" in docs.columns else {})
+    return _as(docs, kept, **own)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near-copies (five words, similarity 0.8)."""
-    found = jaccard_join.jaccard_components(docs, words=5, threshold="0.8")
-    gone = cut(found.where("component_id <> doc_id").select("doc_id").distinct())
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near-copies (five words, similarity 0.8). Rows are told apart by their place in the table."""
+    if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
+        docs = cut(docs)  # only a plain scan gives its rows the same places each time
+    columns, place = docs.columns, "_place"
+    while place in columns:
+        place += "_"
+    placed = docs.withColumn(place, F.monotonically_increasing_id())
+    found = jaccard_join.jaccard_components(placed, words=5, threshold="0.8", id_col=place)
+    grouped = found.select(F.col("doc_id").alias("at"), "component_id")
+    grouped = cut(grouped.join(grouped.where("at <> component_id").select("component_id").distinct(), "component_id"))
+    ids = placed.select(F.col(place).alias("at"), F.col("doc_id").alias("id"))
+    first = grouped.join(ids, "at").groupBy("component_id").agg(F.min_by("at", F.struct(F.col("id").isNull(), "id", "at")).alias("at"))
+    gone = cut(grouped.select("at").join(first.select("at"), "at", "left_anti")).withColumnRenamed("at", place)
+    small = gone.count() <= BROADCAST_ROWS
+    return placed.join(F.broadcast(gone) if small else gone, place, "left_anti").select(*[F.col(quoted(c)) for c in columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
