@@ -9,14 +9,19 @@ node of a path from the root their parts reach t too (of two fractions, one is n
 sums), and at the end of the path, where one part has at most s members, reaching t means being equal. So any two
 linked sets share a part, exactly, without a cap; sets that share one form a region.
 
-Inside a region the join goes by pivots. The region's least set is its pivot; every other set's distance to it is
-found exactly. Sets within the radius r = 1 - t form the pivot's ball and belong to its component. A set outside the
-ball is compared with others only where the triangle inequality leaves it open (their distances to the pivot differ
-by r at most), their sizes allow it, and they are not known to be connected. Regions whose members all are connected
-are done: a group of copies, however large, costs one distance per member. Regions that are still open and large are
-joined again, recursively: all their documents are dealt anew by their locally rarest shingles (a prefix that any
-two linked sets must share), which takes apart regions held together by a passage that many documents quote; what is
-still large after that goes through rounds of new pivots.
+The least set of each part is a pivot; the sets that share one of a pivot's parts are its region, each once. Every
+member's distance to the pivot is found exactly. Sets within the radius r = 1 - t form the pivot's ball and belong to its
+component; two members are compared only where the triangle inequality leaves them open (their distances to the pivot
+differ by r at most), their sizes allow it, and they are not known to be connected. Regions whose members all are
+connected are done: a group of copies, however large, costs one distance per member.
+
+Regions that are still open and large are joined again, recursively. First their documents are dealt anew by their locally
+rarest shingles (a prefix that any two linked sets must share), which takes apart regions held together by a passage that
+many documents quote. What is still large becomes Voronoi regions of new pivots: counts of hashed shingles, by the sum of
+their differences, are a metric space in which linked sets x and y lie within n_x (1 - t) / t of each other; each set is
+dealt to its nearest pivot, and as a boundary document to every other one that is at most twice that farther, so that any
+two linked sets meet in the nearest region of either. What the pivots can't take apart either is cut into blocks and
+joined block by block, each pair of blocks in a task of its own.
 
 Bounds by counts of hashed shingles (a lower bound of the symmetric difference) spare most exact distances.
 
@@ -43,7 +48,7 @@ from kindred.plans.session import cut, settle
 
 #: Members of an open region up to which one task bounds its open pairs, on sizes and counters (about 300 bytes a member).
 SMALL_REGION = 2048
-#: New pivots per region and round, for regions that no prefix takes apart.
+#: Pivots of a large region's Voronoi regions.
 PIVOTS = 16
 #: Counters of the bound on the symmetric difference, one byte each; sums of FOLD of them give a coarser, faster bound.
 COUNTERS = 256
@@ -54,6 +59,10 @@ HELD_PAIRS = 1 << 20
 SLICE = 256
 #: Ids up to this many (8 bytes each) are broadcast to fetch their texts; more are joined.
 BROADCAST_IDS = 1_000_000
+#: Shared parts up to this many (8 bytes each) are broadcast; more are joined.
+BROADCAST_PARTS = 2_000_000
+#: Rows of a written table that one task reads back.
+SETS_PER_TASK = 20_000
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -112,8 +121,8 @@ class JaccardJoin:
 
         return self.docs.mapInArrow(work, "doc_id long, key long, n long, sketch binary, sigs array<long>")
 
-    def sets(self, keys: DataFrame, nodes: DataFrame) -> DataFrame:
-        """(key, members): the sorted shingle hashes of the sets with these keys, from the texts of their first rows."""
+    def read_sets(self, keys: DataFrame, nodes: DataFrame) -> DataFrame:
+        """(key, members): the sorted shingle hashes of the sets with these keys, from the texts of their first rows; written once."""
         words = self.words
         ids = settle(keys.join(nodes, "key").select(F.col("first_doc").alias("doc_id")).distinct())
         rows = self.docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id").select("doc_id", "text")
@@ -128,7 +137,11 @@ class JaccardJoin:
                 out_sets += [hashes[s:e].tobytes() for s, e in zip([0, *ends[:-1]], ends, strict=True)]
             return pa.RecordBatch.from_arrays([_signed(np.concatenate(out_keys)), pa.array(out_sets, pa.binary())], ["key", "members"])
 
-        return settle(map_batches(rows, "key long, members binary", work).join(keys, "key", "left_semi").dropDuplicates(["key"]), 20_000)
+        # a doc_id may be repeated with other texts, and a text with other rows of the same id
+        return settle(map_batches(rows, "key long, members binary", work).join(keys, "key", "left_semi").dropDuplicates(["key"]), SETS_PER_TASK)
+
+    def sets(self, keys: DataFrame) -> DataFrame:
+        return self.members.join(keys, "key", "left_semi")
 
     # -- exact distances ----------------------------------------------------------------------------------------------
 
@@ -149,12 +162,12 @@ class JaccardJoin:
 
         return map_batches(sized.select("a", "b", "na", "nb", "sa", "sb"), "a long, b long", bound)
 
-    def verify(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    def verify(self, pairs: DataFrame) -> DataFrame:
         """(a, b, both, either, linked) of the pairs (a, b) of keys, from their sets."""
         num, den = self.t.numerator, self.t.denominator
         left = settle(pairs)
         keys = left.select(F.col("a").alias("key")).union(left.select("b")).distinct()
-        sets = self.sets(keys, nodes)
+        sets = self.sets(keys)
         both = left.join(sets.select(F.col("key").alias("a"), F.col("members").alias("ma")), "a").join(sets.select(F.col("key").alias("b"), F.col("members").alias("mb")), "b")
 
         def exact(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -171,21 +184,69 @@ class JaccardJoin:
 
     # -- regions ------------------------------------------------------------------------------------------------------
 
-    def star(self, regions: DataFrame, pivots: DataFrame, nodes: DataFrame) -> DataFrame:
-        """Exact distances from the pivots (sig, pivot) to the members (sig, key) of their regions."""
-        pairs = regions.join(pivots, "sig").where("key <> pivot").select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct()
-        return self.verify(self.bounded(pairs, nodes), nodes)
+    def by_pivot(self, parts: DataFrame) -> DataFrame:
+        """(region, pivot, key) from (sig, key): each part's least set is its pivot, and a pivot's parts are one region."""
+        pivots = parts.groupBy("sig").agg(F.min("key").alias("pivot"))
+        return settle(parts.join(pivots, "sig").select(F.col("pivot").alias("region"), "pivot", "key").distinct())
+
+    def held_by_several(self, rows: DataFrame, shared: DataFrame) -> DataFrame:
+        """(sig, key) of the parts in `shared`, from (key, sigs). Up to a bound the shared parts travel to the rows, past it they meet by a join."""
+        if shared.count() > BROADCAST_PARTS:
+            return rows.select(F.explode("sigs").alias("sig"), "key").join(shared, "sig", "left_semi")
+        table = shared.toArrow()["sig"].to_numpy()
+        held = self.docs.sparkSession.sparkContext.broadcast(np.sort(table))
+
+        def pick(batch: pa.RecordBatch) -> pa.RecordBatch:
+            lists, known = batch.column("sigs"), held.value
+            keys = np.repeat(batch.column("key").to_numpy(), lists.value_lengths().to_numpy())
+            sigs = lists.flatten().to_numpy()
+            hit = known[np.minimum(np.searchsorted(known, sigs), len(known) - 1)] == sigs if len(known) else np.zeros(len(sigs), bool)
+            return pa.RecordBatch.from_arrays([pa.array(sigs[hit]), pa.array(keys[hit])], ["sig", "key"])
+
+        return map_batches(rows, "sig long, key long", pick)
+
+    def star(self, regions: DataFrame, nodes: DataFrame) -> DataFrame:
+        """Exact distances from the pivots to the members of their regions."""
+        pairs = regions.where("key <> pivot").select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct()
+        return self.verify(self.bounded(pairs, nodes))
 
     def open_regions(self, regions: DataFrame, links: DataFrame) -> DataFrame:
-        """(sig, key, comp, size, home) of the regions of three or more whose members aren't all connected yet; home is the least component."""
+        """(region, pivot, key, comp, size) of the regions of three or more whose members aren't all connected yet."""
         comps = connected_components(links)
-        named = regions.join(comps.select(F.col("idx").alias("key"), F.col("group_id").alias("comp")), "key", "left").select("sig", "key", F.coalesce("comp", "key").alias("comp"))
+        named = regions.join(comps.select(F.col("idx").alias("key"), F.col("group_id").alias("comp")), "key", "left").select("region", "pivot", "key", F.coalesce("comp", "key").alias("comp"))
         named = settle(named)
-        state = named.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi AND size > 2")
-        return settle(named.join(state.select("sig", "size", F.col("lo").alias("home")), "sig"))
+        state = named.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi AND size > 2")
+        return settle(named.join(state.select("region", "size"), "region"))
+
+    def voronoi(self, large: DataFrame, nodes: DataFrame, seed: int) -> DataFrame:
+        """(region, pivot, key): large regions dealt to nearest pivots, boundary documents to all that the triangle inequality leaves open."""
+        num, den = self.t.numerator, self.t.denominator
+        order = F.xxhash64("key", F.lit(seed))
+        drawn = large.groupBy("region", F.pmod(order, F.lit(PIVOTS)).alias("c")).agg(F.min_by("key", order).alias("key")).join(nodes.select("key", "sketch"), "key")
+        pivots = drawn.groupBy("region").agg(F.sort_array(F.collect_list(F.struct("key", "sketch"))).alias("pivots"))  # PIVOTS at most
+        rows = large.select("region", "key").join(nodes.select("key", "n", "sketch"), "key").join(pivots, "region")
 
-    def small(self, opened: DataFrame, measured: DataFrame, pivots: DataFrame, nodes: DataFrame, nearest: bool) -> DataFrame:
-        """Distances within small open regions, of the pairs that component, size, triangle inequality and counters leave open.
+        def deal(batch: pa.RecordBatch) -> pa.RecordBatch:
+            out = []
+            for region, key, n, sketch, drawn in zip(*[batch.column(c).to_pylist() for c in ("region", "key", "n", "sketch", "pivots")], strict=True):
+                own = np.frombuffer(sketch, np.uint8).astype(np.int64)
+                apart = np.abs(np.frombuffer(b"".join(p["sketch"] for p in drawn), np.uint8).reshape(-1, COUNTERS) - own).sum(1)
+                out += [(region, drawn[k]["key"], key) for k in np.flatnonzero((apart - apart.min()) * num <= 2 * n * (den - num))]
+            return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(3)], ["region", "pivot", "key"])
+
+        dealt = map_batches(rows.select("region", "key", "n", "sketch", "pivots"), "region long, pivot long, key long", deal)
+        return settle(dealt.select(F.xxhash64("region", "pivot").alias("region"), "pivot", "key"))
+
+    def blocks(self, large: DataFrame) -> DataFrame:
+        """Large regions as regions of two blocks each, `side` telling them apart; a block by itself has side 0 alone."""
+        many = F.ceil(F.col("size") / self.small_region).cast("long")
+        cut_up = large.withColumn("many", many).withColumn("block", F.pmod(F.xxhash64("key", "region"), many))
+        pairs = cut_up.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("many") - 1)))
+        lo, hi = F.least("block", "other"), F.greatest("block", "other")
+        return pairs.select(F.xxhash64("region", lo, hi).alias("region"), "pivot", "key", "comp", "size", F.when(lo == hi, -1).otherwise((F.col("block") == hi).cast("int")).alias("side"))
+
+    def within(self, opened: DataFrame, measured: DataFrame, nodes: DataFrame, nearest: bool) -> DataFrame:
+        """Distances within open regions, of the pairs that component, size, triangle inequality and counters leave open.
 
         With `nearest`, only of each member's pair of least bound: those links connect most of what is connected at
         all, and leave fewer pairs open for the call that takes them all.
@@ -193,11 +254,11 @@ class JaccardJoin:
         r, num, den = float(1 - self.t) + 1e-9, self.t.numerator, self.t.denominator
         far = measured.select("a", "b", (1 - F.col("both") / F.col("either")).alias("d"))
         far = far.union(far.select("b", "a", "d")).select(F.col("a").alias("key"), F.col("b").alias("pivot"), "d")
-        rows = opened.where(F.col("size") <= self.small_region).join(pivots, "sig").join(far, ["key", "pivot"], "left").join(nodes.select("key", "n", "sketch"), "key")
-        rows = rows.where("key <> pivot").select("home", "sig", "key", "comp", "n", "sketch", "d")
+        rows = opened.where("key <> pivot").join(far, ["key", "pivot"], "left").join(nodes.select("key", "n", "sketch"), "key")
+        rows = rows.select("region", "key", "comp", "n", "sketch", "d", F.col("side").cast("int").alias("side") if "side" in opened.columns else F.lit(-1).alias("side"))
 
         def region(part: pa.Table) -> list[np.ndarray]:
-            key, comp, n = (part.column(c).to_numpy() for c in ("key", "comp", "n"))
+            key, comp, n, side = (part.column(c).to_numpy() for c in ("key", "comp", "n", "side"))
             d = part.column("d").to_numpy()  # null is nan, which rules nothing out
             sketch = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint8).reshape(-1, COUNTERS).astype(np.int16)
             coarse = sketch.reshape(len(key), -1, FOLD).sum(2, dtype=np.int16)
@@ -205,7 +266,7 @@ class JaccardJoin:
             out = []
             for i in range(len(key) - 1):
                 j = np.arange(i + 1, upto[i])
-                j = j[(comp[j] != comp[i]) & ~(np.abs(d[j] - d[i]) > r)]
+                j = j[(comp[j] != comp[i]) & ~(np.abs(d[j] - d[i]) > r) & ((side[j] != side[i]) | (side[i] < 0))]
                 for counters in (coarse, sketch):
                     if len(j):
                         apart = np.abs(counters[j] - counters[i]).sum(1, dtype=np.int64)
@@ -217,15 +278,13 @@ class JaccardJoin:
             return out
 
         def stream(batches):
-            """Regions come one after another, those of one home together: most regions of a group of near-copies
-            have the same home, so that a pair open in many of them is handed on once. The region that a batch ends
-            in waits for the next batch."""
+            """Regions come one after another; the one that a batch ends in waits for the next batch."""
             rest, held, many = None, [], 0
             for batch in batches:
                 table = pa.Table.from_batches([batch])
                 table = table if rest is None else pa.concat_tables([rest, table])
-                sigs = table.column("sig").to_numpy()
-                starts = np.flatnonzero(np.concatenate([[True], sigs[1:] != sigs[:-1]])) if len(sigs) else []
+                names = table.column("region").to_numpy()
+                starts = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]])) if len(names) else []
                 for a, b in zip(starts[:-1], starts[1:], strict=True):
                     found = region(table.slice(a, b - a))
                     held, many = held + found, many + sum(x.shape[1] for x in found)
@@ -244,10 +303,10 @@ class JaccardJoin:
             a, b = np.unique(np.concatenate(found, axis=1), axis=1)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-        return self.verify(rows.repartition("home").sortWithinPartitions("home", "sig", "n", "key").mapInArrow(stream, "a long, b long").distinct(), nodes)
+        return self.verify(rows.repartition("region").sortWithinPartitions("region", "n", "key").mapInArrow(stream, "a long, b long").distinct())
 
-    def prefixes(self, keys: DataFrame, nodes: DataFrame) -> DataFrame:
-        """Regions (sig, key) by the rarest shingles of each set, rarity being counted among these sets."""
+    def prefixes(self, keys: DataFrame) -> DataFrame:
+        """Parts (sig, key) by the rarest shingles of each set, rarity being counted among these sets."""
         num, den = self.t.numerator, self.t.denominator
 
         def spread(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -255,7 +314,7 @@ class JaccardJoin:
             owner = np.repeat(batch.column("key").to_numpy(), [len(m) for m in members])
             return pa.RecordBatch.from_arrays([pa.array(owner), pa.array(np.concatenate(members))], ["key", "sig"])
 
-        rows = map_batches(self.sets(keys, nodes), "key long, sig long", spread)
+        rows = map_batches(self.sets(keys), "key long, sig long", spread)
         common = cut(rows.groupBy("sig").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
         ranked = rows.join(common, "sig", "left").withColumn("df", F.coalesce("df", F.lit(1)))
         rank = F.row_number().over(Window.partitionBy("key").orderBy("df", "sig"))
@@ -264,13 +323,6 @@ class JaccardJoin:
         kept = ranked.select("sig", "key", "df", rank.alias("rank"), size.alias("n")).where(f"rank <= n - ceil(n * {num} / {den}) + 1 AND df > 1")
         return cut(kept.select("sig", "key"))
 
-    def pivots_of(self, regions: DataFrame, seed: int, many: int = 1) -> DataFrame:
-        """(sig, pivot): the members of least hash, one for each of `many` classes."""
-        if many == 1:
-            return settle(regions.groupBy("sig").agg(F.min("key").alias("pivot")))
-        order = F.xxhash64("key", F.lit(seed))
-        return cut(regions.groupBy("sig", F.pmod(order, F.lit(many)).alias("c")).agg(F.min_by("key", order).alias("pivot")).drop("c"))
-
     def components(self) -> DataFrame:
         """doc_id, n_shingles, component_id of each row."""
         scanned = self.scan()
@@ -278,30 +330,31 @@ class JaccardJoin:
         docs = whole.select("doc_id", "key", "n")
         nodes = settle(whole.where("n > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.min("n").alias("n"), F.max("sketch").alias("sketch")))
         parts = whole.where("sketch IS NOT NULL").select("key", F.explode("sigs").alias("sig"))
-        alike = Window.partitionBy("sig")
-        # the window's rows spill, so a part shared by very many sets is bounded by disk, not by memory
-        regions = parts.withColumn("lo", F.min("key").over(alike)).withColumn("hi", F.max("key").over(alike)).where("lo <> hi")
-        regions = settle(regions.select("sig", "key").distinct())
-        pivots = self.pivots_of(regions, 0)
-        measured = self.star(regions, pivots, nodes)
+        # combined before the shuffle, so that a part shared by very many sets is one row a task
+        shared = parts.groupBy("sig").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("sig")
+        parts = settle(self.held_by_several(whole.where("sketch IS NOT NULL").select("key", "sigs"), cut(shared)).distinct())
+        self.members = self.read_sets(parts.select("key").distinct(), nodes)
+        regions = self.by_pivot(parts)
+        measured = self.star(regions, nodes)
         links = measured.where("linked").select("a", "b")
         level = 0
         while True:
             for nearest in (True, False):
                 opened = self.open_regions(regions, links)
-                found = self.small(opened, measured, pivots, nodes, nearest)
+                found = self.within(opened.where(F.col("size") <= self.small_region), measured, nodes, nearest)
                 links = settle(links.union(found.where("linked").select("a", "b")).distinct())
-            large = opened.where(F.col("size") > self.small_region).select("sig", "key")
+            large = opened.where(F.col("size") > self.small_region)
             if large.isEmpty():
                 break
-            # the first time dealt anew by local rarity; what stays large goes through rounds of ever more pivots
-            regions = self.prefixes(large.select("key").distinct(), nodes) if level == 0 else large
-            many = self.pivots_of(regions, level, 1 if level == 0 else PIVOTS << min(level, 10))
-            measured = self.star(regions, many, nodes)
+            if level == 2:
+                for nearest in (True, False):
+                    opened = self.open_regions(large.select("region", "pivot", "key"), links)
+                    found = self.within(self.blocks(opened), measured, nodes, nearest)
+                    links = settle(links.union(found.where("linked").select("a", "b")).distinct())
+                break
+            regions = self.by_pivot(self.prefixes(large.select("key").distinct())) if level == 0 else self.voronoi(large, nodes, level)
+            measured = self.star(regions, nodes)
             links = settle(links.union(measured.where("linked").select("a", "b")).distinct())
-            if level:  # a pivot has met every member of its region
-                regions = cut(regions.join(many.withColumnRenamed("pivot", "key"), ["sig", "key"], "left_anti"))
-            pivots = settle(many.groupBy("sig").agg(F.min("pivot").alias("pivot")))
             level += 1
         comps = connected_components(links)
         named = nodes.join(comps.withColumnRenamed("idx", "key"), "key", "left").select("key", "first_doc", F.coalesce("group_id", "key").alias("group_id"))
