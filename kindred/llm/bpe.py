@@ -25,8 +25,8 @@ from kindred.llm.common import claim, map_batches, slim, texts
 
 #: Fixed value: the byte-level split pattern of the public vocabularies (see public_tokenizers.PATTERN).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Entries a cache may hold before it is emptied: bounds a worker's memory, not what is encoded.
-CACHE_ENTRIES = 300_000
+#: Entries the two generations of a cache hold together: bounds a worker's memory, not what is encoded.
+CACHE_ENTRIES = 400_000
 #: Bytes of a word up to which failing words are merged side by side on arrays; longer ones are merged on a heap.
 LOCKSTEP_BYTES = 64
 #: Characters encoded at a time: bounds a worker's memory.
@@ -116,8 +116,11 @@ class Encoder:
         # runs of white space that a split at single spaces would cut where the pattern doesn't
         self.unsafe = regex.compile(r"\s \s|\s \Z")
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        # words used since the last change of generations, and those of the generation before
         self.spaced: dict[str, bytes] = {}
         self.plain: dict[str, bytes] = {}
+        self.old_spaced: dict[str, bytes] = {}
+        self.old_plain: dict[str, bytes] = {}
         self.failed = self.proposed = 0
 
     def propose(self, word: bytes) -> list[int]:
@@ -250,10 +253,10 @@ class Encoder:
         for _, _, parts in several:
             for w in parts:
                 if w[0] == " " and len(w) > 1:
-                    if w[1:] not in known:
-                        one.add(w[1:])
-                elif w not in bare:
+                    one.add(w[1:])
+                else:
                     two.add(w)
+        one, two = self._missing(one, known, self.old_spaced), self._missing(two, bare, self.old_plain)
         first, second = list(one), list(two)
         ids = self.encode_words([" " + c for c in first] + second)
         known.update(zip(first, ids, strict=False))
@@ -262,10 +265,19 @@ class Encoder:
             if chunk not in into:
                 into[chunk] = b"".join([known[w[1:]] if w[0] == " " and len(w) > 1 else bare[w] for w in parts])
 
+    @staticmethod
+    def _missing(wanted: set[str], cache: dict[str, bytes], old: dict[str, bytes]) -> set[str]:
+        """What neither generation holds; what the old one holds is taken over into the new one."""
+        wanted = wanted.difference(cache)
+        found = {c for c in wanted if c in old}
+        cache.update((c, old[c]) for c in found)
+        return wanted - found
+
     def _encode(self, group: list[str]) -> list[bytes]:
-        for cache in (self.spaced, self.plain):
-            if len(cache) > CACHE_ENTRIES:
-                cache.clear()
+        if len(self.spaced) > CACHE_ENTRIES // 2:
+            self.spaced, self.old_spaced = {}, self.spaced
+        if len(self.plain) > CACHE_ENTRIES // 2:
+            self.plain, self.old_plain = {}, self.plain
         plans = []
         for text in group:
             plan: list[tuple[str | int, list[str]]] = []
@@ -279,10 +291,10 @@ class Encoder:
                     head, *tail = part.split(" ")
                     plan.append((head, tail))
             plans.append(plan)
-        spaced = {c for p in plans for kind, tail in p if kind != "words" for c in tail}.difference(self.spaced)
-        plain = {kind for p in plans for kind, _ in p if isinstance(kind, str) and kind != "words"}.difference(self.plain)
-        plain |= {w for p in plans for kind, ws in p if kind == "words" for w in ws}.difference(self.plain)
-        self._learn(list(spaced), list(plain))
+        spaced = {c for p in plans for kind, tail in p if kind != "words" for c in tail}
+        plain = {kind for p in plans for kind, _ in p if isinstance(kind, str) and kind != "words"}
+        plain |= {w for p in plans for kind, ws in p if kind == "words" for w in ws}
+        self._learn(list(self._missing(spaced, self.spaced, self.old_spaced)), list(self._missing(plain, self.plain, self.old_plain)))
         out = []
         for plan in plans:
             got = []
@@ -318,9 +330,15 @@ def _encoder(path: str, speculate: bool) -> Encoder:
     return Encoder(path, speculate)
 
 
-def encoder(path: str, speculate: bool = True) -> Encoder:
-    """This worker's encoder; workers are reused, so the vocabulary is read once."""
-    claim("bpe", _encoder.cache_clear)
+def forget() -> None:
+    """Give back what this worker's encoders hold."""
+    _encoder.cache_clear()
+
+
+def encoder(path: str, speculate: bool = True, holder: str = "bpe") -> Encoder:
+    """This worker's encoder for the operator `holder`; workers are reused, so the vocabulary is read once."""
+    if holder == "bpe":
+        claim("bpe", forget)
     return _encoder(path, speculate)
 
 

@@ -5,23 +5,29 @@ group the longest piece comes first and goes to the tightest window that can sti
 over remaining capacity; where none can, a new window opens. With thousands of pieces in a group the padding is as
 small as over all pieces together, while no task ever holds more than its group.
 
+Ids come from a compiled byte-pair encoder with the given vocabulary. Texts that its pattern engine gives up on (runs of
+white space longer than its stack) and vocabularies whose ids don't follow the order of merges go to this package's own
+exact encoder, which gives the same ids.
+
 Defined results: a null or empty text is the end id alone; pieces of equal length are placed in order of (doc_id,
-start); repeated rows are packed like others; one very long document is cut into pieces that go to many groups; an
-empty table gives an empty result; other columns are ignored.
+start), null ids last; null and repeated doc_ids are packed like others, and repeated rows are dealt to different groups;
+one very long document is cut into pieces that go to many groups; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import zlib
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.bpe import encoder
-from kindred.llm.common import map_batches, slim, texts
+from kindred.llm.bpe import PATTERN, Encoder, encoder, forget
+from kindred.llm.common import claim, map_batches, slim, texts
 from kindred.plans.session import cut
 
 #: Pieces of a group on average; groups are dealt by hash, so none is much larger.
@@ -88,17 +94,53 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return np.array([p[0] for p in placed], np.int64), np.array([p[1] for p in placed], np.int64)
 
 
+class TextIds:
+    """Ids of texts with one vocabulary file; made once per worker."""
+
+    def __init__(self, path: str):
+        self.path, own = path, Encoder(path)
+        specials = set(own.special.values())
+        ranks = {raw: i for i, raw in enumerate(own.token_bytes) if raw and i not in specials}
+        # the compiled encoder takes a token's id for its rank
+        ordered = bool(np.all(np.diff(own.made) > 0)) and len(ranks) == len(own.vocab)
+        self.compiled = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=own.special) if ordered else None
+
+    def ids(self, text: str) -> np.ndarray:
+        if self.compiled:
+            try:
+                return self.compiled.encode_to_numpy(text, allowed_special="all")
+            except ValueError:
+                pass  # the pattern engine's stack is too small for a run of white space in this text
+        return np.frombuffer(encoder(self.path, speculate=False, holder="packing").encode_batch([text])[0], "<u4")
+
+
+@lru_cache(maxsize=2)
+def _text_ids(path: str) -> TextIds:
+    return TextIds(path)
+
+
+def _clear() -> None:
+    _text_ids.cache_clear()
+    forget()
+
+
+def text_ids(path: str) -> TextIds:
+    """This worker's; workers are reused, so the vocabulary is read once."""
+    claim("packing", _clear)
+    return _text_ids(path)
+
+
 def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens (and ids, if asked for) of each piece of each document."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        end = end_id.to_bytes(4, "little")
         cols: list[list] = [[] for _ in range(6)]
-        for doc, packed in zip(batch.column(0).to_pylist(), encoder(vocabulary, speculate=False).encode_batch(texts(batch.column(1))), strict=True):
-            packed += end
-            for start in range(0, len(packed), 4 * capacity):
-                piece = packed[start : start + 4 * capacity]
-                for c, v in zip(cols, (doc, start // 4, len(piece) // 4, zlib.crc32(piece), len(packed) // 4, np.frombuffer(piece, "<u4").astype(np.int32) if with_ids else None), strict=True):
+        own = text_ids(vocabulary)
+        for doc, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
+            ids = np.append(own.ids(text), np.uint32(end_id)).astype("<u4")
+            for start in range(0, len(ids), capacity):
+                piece = ids[start : start + capacity]
+                for c, v in zip(cols, (doc, start, len(piece), zlib.crc32(piece), len(ids), piece.astype(np.int32) if with_ids else None), strict=True):
                     c.append(v)
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"]
         arrays = [pa.array(c, pa.int64()) for c in cols[:5]] + ([pa.array(cols[5], pa.list_(pa.int32()))] if with_ids else [])
@@ -112,16 +154,18 @@ def pack_pieces(pieces: DataFrame, capacity: int = 2048, group_pieces: int = GRO
     """`pieces` with sequence_id and offset. The pieces are written once, so that counting them costs no second encoding."""
     pieces = cut(pieces)
     groups = max(1, -(-pieces.count() // group_pieces))
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
+    # the place in the written table is part of the hash, so that equal rows are dealt apart
+    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
-        window, offset = best_fit_decreasing(pdf["length"].to_numpy(np.int64), capacity)
-        pdf["sequence_id"], pdf["offset"] = (pdf["_group"].to_numpy(np.int64) << 32) + window, offset
-        return pdf.drop(columns="_group")
+    def pack(table: pa.Table) -> pa.Table:
+        order = [("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")]
+        table = table.sort_by(order)
+        window, offset = best_fit_decreasing(table["length"].to_numpy(), capacity)
+        group = table["_group"].to_numpy()
+        return table.drop_columns("_group").append_column("sequence_id", pa.array((group << 32) + window)).append_column("offset", pa.array(offset))
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return dealt.groupBy("_group").applyInPandas(pack, f"{fields}, sequence_id long, offset long")
+    return dealt.groupBy("_group").applyInArrow(pack, f"{fields}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", group_pieces: int = GROUP_PIECES, with_ids: bool = False) -> DataFrame:
