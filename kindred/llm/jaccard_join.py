@@ -138,10 +138,17 @@ class JaccardJoin:
             return pa.RecordBatch.from_arrays([_signed(np.concatenate(out_keys)), pa.array(out_sets, pa.binary())], ["key", "members"])
 
         # a doc_id may be repeated with other texts, and a text with other rows of the same id
-        return settle(map_batches(rows, "key long, members binary", work).join(keys, "key", "left_semi").dropDuplicates(["key"]), SETS_PER_TASK)
+        found = settle(map_batches(rows, "key long, members binary", work).join(self.small(keys), "key", "left_semi"), SETS_PER_TASK)
+        return found if found.count() == found.select("key").distinct().count() else settle(found.dropDuplicates(["key"]), SETS_PER_TASK)
+
+    @staticmethod
+    def small(keys: DataFrame) -> DataFrame:
+        """Keys, written; to be broadcast where they are few, so that what they are joined with isn't shuffled."""
+        keys = settle(keys)
+        return F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys
 
     def sets(self, keys: DataFrame) -> DataFrame:
-        return self.members.join(keys, "key", "left_semi")
+        return self.members.join(self.small(keys), "key", "left_semi")
 
     # -- exact distances ----------------------------------------------------------------------------------------------
 
@@ -189,6 +196,18 @@ class JaccardJoin:
         pivots = parts.groupBy("sig").agg(F.min("key").alias("pivot"))
         return settle(parts.join(pivots, "sig").select(F.col("pivot").alias("region"), "pivot", "key").distinct())
 
+    @staticmethod
+    def two_of_each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """(sig, key) from (key, sigs), with the least and the largest key of each part alone."""
+        lists = batch.column("sigs")
+        keys, sigs = np.repeat(batch.column("key").to_numpy(), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
+        order = np.lexsort((keys, sigs))
+        keys, sigs = keys[order], sigs[order]
+        ends = np.ones(len(sigs) + 1, bool)
+        ends[1:-1] = sigs[1:] != sigs[:-1]
+        kept = ends[:-1] | (ends[1:] & (keys != np.roll(keys, 1)))
+        return pa.RecordBatch.from_arrays([pa.array(sigs[kept]), pa.array(keys[kept])], ["sig", "key"])
+
     def held_by_several(self, rows: DataFrame, shared: DataFrame) -> DataFrame:
         """(sig, key) of the parts in `shared`, from (key, sigs). Up to a bound the shared parts travel to the rows, past it they meet by a join."""
         if shared.count() > BROADCAST_PARTS:
@@ -329,10 +348,11 @@ class JaccardJoin:
         whole = cut(scanned)
         docs = whole.select("doc_id", "key", "n")
         nodes = settle(whole.where("n > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.min("n").alias("n"), F.max("sketch").alias("sketch")))
-        parts = whole.where("sketch IS NOT NULL").select("key", F.explode("sigs").alias("sig"))
-        # combined before the shuffle, so that a part shared by very many sets is one row a task
-        shared = parts.groupBy("sig").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("sig")
-        parts = settle(self.held_by_several(whole.where("sketch IS NOT NULL").select("key", "sigs"), cut(shared)).distinct())
+        lists = whole.where("sketch IS NOT NULL").select("key", "sigs")
+        # two sets of a part at most from each batch, so that a part shared by very many sets is few rows; dealt once
+        some = map_batches(lists, "sig long, key long", self.two_of_each).repartition("sig")
+        shared = some.groupBy("sig").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("sig")
+        parts = settle(self.held_by_several(lists, cut(shared)).distinct())
         self.members = self.read_sets(parts.select("key").distinct(), nodes)
         regions = self.by_pivot(parts)
         measured = self.star(regions, nodes)
