@@ -7,13 +7,13 @@ import sys
 
 from kindred.plans.app import WORKFLOWS
 from kindred.plans.options import OptionError, options
-from kindred.plans.session import local_session
+from kindred.plans.session import session
 
 
 def main(argv: list[str]) -> int:
     try:
         o = options(argv)
-        print(json.dumps(WORKFLOWS[o.command](local_session(), o), indent=2))
+        print(json.dumps(WORKFLOWS[o.command](session(), o), indent=2))
     except (OptionError, FileExistsError, ValueError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 1

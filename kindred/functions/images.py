@@ -66,3 +66,18 @@ def measure_pictures(spark: SparkSession, path: str | list[str], vectors: bool =
             yield pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")]).astype({"width": "Int32", "height": "Int32"})
 
     return rows.mapInPandas(work, schema).withColumn("path", F.regexp_replace("path", "^file:(//)?", ""))
+
+
+def measure_gray(rows: DataFrame, id_col: str, pixels: str, side: int) -> DataFrame:
+    """(id, phash, blur_score, brightness) of square grey pictures held as arrays of side * side values."""
+
+    def work(batches):
+        for pdf in batches:
+            out = []
+            for key, values in pdf.itertuples(index=False):
+                gray = np.asarray(values, np.float64).reshape(side, side)
+                out.append((key, perceptual_hash(gray), *measure(gray)))
+            yield pd.DataFrame(out, columns=[id_col, "phash", "blur_score", "brightness"])
+
+    kind = rows.schema[id_col].dataType.simpleString()
+    return rows.select(id_col, pixels).mapInPandas(work, f"{id_col} {kind}, phash string, blur_score double, brightness double")

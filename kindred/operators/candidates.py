@@ -13,7 +13,7 @@ from kindred.functions.decide import no_nan
 from kindred.functions.features import dot, fingerprint_bits
 
 #: Rows of a block of the exact inner-product scan: two blocks and their scores are what one task holds.
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 16384
 
 
 def exact_pairs(records: DataFrame) -> DataFrame:
@@ -63,14 +63,23 @@ def top_k(records: DataFrame, k: int, least: float | None = None, block_rows: in
         if not len(l) or not len(r):
             return pd.DataFrame({"a": [], "b": [], "cosine": []})
         base, ids = np.stack(r["embedding"].to_list()).astype(np.float64), r["idx"].to_numpy()
-        out = []
+        by_id = np.argsort(ids, kind="stable")  # equal scores then go by idx
+        base, ids, out = base[by_id], ids[by_id], []
         for at in range(0, len(l), 512):
             part = l.iloc[at : at + 512]
-            scores = np.round(np.stack(part["embedding"].to_list()).astype(np.float64) @ base.T, 6)
-            for own, row in zip(part["idx"].to_numpy(), scores, strict=True):
-                keep = np.flatnonzero(row >= least) if least is not None else np.arange(len(row))
-                best = keep[np.lexsort((ids[keep], -row[keep]))[:k]]
-                out.append(pd.DataFrame({"a": own, "b": ids[best], "cosine": row[best] + 0.0}))
+            scores = np.round(np.stack(part["embedding"].to_list()).astype(np.float64) @ base.T, 6) + 0.0
+            own = part["idx"].to_numpy()
+            if least is not None:
+                r, c = np.nonzero(scores >= least)
+                order = np.lexsort((c, -scores[r, c], r))
+                r, c = r[order], c[order]
+                first = np.searchsorted(r, np.arange(len(own)))
+                inside = np.arange(len(r)) - first[r] < k
+                r, c = r[inside], c[inside]
+            else:
+                c = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                r, c = np.repeat(np.arange(len(own)), c.shape[1]), c.ravel()
+            out.append(pd.DataFrame({"a": own[r], "b": ids[c], "cosine": scores[r, c]}))
         return pd.concat(out)
 
     met = left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInPandas(meet, "a long, b long, cosine double")

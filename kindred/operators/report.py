@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+QUALITY = ["width", "height", "blur_score", "brightness", "rejection_reason"]
 EVIDENCE = ["reason", "cosine", "phash_distance", "same_sha256", "confidence"]
 
 
@@ -29,10 +30,22 @@ def report_rows(components: DataFrame, kept: DataFrame, pairs: DataFrame, record
     return rows.join(path.select(F.col("idx").alias("keep"), F.col("path").alias("keep_path")), "keep").select("group_id", "keep_path", "duplicate_path", *EVIDENCE)
 
 
+def with_quality(rows: DataFrame, judged: DataFrame) -> DataFrame:
+    """report_rows with `quality` of the duplicate and `keep_quality`, by path; NULL where a record has no quality."""
+    own = judged.select("path", F.struct(*QUALITY).alias("q"))
+    found = rows.join(own.select(F.col("path").alias("duplicate_path"), F.col("q").alias("quality")), "duplicate_path", "left")
+    return found.join(own.select(F.col("path").alias("keep_path"), F.col("q").alias("keep_quality")), "keep_path", "left").select(*rows.columns, "quality", "keep_quality")
+
+
 def report_groups(components: DataFrame, kept: DataFrame, pairs: DataFrame, records: DataFrame) -> DataFrame:
-    """Nested: group_id, keep, duplicates ARRAY<STRUCT<path, EVIDENCE>> sorted by path. A group's members meet in one row
-    here, so this form is for reports; report_rows is the one that scales with a group."""
+    """Nested: group_id, keep, duplicates ARRAY<STRUCT<path, EVIDENCE>> sorted by path; with quality, also keep_quality and the
+    quality of each duplicate. A group's members meet in one row here, so this form is for reports; report_rows is the one
+    that scales with a group."""
     rows = report_rows(components, kept, pairs, records)
+    if set(QUALITY) <= set(records.columns):
+        rows = with_quality(rows, records)
+        body = F.sort_array(F.collect_list(F.struct(F.col("duplicate_path").alias("path"), *EVIDENCE, "quality")))
+        return rows.groupBy("group_id", F.col("keep_path").alias("keep")).agg(F.first("keep_quality").alias("keep_quality"), body.alias("duplicates"))
     return rows.groupBy("group_id", F.col("keep_path").alias("keep")).agg(F.sort_array(F.collect_list(F.struct(F.col("duplicate_path").alias("path"), *EVIDENCE))).alias("duplicates"))
 
 

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from kindred.functions.features import unit_or_zero
 from kindred.plans.session import cut
 
+#: Choices after which the least distances are written.
+WRITTEN_EVERY = 8
 METHODS = ("kmeans", "farthest", "hybrid")
 
 
@@ -43,28 +45,33 @@ def _nearest_unique(rows: DataFrame, centres: list[np.ndarray]) -> list[int]:
 
 
 def select_farthest(rows: DataFrame, count: int, seed: int, start: list[int] | None = None) -> list[int]:
-    """Seeded first row, then always the row farthest from all chosen, lowest idx on ties. One pass per choice; only the
-    farthest row of each batch and the chosen vectors travel."""
-    order = rows.select("idx").orderBy("idx")
+    """Seeded first row, then always the row farthest from all chosen, lowest idx on ties.
+
+    Each pass finds the next choice and lowers every row's least distance by the last one alone; the distances are written
+    every so many passes, so a choice costs one look at each row, and only one row of each batch travels.
+    """
     chosen = list(start or [])
     if not chosen:
         at = int(np.random.default_rng(seed).integers(rows.count()))
-        chosen = [order.offset(at).first().idx]
+        chosen = [rows.select("idx").orderBy("idx").offset(at).first().idx]
+    new, state = list(chosen), rows.withColumn("least", F.lit(float("inf")))
     while len(chosen) < count:
-        table = np.stack([np.array(r.v) for r in rows.where(F.col("idx").isin(chosen)).collect()])
-        taken = set(chosen)
+        table = [(r.idx, np.array(r.v)) for r in state.where(F.col("idx").isin(new)).collect()]
 
-        def farthest(batches, table=table, taken=taken):
+        def lowered(batches, table=table):
             for pdf in batches:
-                pdf = pdf[~pdf["idx"].isin(taken)]
                 if len(pdf):
                     v = np.stack(pdf["v"].to_list())
-                    d = np.min([((v - t) ** 2).sum(1) for t in table], axis=0)
-                    at = np.lexsort((pdf["idx"].to_numpy(), -d))[0]
-                    yield pd.DataFrame({"idx": [pdf["idx"].to_numpy()[at]], "d": [d[at]]})
-
-        best = rows.mapInPandas(farthest, "idx long, d double").orderBy(F.col("d").desc(), "idx").first()
-        chosen.append(best.idx)
+                    for idx, t in table:
+                        pdf["least"] = np.minimum(pdf["least"], ((v - t) ** 2).sum(1))
+                        pdf.loc[pdf["idx"] == idx, "least"] = -1.0  # chosen
+                yield pdf
+
+        state = state.mapInPandas(lowered, state.schema)
+        if len(chosen) % WRITTEN_EVERY == 0:
+            state = cut(state)
+        chosen.append(state.where("least >= 0").agg(F.min_by("idx", F.struct(-F.col("least"), "idx"))).first()[0])
+        new = chosen[-1:]
     return chosen
 
 

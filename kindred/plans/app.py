@@ -17,14 +17,17 @@ from kindred.plans import workflows
 from kindred.plans.options import OptionError
 from kindred.plans.session import cut
 from kindred.sinks import files, reports
-from kindred.sources.records import FILE_SCHEMA, scan_files
+from kindred.sources.records import SUFFIXES, scan_table
 
+#: Names of pictures for Spark's readers, whose patterns tell cases apart.
+PICTURES = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in x[1:]) for x in SUFFIXES) + "}"
 
-def pictures(spark: SparkSession, rows: list[tuple], places: list[str]) -> DataFrame:
+
+def pictures(spark: SparkSession, scanned: DataFrame, places: list[str]) -> DataFrame:
     """Records of scanned files with digest, size, hash, quality and unit vector, read once and written. A file that can't be decoded,
     or whose name Spark's listing hides, stays as a record without them."""
-    scanned = spark.createDataFrame(rows, FILE_SCHEMA).withColumn("parent", parent(F.col("path")))
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(places)
+    scanned = scanned.withColumn("parent", parent(F.col("path")))
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", PICTURES).load(places)
     digests = raw.select(F.regexp_replace("path", "^file:(//)?", "").alias("path"), sha256(F.col("content")).alias("sha256"))
     measured = measure_pictures(spark, places, vectors=True).withColumn("embedding", l2_normalize(F.col("embedding")))
     return cut(scanned.join(digests, "path", "left").join(measured, "path", "left"))
@@ -48,21 +51,22 @@ def _discard(o: SimpleNamespace, paths: DataFrame) -> dict | None:
 
 def dedup(spark: SparkSession, o: SimpleNamespace) -> dict:
     places = [os.path.realpath(f) for f in o.folders]
-    records = pictures(spark, scan_files(o.folders), places).withColumn("rejection_reason", F.lit(None).cast("string"))
+    records = pictures(spark, scan_table(spark, o.folders), places).withColumn("rejection_reason", F.lit(None).cast("string"))
     found, kept, rows = workflows.dedup(records, o.keep_policy, **_matching(o))
     rows = cut(rows)  # the report and the actions speak of the same rows
-    head = {} if o.no_report else reports.dedup_report(o.report, found, kept, records, o.keep_policy)
+    head = {} if o.no_report else reports.dedup_report(o.report, found, kept, records if o.keep_policy == "best-quality" else records.drop("blur_score"), o.keep_policy)
     return {"report": head, "removed": _discard(o, rows.orderBy("group_id", "duplicate_path").select("duplicate_path"))}
 
 
 def remove_like(spark: SparkSession, o: SimpleNamespace) -> dict:
     """The reference picture may lie in the folder or elsewhere; it always stays."""
-    image, rows = os.path.realpath(o.image), scan_files(o.folders)
-    places = [os.path.realpath(o.folder)]
-    idx = next((r[0] for r in rows if r[2] == image), None)
-    if idx is None:
-        idx, stat = len(rows), os.stat(image)
-        rows, places = [*rows, (idx, len(o.folders), image, stat.st_size, stat.st_mtime)], [*places, image]
+    image, rows = os.path.realpath(o.image), cut(scan_table(spark, o.folders))
+    places, found = [os.path.realpath(o.folder)], rows.where(F.col("path") == image).first()
+    idx = found.idx if found else rows.count()
+    if not found:
+        stat = os.stat(image)
+        rows = rows.unionByName(spark.createDataFrame([(idx, len(o.folders), image, stat.st_size, stat.st_mtime)], rows.schema))
+        places.append(image)
     records = pictures(spark, rows, places)
     pairs = cut(workflows.remove_like(records.where(F.col("idx") != idx), records.where(F.col("idx") == idx), _thresholds(o)))
     head = {} if o.no_report else reports.reference_report(o.report, pairs, records, image, idx)
@@ -76,7 +80,7 @@ def select(spark: SparkSession, o: SimpleNamespace) -> dict:
         raise OptionError("contact sheets aren't built")
     files.check_output(o.folder, o.output, o.force)
     limits = QualityLimits(o.min_width, o.min_height, o.min_blur_score, o.min_brightness, o.max_brightness) if o.reject_low_quality else None
-    records = pictures(spark, scan_files(o.folders), [os.path.realpath(o.folder)])
+    records = pictures(spark, scan_table(spark, o.folders), [os.path.realpath(o.folder)])
     fine = records.withColumn("rejection_reason", rejection_reason(limits) if limits else F.lit(None).cast("string")).where("rejection_reason IS NULL")
     components = workflows.match(fine, **_matching(o)).components
     s = workflows.select(spark, records, o.num, o.selection_method, o.seed, o.keep_policy, limits, components)

@@ -2,31 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.functions.decide import Thresholds
-from kindred.functions.features import base_name, relative_to, suffix
+from kindred.functions.embed import batch_size, embed
+from kindred.functions.features import base_name, fingerprint_distance, l2_normalize, relative_to, suffix, unit_or_zero
+from kindred.functions.images import measure_gray
 from kindred.operators import candidates, report
 from kindred.operators.evidence import all_evidence
+from kindred.operators.number import chunked, numbered
 from kindred.operators.quality import QualityLimits, rejection_reason
 from kindred.operators.representatives import POLICIES, keep
-from kindred.operators.select import select_representatives
+from kindred.operators.select import select_farthest, select_representatives
 from kindred.plans import workflows
-from kindred.plans.session import cut
+from kindred.plans.session import checkpoint_dir, cut
 from kindred.sources import cache as store
-from kindred.sources.records import document_records, from_documents
+from kindred.sources.records import document_records, from_documents, plain_records
 
 T = Thresholds()
 LIMITS = QualityLimits(min_width=5, min_height=5, min_blur=50.0, min_brightness=10.0, max_brightness=245.0)
-_matches: dict[tuple[str, str], workflows.Matches] = {}
 
 
-def _matched(spark: SparkSession, d: str) -> workflows.Matches:
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _matches:
-        _matches[key] = workflows.match(document_records(spark, d))
-    return _matches[key]
+def _matched(spark: SparkSession, d: str) -> tuple[DataFrame, workflows.Matches]:
+    records = document_records(spark, d)
+    return records, workflows.match(records)
+
+
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("idx"), "embedding")
 
 
 def _r6(name: str):
@@ -43,23 +49,23 @@ def ext_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 def exact_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return candidates.exact_pairs(document_records(spark, d))
+    return candidates.exact_pairs(plain_records(spark, d))
 
 
 def exact_groups(spark: SparkSession, d: str) -> DataFrame:
-    return candidates.exact_groups(document_records(spark, d))
+    return candidates.exact_groups(plain_records(spark, d))
 
 
 def fingerprint_bits(spark: SparkSession, d: str) -> DataFrame:
-    return document_records(spark, d).select("idx", "phash")
+    return document_records(spark, d, vectors=False).select("idx", "phash")
 
 
 def hamming_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return candidates.hamming_pairs(document_records(spark, d), T.phash_verify)
+    return candidates.hamming_pairs(document_records(spark, d, vectors=False), T.phash_verify)
 
 
 def hamming_pairs_cross(spark: SparkSession, d: str) -> DataFrame:
-    records = document_records(spark, d)
+    records = document_records(spark, d, vectors=False)
     own = records.select("idx", "parent")
     pairs = candidates.hamming_pairs(records, T.phash_verify).join(own.toDF("a", "pa"), "a").join(own.toDF("b", "pb"), "b")
     return pairs.where("pa <> pb").select("a", "b", "distance")
@@ -76,7 +82,7 @@ def topk_neighbors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def topk_one_sided(spark: SparkSession, d: str) -> DataFrame:
-    return candidates.one_sided(candidates.top_k(document_records(spark, d), 50, T.cosine_review), T.cosine_review).select("a", "b", _r6("cosine"))
+    return candidates.one_sided(candidates.top_k(document_records(spark, d, prints=False), 50, T.cosine_review), T.cosine_review).select("a", "b", _r6("cosine"))
 
 
 def decide_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -84,58 +90,58 @@ def decide_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def best_pair(spark: SparkSession, d: str) -> DataFrame:
-    return _matched(spark, d).pairs.select("a", "b", _r6("cosine"), "phash_distance", "same_sha256", "decision", "reason", "confidence")
+    return _matched(spark, d)[1].pairs.select("a", "b", _r6("cosine"), "phash_distance", "same_sha256", "decision", "reason", "confidence")
 
 
 def review_only(spark: SparkSession, d: str) -> DataFrame:
-    return _matched(spark, d).pairs.where("decision = 'review'").select("a", "b", _r6("cosine"))
+    return _matched(spark, d)[1].pairs.where("decision = 'review'").select("a", "b", _r6("cosine"))
 
 
 def decision_counts(spark: SparkSession, d: str) -> DataFrame:
-    return _matched(spark, d).pairs.groupBy("decision", "confidence").agg(F.count(F.lit(1)).alias("n"))
+    return _matched(spark, d)[1].pairs.groupBy("decision", "confidence").agg(F.count(F.lit(1)).alias("n"))
 
 
 def duplicate_groups(spark: SparkSession, d: str) -> DataFrame:
-    return _matched(spark, d).components
+    return _matched(spark, d)[1].components
 
 
 def group_sizes(spark: SparkSession, d: str) -> DataFrame:
-    sizes = _matched(spark, d).components.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"))
-    return sizes.withColumn("number", F.dense_rank().over(Window.orderBy("group_id")))
+    sizes = _matched(spark, d)[1].components.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"))
+    return numbered(sizes, ["group_id"], "number").withColumn("number", F.col("number") + 1)
 
 
 def removals(spark: SparkSession, d: str) -> DataFrame:
-    return _matched(spark, d).components.groupBy("group_id").agg((F.count(F.lit(1)) - 1).alias("n")).agg(F.sum("n").alias("removals"))
+    return _matched(spark, d)[1].components.groupBy("group_id").agg((F.count(F.lit(1)) - 1).alias("n")).agg(F.sum("n").alias("removals"))
 
 
 def _judged(spark: SparkSession, d: str) -> DataFrame:
-    return document_records(spark, d).withColumn("rejection_reason", rejection_reason(LIMITS))
+    return plain_records(spark, d).withColumn("rejection_reason", rejection_reason(LIMITS))
 
 
 def _keeper(policy: str):
     def query(spark: SparkSession, d: str) -> DataFrame:
-        return keep(_matched(spark, d).components, _judged(spark, d), policy)
+        return keep(_matched(spark, d)[1].components, _judged(spark, d), policy)
 
     return query
 
 
-def _kept(spark: SparkSession, d: str) -> DataFrame:
-    return keep(_matched(spark, d).components, _judged(spark, d), "highest-resolution")
+def _kept(records: DataFrame, found: workflows.Matches) -> DataFrame:
+    return keep(found.components, records, "highest-resolution")
 
 
 def best_evidence(spark: SparkSession, d: str) -> DataFrame:
-    found = _matched(spark, d)
-    return report.best_evidence(found.components, _kept(spark, d), found.pairs).select("group_id", "keep", "idx", "reason", _r6("cosine"), "phash_distance", "same_sha256", "confidence")
+    records, found = _matched(spark, d)
+    return report.best_evidence(found.components, _kept(records, found), found.pairs).select("group_id", "keep", "idx", "reason", _r6("cosine"), "phash_distance", "same_sha256", "confidence")
 
 
 def report_rows(spark: SparkSession, d: str) -> DataFrame:
-    found = _matched(spark, d)
-    return report.report_rows(found.components, _kept(spark, d), found.pairs, document_records(spark, d)).select("group_id", "keep_path", "duplicate_path", "reason", _r6("cosine"), "phash_distance", "same_sha256", "confidence")
+    records, found = _matched(spark, d)
+    return report.report_rows(found.components, _kept(records, found), found.pairs, records).select("group_id", "keep_path", "duplicate_path", "reason", _r6("cosine"), "phash_distance", "same_sha256", "confidence")
 
 
 def report_summary(spark: SparkSession, d: str) -> DataFrame:
-    found = _matched(spark, d)
-    return report.summary(found.components, found.pairs, document_records(spark, d))
+    records, found = _matched(spark, d)
+    return report.summary(found.components, found.pairs, records)
 
 
 def remove_like(spark: SparkSession, d: str) -> DataFrame:
@@ -154,7 +160,7 @@ def quality_funnel(spark: SparkSession, d: str) -> DataFrame:
 
 def _cached(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Records, and a cache that knows two thirds of them, a tenth of those with another time."""
-    records = document_records(spark, d).select("idx", *store.KEY, *store.METADATA)
+    records = document_records(spark, d, vectors=False).select("idx", *store.KEY, *store.METADATA)
     old = records.where("idx % 3 <> 0").withColumn("mtime", F.when(F.col("idx") % 10 == 1, F.col("mtime") + 1).otherwise(F.col("mtime")))
     return records, old.select(*store.KEY, *store.METADATA, F.array(F.col("idx").cast("float")).alias("embedding"), F.when(F.col("idx") % 2 == 0, "m1").otherwise("m2").alias("model_version"))
 
@@ -171,7 +177,7 @@ def cache_upsert(spark: SparkSession, d: str) -> DataFrame:
 
 def missing_vectors(spark: SparkSession, d: str) -> DataFrame:
     vectors = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("idx"), "embedding")
-    records = document_records(spark, d)
+    records = plain_records(spark, d)
     none = vectors.where("false")
     return store.needs_embedding(store.feature_matrix(records, none, vectors)).select("idx")
 
@@ -180,7 +186,8 @@ def _agglomerative(linkage: str):
     def query(spark: SparkSession, d: str) -> DataFrame:
         from kindred.operators.cluster import split_groups
 
-        return split_groups(_matched(spark, d).components, document_records(spark, d), T.cosine_auto, linkage)
+        records, found = _matched(spark, d)
+        return split_groups(found.components, records, T.cosine_auto, linkage)
 
     return query
 
@@ -193,23 +200,150 @@ def _selector(method: str):
     return query
 
 
+def _rejected(spark: SparkSession, d: str) -> DataFrame:
+    """All five stages; every fourth record stands for one that wasn't selected, every ninth for one whose export failed."""
+    records, found = _matched(spark, d)
+    judged = records.withColumn("rejection_reason", rejection_reason(LIMITS))
+    gone = found.components.join(_kept(records, found), "group_id").where("idx <> keep").select("idx")
+    return report.rejected_list(judged.where("rejection_reason IS NOT NULL"), judged.join(gone, "idx", "left_semi"), judged.where("embedding IS NULL"), judged.where("idx % 4 = 0"), judged.where("idx % 9 = 0"))
+
+
 def rejected_list(spark: SparkSession, d: str) -> DataFrame:
-    judged, found = _judged(spark, d), _matched(spark, d)
-    gone = found.components.join(_kept(spark, d), "group_id").where("idx <> keep").select("idx")
-    empty = judged.where("false")
-    return report.rejected_list(judged.where("rejection_reason IS NOT NULL"), judged.join(gone, "idx", "left_semi"), judged.where("embedding IS NULL"), empty, empty)
+    return _rejected(spark, d)
+
+
+def rejected_order(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of the list of rejected paths, by stage and path, each once."""
+    return numbered(_rejected(spark, d).select("stage", "path").distinct(), ["stage", "path"], "line")
 
 
 def candidate_set(spark: SparkSession, d: str) -> DataFrame:
-    found = _matched(spark, d)
-    gone = found.components.join(_kept(spark, d), "group_id").where("idx <> keep").select("idx")
-    return document_records(spark, d).join(gone, "idx", "left_anti").select("idx", "path")
+    records, found = _matched(spark, d)
+    gone = found.components.join(_kept(records, found), "group_id").where("idx <> keep").select("idx")
+    return records.join(gone, "idx", "left_anti").select("idx", "path")
 
 
 def split_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Balanced contiguous chunks, the larger ones first: sizes from the row number, numbered per folder so that no window spans the table."""
+    """Balanced contiguous chunks of the whole list, the larger ones first."""
+    return chunked(plain_records(spark, d).select("idx", "parent"), ["idx"], 3)
+
+
+def record_order(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers of the records by folder and path."""
+    return numbered(plain_records(spark, d).select("idx", "parent", "path"), ["parent", "path"])
+
+
+def _scaled(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of other lengths, each seventh all zeros."""
+    return _vectors(spark, d).withColumn("v", F.transform("embedding", lambda x: x.cast("double") * (F.col("idx") % 7)))
+
+
+def _told(rows: DataFrame) -> DataFrame:
+    total = F.aggregate("v", F.lit(0.0), lambda s, x: s + x)
+    return rows.select("idx", F.round(F.col("v")[0], 6).alias("first"), F.round(total, 6).alias("total"))
+
+
+def normalized_vectors(spark: SparkSession, d: str) -> DataFrame:
+    return _told(_scaled(spark, d).withColumn("v", l2_normalize(F.col("v"))))
+
+
+def unit_or_zero_vectors(spark: SparkSession, d: str) -> DataFrame:
+    return _told(_scaled(spark, d).withColumn("v", unit_or_zero(F.col("v"))))
+
+
+def print_distances(spark: SparkSession, d: str) -> DataFrame:
+    """Distances to one fingerprint from texts of which some are none."""
+    i = F.col("idx")
+    text = F.when(i % 5 == 0, "").when(i % 5 == 1, "zz").when(i % 5 == 2, F.lit(None)).when(i % 5 == 3, "f" * 16).otherwise(F.lower(F.hex(i)))
+    return plain_records(spark, d).select("idx", fingerprint_distance(text, F.lit("0f")).alias("distance"))
+
+
+def needs_hash(spark: SparkSession, d: str) -> DataFrame:
+    records, held = _cached(spark, d)
+    return store.needs_hash(store.lookup(records.select("idx", *store.KEY), held, "m1")).select("idx")
+
+
+def topk_cross(spark: SparkSession, d: str) -> DataFrame:
+    """Top-k first, then only pairs of different folders."""
     records = document_records(spark, d)
-    return records.select("idx", "parent", F.ntile(3).over(Window.partitionBy("parent").orderBy("idx")).alias("chunk"))
+    pairs = all_evidence(records, T, cross_folder_only=True).where("arm = 2")
+    return pairs.select("a", "b", _r6("cosine"))
+
+
+def no_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """What is found where no record has a vector."""
+    records = document_records(spark, d, vectors=False).withColumn("embedding", F.lit(None).cast("array<double>"))
+    return workflows.match(records).pairs.select("a", "b", "phash_distance", "same_sha256", "decision", "reason", "confidence")
+
+
+def report_quality(spark: SparkSession, d: str) -> DataFrame:
+    """Report rows with the quality of both sides."""
+    records, found = _matched(spark, d)
+    judged = records.withColumn("rejection_reason", rejection_reason(LIMITS))
+    rows = report.with_quality(report.report_rows(found.components, _kept(records, found), found.pairs, records), judged)
+    return rows.select("keep_path", "duplicate_path", F.col("quality.width").alias("width"), F.col("quality.blur_score").alias("blur_score"), F.col("quality.rejection_reason").alias("rejection_reason"), F.col("keep_quality.height").alias("keep_height"), F.col("keep_quality.brightness").alias("keep_brightness"))
+
+
+def report_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The nested report, its lists as text."""
+    records, found = _matched(spark, d)
+    rows = report.report_groups(found.components, _kept(records, found), found.pairs, records.drop("blur_score"))
+    lines = F.transform("duplicates", lambda x: F.concat_ws(" ", x["path"], x["reason"], x["confidence"]))
+    return rows.select("keep", F.size("duplicates").cast("long").alias("n"), F.array_join(lines, ", ").alias("duplicates"))
+
+
+def remove_like_counts(spark: SparkSession, d: str) -> DataFrame:
+    return remove_like(spark, d).groupBy("decision").agg(F.count(F.lit(1)).alias("n"), F.max("b").alias("last"))
+
+
+def pixel_quality(spark: SparkSession, d: str) -> DataFrame:
+    """Blur score and brightness of vectors taken as pictures of 8 by 8."""
+    rows = _vectors(spark, d).withColumn("gray", F.transform("embedding", lambda x: F.floor(F.abs(x.cast("double")) * 1000) % 256))
+    return measure_gray(rows, "idx", "gray", 8).select("idx", _r6("blur_score"), _r6("brightness"))
+
+
+def picture_hashes(spark: SparkSession, d: str) -> DataFrame:
+    """Perceptual hashes of pictures of 32 by 32, made from vectors."""
+    def pixel(k):
+        return (F.floor(F.abs(F.element_at("embedding", (k % 64 + 1).cast("int")).cast("double")) * 1000) + F.floor(k / 32) * 7 + k % 32 * 3) % 256
+
+    rows = _vectors(spark, d).withColumn("gray", F.transform(F.sequence(F.lit(0), F.lit(1023)), pixel))
+    return measure_gray(rows, "idx", "gray", 32).select("idx", "phash")
+
+
+def cache_versions(spark: SparkSession, d: str) -> DataFrame:
+    """A store after three writes: metadata, vectors of even records, vectors of every third, which forgets the others."""
+    held = store.Snapshots(spark, f"{checkpoint_dir(spark)}/cache-{uuid.uuid4().hex}")
+    records = document_records(spark, d, vectors=False)
+    held.write(store.upsert_metadata(held.read(), records))
+    vector = records.withColumn("embedding", F.array(F.col("idx").cast("float")))
+    held.write(store.save_embeddings(held.read(), vector.where("idx % 2 = 0"), "m1"))
+    held.write(store.save_embeddings(held.read(), vector.where("idx % 3 = 0"), "m2"))
+    return held.read().select("path", "sha256", F.col("embedding")[0].cast("double").alias("value"), "model_version")
+
+
+def batch_sizes(spark: SparkSession, d: str) -> DataFrame:
+    gb = F.when(F.col("idx") % 10 != 0, F.col("size") % 50)
+    return plain_records(spark, d).select("idx", batch_size((F.col("idx") % 150 + 1).cast("int"), gb).alias("batch"))
+
+
+def embedded_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of the default embedder."""
+    rows = embed(spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("idx"), "text"), "text").where("embedding IS NOT NULL")
+    return rows.select("idx", F.round(F.col("embedding")[0], 6).alias("first"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + F.abs(x)), 6).alias("total"), "model_version")
+
+
+def run_names(spark: SparkSession, d: str) -> DataFrame:
+    """Times as reports and run ids write them."""
+    events = spark.read.parquet(f"{d}/events.parquet")
+    return events.select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("generated_at"), F.date_format("ts", "'run_'yyyyMMdd_HHmmss").alias("run_id"))
+
+
+def farthest_from_first(spark: SparkSession, d: str) -> DataFrame:
+    """Farthest-point choices that begin with the record of least number."""
+    rows = cut(_vectors(spark, d).select("idx", unit_or_zero(F.col("embedding")).alias("v")))
+    picked = select_farthest(rows, 12, 0, [rows.agg(F.min("idx")).first()[0]])
+    return spark.createDataFrame(list(enumerate(picked)), "position int, idx long")
 
 
 def selection_workflow(spark: SparkSession, d: str) -> DataFrame:
@@ -219,7 +353,9 @@ def selection_workflow(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     scan_records, ext_filter, exact_pairs, exact_groups, fingerprint_bits, hamming_pairs, hamming_pairs_cross, cosine_pairs, topk_neighbors, topk_one_sided, decide_pairs, best_pair, review_only, decision_counts,
-    duplicate_groups, group_sizes, removals, best_evidence, report_rows, report_summary, remove_like, quality_reject, quality_funnel, cache_hits, cache_upsert, missing_vectors, rejected_list, candidate_set, split_chunks, selection_workflow,
+    duplicate_groups, group_sizes, removals, best_evidence, report_rows, report_summary, remove_like, quality_reject, quality_funnel, cache_hits, cache_upsert, missing_vectors, rejected_list, rejected_order, candidate_set, split_chunks, selection_workflow,
+    record_order, normalized_vectors, unit_or_zero_vectors, print_distances, needs_hash, topk_cross, no_vectors, report_quality, report_groups, remove_like_counts, pixel_quality, picture_hashes, cache_versions, batch_sizes, embedded_texts, run_names,
+    farthest_from_first,
 )}
 QUERIES |= {f"keep_{p.replace('-', '_')}": _keeper(p) for p in POLICIES}
 QUERIES |= {f"agglomerative_{x}": _agglomerative(x) for x in ("complete", "average")} | {f"select_{m}": _selector(m) for m in ("kmeans", "farthest", "hybrid")}
@@ -324,8 +460,50 @@ SELECT b, cosine, phash_distance, CASE WHEN rule <= 4 THEN 'duplicate' ELSE 'rev
     "cache_hits": _W + _CACHE + " SELECT r.idx, h.path IS NOT NULL AS cached, coalesce(h.m1, false) AS vector FROM records r LEFT JOIN held h ON h.path = r.path AND h.size = r.size AND h.mtime = r.mtime",
     "cache_upsert": _W + _CACHE + " SELECT path, size, mtime, sha256, true AS vector FROM held WHERE path NOT IN (SELECT path FROM records WHERE idx % 5 = 0) UNION ALL SELECT path, size, mtime, sha256, false FROM records WHERE idx % 5 = 0",
     "missing_vectors": "SELECT doc_id AS idx FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)",
-    "rejected_list": _R + _KEPT + ", nov AS (SELECT r.path FROM records r WHERE NOT EXISTS (SELECT 1 FROM vec v WHERE v.idx = r.idx)) SELECT 0 AS stage, rejection_reason AS reason, path FROM records WHERE rejection_reason IS NOT NULL UNION ALL SELECT 1, 'duplicate', r.path FROM gone g JOIN records r USING (idx) UNION ALL SELECT 2, 'embedding_failed', path FROM nov",
+    "rejected_list": _R + _KEPT + ", nov AS (SELECT r.path FROM records r WHERE NOT EXISTS (SELECT 1 FROM vec v WHERE v.idx = r.idx)) SELECT 0 AS stage, rejection_reason AS reason, path FROM records WHERE rejection_reason IS NOT NULL UNION ALL SELECT 1, 'duplicate', r.path FROM gone g JOIN records r USING (idx) UNION ALL SELECT 2, 'embedding_failed', path FROM nov UNION ALL SELECT 3, 'not_selected', path FROM records WHERE idx % 4 = 0 UNION ALL SELECT 4, 'export_failed', path FROM records WHERE idx % 9 = 0",
     "candidate_set": _R + _KEPT + " SELECT idx, path FROM records WHERE idx NOT IN (SELECT idx FROM gone)",
-    "split_chunks": _W + _REC + " SELECT idx, parent, ntile(3) OVER (PARTITION BY parent ORDER BY idx) AS chunk FROM records",
+    "split_chunks": _W + _REC + " SELECT idx, parent, ntile(3) OVER (ORDER BY idx)::INT AS chunk FROM records",
 }
 ORACLES |= {f"keep_{p.replace('-', '_')}": _R + _COMP + f" SELECT group_id, first(idx ORDER BY {_ORDERS[p]}) AS keep FROM members GROUP BY group_id" for p in POLICIES}
+
+_SCALED = "WITH v AS (SELECT vec_id AS idx, list_transform(embedding, lambda x: x::DOUBLE * (vec_id % 7)) AS v FROM embeddings), l AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS len FROM v) "
+_PIXELS = "WITH RECURSIVE px AS (SELECT vec_id AS idx, i // {side} AS y, i % {side} AS x, ({pixel}) % 256 AS g FROM embeddings, range({side} * {side}) t(i))"
+_FINE = _COMP.replace("records AS (", "everyone AS (", 1).replace("FROM documents)", "FROM documents), records AS (SELECT * FROM everyone WHERE rejection_reason IS NULL)", 1)
+ORACLES |= {
+    "rejected_order": f"WITH r AS (SELECT DISTINCT stage, path FROM ({ORACLES['rejected_list']})) SELECT stage, path, row_number() OVER (ORDER BY stage, path) - 1 AS line FROM r",
+    "record_order": _W + _REC + " SELECT idx, parent, path, row_number() OVER (ORDER BY parent, path) - 1 AS position FROM records",
+    "normalized_vectors": _SCALED + "SELECT idx, round(v[1] / greatest(len, 1e-12), 6) AS first, round(list_sum(list_transform(v, lambda x: x / greatest(len, 1e-12))), 6) AS total FROM l",
+    "unit_or_zero_vectors": _SCALED + "SELECT idx, CASE WHEN len > 0 THEN round(v[1] / len, 6) ELSE 0.0 END AS first, CASE WHEN len > 0 THEN round(list_sum(list_transform(v, lambda x: x / len)), 6) ELSE 0.0 END AS total FROM l",
+    "print_distances": _W + _REC + " SELECT idx, CASE idx % 5 WHEN 3 THEN 60 WHEN 4 THEN bit_count(xor(idx, 15))::INT END AS distance FROM records",
+    "needs_hash": _W + _CACHE + " SELECT r.idx FROM records r LEFT JOIN held h ON h.path = r.path AND h.size = r.size AND h.mtime = r.mtime WHERE h.path IS NULL OR h.sha256 IS NULL",
+    "topk_cross": _W + _VEC + " SELECT o.a, o.b, o.cosine FROM one o JOIN records x ON x.idx = o.a JOIN records y ON y.idx = o.b WHERE x.parent <> y.parent",
+    "no_vectors": _W + _FP + """, met AS (SELECT a.idx AS a, b.idx AS b, bit_count(xor(a.bits, b.bits))::INT AS phash_distance, a.sha256 = b.sha256 AS same_sha256 FROM fp a JOIN fp b ON a.idx < b.idx AND bit_count(xor(a.bits, b.bits)) <= 4)
+SELECT *, 'duplicate' AS decision, CASE WHEN same_sha256 THEN 'same_sha256' ELSE 'phash_distance<=4' END AS reason, CASE WHEN same_sha256 THEN 'exact' ELSE 'high' END AS confidence FROM met""",
+    "report_quality": _R + _KEPT + " SELECT k.path AS keep_path, r.path AS duplicate_path, r.width, r.blur_score, r.rejection_reason, k.height AS keep_height, k.brightness AS keep_brightness FROM gone g JOIN records r ON r.idx = g.idx JOIN records k ON k.idx = g.keep",
+    "report_groups": _R + _EVIDENCE + " SELECT k.path AS keep, count(*) AS n, string_agg(r.path || ' ' || reason || ' ' || confidence, ', ' ORDER BY r.path) AS duplicates FROM evidence e JOIN records r ON r.idx = e.idx JOIN records k ON k.idx = e.keep GROUP BY e.group_id, k.path",
+    "remove_like_counts": "SELECT decision, count(*) AS n, max(b) AS last FROM (" + ORACLES["remove_like"] + ") GROUP BY decision",
+    "pixel_quality": _PIXELS.format(side=8, pixel="floor(abs(embedding[i + 1]::DOUBLE) * 1000)::INT") + """, edge AS (
+  SELECT c.idx, least(greatest(9 * any_value(c.g) - sum(n.g), 0), 255)::DOUBLE AS e FROM px c JOIN px n ON n.idx = c.idx AND abs(n.y - c.y) <= 1 AND abs(n.x - c.x) <= 1 WHERE c.y BETWEEN 1 AND 6 AND c.x BETWEEN 1 AND 6 GROUP BY c.idx, c.y, c.x),
+blur AS (SELECT idx, round(var_pop(e), 6) AS blur_score FROM edge GROUP BY idx)
+SELECT idx, blur_score, round(avg(g::DOUBLE), 6) AS brightness FROM px JOIN blur USING (idx) GROUP BY idx, blur_score""",
+    "picture_hashes": _PIXELS.format(side=32, pixel="floor(abs(embedding[i % 64 + 1]::DOUBLE) * 1000)::INT + i // 32 * 7 + i % 32 * 3") + """, k AS (SELECT range AS k FROM range(8)),
+across AS (SELECT idx, y, k, sum(g * 2 * cos(pi() * k * (2 * x + 1) / 64)) AS s FROM px, k GROUP BY idx, y, k),
+both_ AS (SELECT a.idx, k.k AS u, a.k AS v, sum(a.s * 2 * cos(pi() * k.k * (2 * a.y + 1) / 64)) AS c FROM across a, k GROUP BY a.idx, k.k, a.k),
+middle AS (SELECT idx, median(c) AS m FROM both_ GROUP BY idx)
+SELECT idx, lpad(lower(to_hex(sum(CASE WHEN c > m THEN 1::HUGEINT << (63 - 8 * u - v)::INT ELSE 0 END)::UBIGINT)), 16, '0') AS phash FROM both_ JOIN middle USING (idx) GROUP BY idx""",
+    "cache_versions": _W + _REC + " SELECT path, sha256, CASE WHEN idx % 3 = 0 THEN idx::DOUBLE END AS value, CASE WHEN idx % 3 = 0 THEN 'm2' END AS model_version FROM records",
+    "batch_sizes": _W + _REC + ", m AS (SELECT idx, CASE WHEN idx % 10 <> 0 THEN size % 50 END AS gb FROM records) SELECT idx, least(idx % 150 + 1, CASE WHEN gb >= 40 THEN 128 WHEN gb >= 24 THEN 96 WHEN gb >= 16 THEN 64 WHEN gb >= 12 THEN 48 ELSE 32 END)::INT AS batch FROM m",
+    "embedded_texts": _W + _VEC + " SELECT idx, round(v[1], 6) AS first, round(list_sum(list_transform(v, lambda x: abs(x))), 6) AS total, 'words-64' AS model_version FROM vec",
+    "run_names": "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS generated_at, strftime(ts, 'run_%Y%m%d_%H%M%S') AS run_id FROM events",
+    "farthest_from_first": """WITH RECURSIVE n AS (SELECT vec_id AS idx, embedding::DOUBLE[] AS e, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS len FROM embeddings),
+u AS (SELECT idx, list_transform(e, lambda x: x / len) AS v FROM n), d AS (SELECT a.idx AS a, b.idx AS b, list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) ** 2)) AS x FROM u a, u b),
+steps AS (SELECT 0 AS position, [(SELECT min(idx) FROM u)] AS chosen
+  UNION ALL SELECT position + 1, list_append(chosen, (SELECT b FROM (SELECT d.b, min(d.x) AS m FROM d WHERE list_contains(steps.chosen, d.a) AND NOT list_contains(steps.chosen, d.b) GROUP BY d.b) ORDER BY m DESC, b LIMIT 1)) FROM steps WHERE position < 11)
+SELECT position, chosen[position + 1] AS idx FROM steps""",
+    "selection_workflow": _R + _FINE + """, able AS (SELECT r.* FROM records r JOIN vec v USING (idx)),
+kept AS (SELECT c.group_id, first(a.idx ORDER BY (a.rejection_reason IS NULL) DESC, a.blur_score DESC, abs(a.brightness - 127.5), a.width::BIGINT * a.height DESC, a.size DESC, a.path DESC, a.idx) AS keep FROM comp c JOIN able a USING (idx) GROUP BY c.group_id),
+lost AS (SELECT c.idx FROM comp c JOIN kept k USING (group_id) WHERE c.idx <> k.keep),
+counted AS (SELECT (SELECT count(*) FROM everyone) AS total, (SELECT count(*) FROM everyone WHERE rejection_reason IS NOT NULL) AS rejected_quality, (SELECT count(*) FROM lost) AS duplicates_removed,
+  (SELECT count(*) FROM records WHERE idx NOT IN (SELECT idx FROM lost) AND idx NOT IN (SELECT idx FROM able)) AS embedding_failed)
+SELECT *, 20::BIGINT AS selected, total - rejected_quality - duplicates_removed - embedding_failed AS eligible_after_dedup, total - rejected_quality - duplicates_removed - embedding_failed - 20 AS not_selected FROM counted""",
+}

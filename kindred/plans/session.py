@@ -5,9 +5,19 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
 
 
+def session(app: str = "kindred") -> SparkSession:
+    """The session that is there, or the one that spark-submit describes; a local one where no master is named."""
+    there = SparkSession.getActiveSession()
+    if there:
+        return there
+    named = "spark.master" in dict(SparkConf().getAll())
+    return SparkSession.builder.appName(app).getOrCreate() if named else local_session(app=app)
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "kindred") -> SparkSession:
     """A session for tests and the bench; a cluster brings its own."""
     return (
@@ -24,12 +34,14 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; only where that is unset (tests) a folder of this machine."""
+    """The shared folder named by spark.checkpoint.dir; only where that is unset and the master local a folder of this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="kindred-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 

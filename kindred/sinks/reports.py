@@ -7,6 +7,7 @@ import json
 import os
 import time
 from collections.abc import Iterable, Iterator
+from typing import TextIO
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +23,21 @@ def _stream(df: DataFrame) -> Iterator[dict]:
     return (r.asDict(recursive=True) for r in df.toLocalIterator())
 
 
+def _write_item(f: TextIO, item: dict) -> None:
+    """One object; values that are iterators are written as lists, item by item."""
+    f.write("{")
+    for k, (name, value) in enumerate(item.items()):
+        f.write((", " if k else "") + json.dumps(name) + ": ")
+        if isinstance(value, Iterator):
+            f.write("[")
+            for i, x in enumerate(value):
+                f.write((", " if i else "") + json.dumps(x))
+            f.write("]")
+        else:
+            f.write(json.dumps(value))
+    f.write("}")
+
+
 def write_json(path: str, head: dict, lists: dict[str, Iterable[dict]]) -> str:
     """An object of the values in `head` and then the lists, written item by item; moved into place once whole."""
     path = os.path.abspath(path)
@@ -32,7 +48,8 @@ def write_json(path: str, head: dict, lists: dict[str, Iterable[dict]]) -> str:
         for name, items in lists.items():
             f.write(f",\n  {json.dumps(name)}: [")
             for k, item in enumerate(items):
-                f.write(("," if k else "") + "\n    " + json.dumps(item))
+                f.write(("," if k else "") + "\n    ")
+                _write_item(f, item)
             f.write("\n  ]")
         f.write("\n}\n")
     os.replace(f"{path}.part", path)
@@ -50,7 +67,7 @@ def dedup_report(path: str, found: Matches, kept: DataFrame, records: DataFrame,
     """Write the groups with what was kept and why the others go; returns the head."""
     s = report.summary(found.components, found.pairs, records).first()
     head = {"generated_at": time.strftime("%Y-%m-%d %H:%M:%S"), "total_images": s.total, "duplicate_groups": s.duplicate_groups, "total_duplicates": s.duplicates_to_remove, "review_only_pairs": s.review_pairs, "keep_policy": policy}
-    groups = report.report_groups(found.components, kept, found.pairs, records).orderBy("group_id").select("keep", "duplicates")
+    groups = report.report_groups(found.components, kept, found.pairs, records).orderBy("group_id").drop("group_id")
     write_json(path, head, {"groups": _stream(groups), "review_only": _stream(review_rows(found.pairs, records))})
     return head
 
@@ -63,7 +80,8 @@ def reference_report(path: str, pairs: DataFrame, records: DataFrame, reference:
     head = {"generated_at": time.strftime("%Y-%m-%d %H:%M:%S"), "reference_image": reference, "total_images": total, "duplicate_groups": int(n > 0), "total_duplicates": n, "review_only_pairs": counts.get("review", 0)}
     other = F.when(F.col("a") == reference_idx, F.col("b")).otherwise(F.col("a"))
     rows = pairs.where("decision = 'duplicate'").withColumn("idx", other).join(records.select("idx", "path"), "idx").orderBy("idx").select("path", *report.EVIDENCE)
-    groups = [{"keep": reference, "duplicates": list(_stream(rows))}] if n else []
+    # one group, whose members are streamed into a file of their own shape
+    groups = [{"keep": reference, "duplicates": _stream(rows)}] if n else []
     everyone = records.select("idx", "path").where(F.col("idx") != reference_idx).unionByName(records.sparkSession.createDataFrame([(reference_idx, reference)], "idx long, path string"))
     write_json(path, head, {"groups": groups, "review_only": _stream(review_rows(pairs, everyone))})
     return head

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,29 +56,36 @@ def feature_matrix(records: DataFrame, new: DataFrame, cached: DataFrame) -> Dat
 
 
 class Snapshots:
-    """Versions under one folder of any store that Spark writes; a one-line pointer file names the current one."""
+    """Versions of the cache under one folder of any store that Spark writes.
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-        path = spark._jvm.org.apache.hadoop.fs.Path
-        self.fs = path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
-        self.pointer, self.path = path(f"{self.root}/CURRENT"), path
+    Names sort by the time they were begun, and a version counts once Spark has put its success mark into it, as the last
+    step of writing. The newest such version is the current one, so there is no step at which a reader or a crash could
+    find none.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, kept: int = 2):
+        self.spark, self.root, self.kept = spark, root.rstrip("/"), kept
+        self.path = spark._jvm.org.apache.hadoop.fs.Path
+        self.fs = self.path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def versions(self) -> list[str]:
+        """Names of the complete versions, oldest first."""
+        if not self.fs.exists(self.path(self.root)):
+            return []
+        names = (s.getPath().getName() for s in self.fs.listStatus(self.path(self.root)))
+        return sorted(n for n in names if n.startswith("v-") and self.fs.exists(self.path(f"{self.root}/{n}/_SUCCESS")))
 
     def read(self) -> DataFrame:
         """The current version; empty before the first write."""
-        if not self.fs.exists(self.pointer):
-            return self.spark.createDataFrame([], SCHEMA)
-        name = self.spark.read.text(self.pointer.toString()).first().value
-        return self.spark.read.schema(SCHEMA).parquet(f"{self.root}/{name}")
+        found = self.versions()
+        return self.spark.read.schema(SCHEMA).parquet(f"{self.root}/{found[-1]}") if found else self.spark.createDataFrame([], SCHEMA)
 
     def write(self, cache: DataFrame) -> str:
-        """Write a new version, then move the pointer; a failure before that leaves the old version current."""
-        name = f"v-{uuid.uuid4().hex}"
-        cache.select(*[F.col(f.name).cast(f.dataType) for f in SCHEMA.fields]).write.parquet(f"{self.root}/{name}")
-        out = self.fs.create(self.path(f"{self.root}/CURRENT.next"), True)
-        out.write(bytearray(f"{name}\n".encode()))
-        out.close()
-        self.fs.delete(self.pointer, False)
-        if not self.fs.rename(self.path(f"{self.root}/CURRENT.next"), self.pointer):
-            raise OSError("the pointer of the cache couldn't be moved")
+        """Write a new version; the older ones but `kept` of them go afterwards, as a plan may still read the last."""
+        last = self.versions()
+        stamp = max(time.time_ns(), int(last[-1].split("-")[1]) + 1) if last else time.time_ns()
+        name = f"v-{stamp:020d}-{uuid.uuid4().hex}"
+        cache.select(*[F.col(f.name).cast(f.dataType) for f in SCHEMA.fields]).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(f"{self.root}/{name}")
+        for old in self.versions()[: -self.kept]:
+            self.fs.delete(self.path(f"{self.root}/{old}"), True)
         return name

@@ -206,7 +206,7 @@ def test_pictures_are_measured(spark, tmp_path):
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
 def test_query_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "embeddings"):
+    for t in ("documents", "pages", "embeddings", "events"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = con.execute(catalogue.ORACLES[name])
     cols = [c[0] for c in want.description]
