@@ -210,9 +210,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         table = np.zeros((0, 2 + own.factors.shape[1]))
         for batch in batches:
             sums = []
-            lists = [list(set(t.lower().split())) for t in texts(batch.column(1))]
-            for a in range(0, len(lists), 512):
-                part = lists[a : a + 512]
+            for a in range(0, batch.num_rows, 512):
+                part = [list(set(t.lower().split())) for t in texts(batch.column(1).slice(a, 512))]
                 if len(at) > CACHE_ENTRIES:
                     at, table = {}, table[:0]
                 new = list(set().union(*part).difference(at))
