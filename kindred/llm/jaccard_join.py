@@ -15,13 +15,13 @@ component; two members are compared only where the triangle inequality leaves th
 differ by r at most), their sizes allow it, and they are not known to be connected. Regions whose members all are
 connected are done: a group of copies, however large, costs one distance per member.
 
-Regions that are still open and large are joined again, recursively. First their documents are dealt anew by their locally
+Regions that are still open and larger than a task takes are joined block by block if they are few blocks, each pair of
+blocks in a task of its own. Larger ones are joined again, recursively. First their documents are dealt anew by their locally
 rarest shingles (a prefix that any two linked sets must share), which takes apart regions held together by a passage that
 many documents quote. What is still large becomes Voronoi regions of new pivots: counts of hashed shingles, by the sum of
 their differences, are a metric space in which linked sets x and y lie within n_x (1 - t) / t of each other; each set is
 dealt to its nearest pivot, and as a boundary document to every other one that is at most twice that farther, so that any
-two linked sets meet in the nearest region of either. What the pivots can't take apart either is cut into blocks and
-joined block by block, each pair of blocks in a task of its own.
+two linked sets meet in the nearest region of either. What the pivots can't take apart either is joined block by block.
 
 Bounds by counts of hashed shingles (a lower bound of the symmetric difference) spare most exact distances.
 
@@ -48,6 +48,8 @@ from kindred.plans.session import cut, settle
 
 #: Members of an open region up to which one task bounds its open pairs, on sizes and counters (about 300 bytes a member).
 SMALL_REGION = 2048
+#: Regions of up to so many small regions are joined block by block at once: each member is copied so often at most.
+FEW_BLOCKS = 16
 #: Pivots of a large region's Voronoi regions.
 PIVOTS = 16
 #: Counters of the bound on the symmetric difference, one byte each; sums of FOLD of them give a coarser, faster bound.
@@ -80,8 +82,8 @@ def _set_keys(owner: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
 class JaccardJoin:
     """One join; keeps what its steps share."""
 
-    def __init__(self, docs: DataFrame, words: int, threshold: Fraction, small_region: int = SMALL_REGION):
-        self.docs, self.words, self.t, self.small_region = docs, words, threshold, small_region
+    def __init__(self, docs: DataFrame, words: int, threshold: Fraction, small_region: int = SMALL_REGION, few_blocks: int = FEW_BLOCKS):
+        self.docs, self.words, self.t, self.small_region, self.few_blocks = docs, words, threshold, small_region, few_blocks
         # s / (s + 1) < t, and a part of s + 1 members is never matched by one of s
         self.most = max(1, ceil(threshold / (1 - threshold)) - 1) if threshold < 1 else 1 << 30
 
@@ -108,37 +110,38 @@ class JaccardJoin:
                         seen.clear()
                     pick = new[owner]
                     of, sigs = leaves(owner[pick], hashes[pick], most)
-                    # a row per document with its parts; sketches ride along for sets seen first here
+                    # a row per document, with its parts where the set is seen first here
                     order = np.argsort(of, kind="stable")
                     counts = np.bincount(of, minlength=len(part))
-                    cells = np.bincount(owner * COUNTERS + (mix(hashes) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=len(part) * COUNTERS)
-                    sketch = np.minimum(cells, 255).astype(np.uint8).reshape(len(part), COUNTERS)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[a : a + SLICE], pa.int64()), _signed(keys), pa.array(sizes), pa.array([s.tobytes() if n else None for s, n in zip(sketch, new, strict=True)], pa.binary()),
+                        [pa.array(ids[a : a + SLICE], pa.int64()), _signed(keys), pa.array(sizes), pa.array(new),
                          pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), _signed(sigs[order]))],
-                        ["doc_id", "key", "n", "sketch", "sigs"],
+                        ["doc_id", "key", "n", "fresh", "sigs"],
                     )
 
-        return self.docs.mapInArrow(work, "doc_id long, key long, n long, sketch binary, sigs array<long>")
+        return self.docs.mapInArrow(work, "doc_id long, key long, n long, fresh boolean, sigs array<long>")
 
     def read_sets(self, keys: DataFrame, nodes: DataFrame) -> DataFrame:
-        """(key, members): the sorted shingle hashes of the sets with these keys, from the texts of their first rows; written once."""
+        """(key, members, sketch): the sorted shingle hashes, and counts of them by class, of the sets with these keys, from the
+        texts of their first rows; written once."""
         words = self.words
         ids = settle(keys.join(nodes, "key").select(F.col("first_doc").alias("doc_id")).distinct())
         rows = self.docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id").select("doc_id", "text")
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            raw, out_keys, out_sets = raw_texts(batch.column(1)), [], []
+            raw, out_keys, out_sets, sketches = raw_texts(batch.column(1)), [], [], []
             for a in range(0, len(raw), SLICE):
                 part = raw[a : a + SLICE]
                 owner, hashes = shingle_sets(part, words)
                 out_keys.append(_set_keys(owner, hashes, len(part)))
                 ends = np.cumsum(np.bincount(owner, minlength=len(part)))
                 out_sets += [hashes[s:e].tobytes() for s, e in zip([0, *ends[:-1]], ends, strict=True)]
-            return pa.RecordBatch.from_arrays([_signed(np.concatenate(out_keys)), pa.array(out_sets, pa.binary())], ["key", "members"])
+                cells = np.bincount(owner * COUNTERS + (mix(hashes) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=len(part) * COUNTERS)
+                sketches += [c.tobytes() for c in np.minimum(cells, 255).astype(np.uint8).reshape(len(part), COUNTERS)]
+            return pa.RecordBatch.from_arrays([_signed(np.concatenate(out_keys)), pa.array(out_sets, pa.binary()), pa.array(sketches, pa.binary())], ["key", "members", "sketch"])
 
         # a doc_id may be repeated with other texts, and a text with other rows of the same id
-        found = settle(map_batches(rows, "key long, members binary", work).join(self.small(keys), "key", "left_semi"), SETS_PER_TASK)
+        found = settle(map_batches(rows, "key long, members binary, sketch binary", work).join(self.small(keys), "key", "left_semi"), SETS_PER_TASK)
         return found if found.count() == found.select("key").distinct().count() else settle(found.dropDuplicates(["key"]), SETS_PER_TASK)
 
     @staticmethod
@@ -347,33 +350,36 @@ class JaccardJoin:
         scanned = self.scan()
         whole = cut(scanned)
         docs = whole.select("doc_id", "key", "n")
-        nodes = settle(whole.where("n > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.min("n").alias("n"), F.max("sketch").alias("sketch")))
-        lists = whole.where("sketch IS NOT NULL").select("key", "sigs")
+        nodes = settle(whole.where("n > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.min("n").alias("n")))
+        lists = whole.where("fresh").select("key", "sigs")
         # two sets of a part at most from each batch, so that a part shared by very many sets is few rows; dealt once
         some = map_batches(lists, "sig long, key long", self.two_of_each).repartition("sig")
         shared = some.groupBy("sig").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("sig")
         parts = settle(self.held_by_several(lists, cut(shared)).distinct())
         self.members = self.read_sets(parts.select("key").distinct(), nodes)
+        sketched = settle(self.members.select("key", F.expr("octet_length(members) div 8").alias("n"), "sketch"))
         regions = self.by_pivot(parts)
-        measured = self.star(regions, nodes)
+        measured = self.star(regions, sketched)
         links = measured.where("linked").select("a", "b")
         level = 0
         while True:
             for nearest in (True, False):
                 opened = self.open_regions(regions, links)
-                found = self.within(opened.where(F.col("size") <= self.small_region), measured, nodes, nearest)
+                found = self.within(opened.where(F.col("size") <= self.small_region), measured, sketched, nearest)
                 links = settle(links.union(found.where("linked").select("a", "b")).distinct())
             large = opened.where(F.col("size") > self.small_region)
-            if large.isEmpty():
-                break
-            if level == 2:
+            # block by block: what is few blocks, and at last all that nothing took apart
+            blockwise = large if level == 2 else large.where(F.col("size") <= self.few_blocks * self.small_region)
+            if not blockwise.isEmpty():
                 for nearest in (True, False):
-                    opened = self.open_regions(large.select("region", "pivot", "key"), links)
-                    found = self.within(self.blocks(opened), measured, nodes, nearest)
+                    left = self.open_regions(blockwise.select("region", "pivot", "key"), links)
+                    found = self.within(self.blocks(left), measured, sketched, nearest)
                     links = settle(links.union(found.where("linked").select("a", "b")).distinct())
+            large = large.where(F.col("size") > self.few_blocks * self.small_region)
+            if level == 2 or large.isEmpty():
                 break
-            regions = self.by_pivot(self.prefixes(large.select("key").distinct())) if level == 0 else self.voronoi(large, nodes, level)
-            measured = self.star(regions, nodes)
+            regions = self.by_pivot(self.prefixes(large.select("key").distinct())) if level == 0 else self.voronoi(large, sketched, level)
+            measured = self.star(regions, sketched)
             links = settle(links.union(measured.where("linked").select("a", "b")).distinct())
             level += 1
         comps = connected_components(links)
@@ -384,9 +390,9 @@ class JaccardJoin:
         return docs.join(labels, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
 
 
-def jaccard_components(docs: DataFrame, words: int = 5, threshold: float | str = 0.8, id_col: str = "doc_id", text_col: str = "text", small_region: int = SMALL_REGION) -> DataFrame:
+def jaccard_components(docs: DataFrame, words: int = 5, threshold: float | str = 0.8, id_col: str = "doc_id", text_col: str = "text", small_region: int = SMALL_REGION, few_blocks: int = FEW_BLOCKS) -> DataFrame:
     """doc_id, n_shingles, component_id: documents linked by Jaccard similarity of `threshold` or more, transitively."""
     t = Fraction(str(threshold))
     if not 0 < t <= 1:
         raise ValueError("the threshold must be over 0 and at most 1")
-    return JaccardJoin(slim(docs, id_col, text_col), words, t, small_region).components()
+    return JaccardJoin(slim(docs, id_col, text_col), words, t, small_region, few_blocks).components()

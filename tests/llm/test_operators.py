@@ -265,8 +265,8 @@ def brute_components(rows, words, t):
     return {i: (len(sets[i]), comp[i]) for i in sets}
 
 
-@pytest.mark.parametrize("small_region", [2048, 3])
-def test_jaccard_components_against_brute_force(spark, small_region):
+@pytest.mark.parametrize("small_region, few_blocks", [(2048, 16), (3, 1), (3, 16)])
+def test_jaccard_components_against_brute_force(spark, small_region, few_blocks):
     rng = np.random.default_rng(9)
     passage = [f"p{i}" for i in range(25)]
     rows = [(1, None), (2, ""), (3, "a b"), (4, "A b"), (5, "a b c")]
@@ -279,7 +279,7 @@ def test_jaccard_components_against_brute_force(spark, small_region):
             rows.append((100 + 20 * g + c, " ".join(w)))
     rows += [(300 + i, " ".join(passage + [f"o{i}x{k}" for k in range(int(rng.integers(2, 20)))])) for i in range(25)]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(frame, 4, "0.85", small_region=small_region).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(frame, 4, "0.85", small_region=small_region, few_blocks=few_blocks).collect()}
     assert got == brute_components(rows, 4, Fraction("0.85"))
 
 
@@ -291,7 +291,8 @@ def test_jaccard_defined_cases(spark, docs, empty):
     assert jaccard_join.jaccard_components(empty).count() == 0
 
 
-def test_voronoi_regions_and_blocks_lose_no_link(spark):
+@pytest.mark.parametrize("few_blocks", [1, 16])
+def test_voronoi_regions_and_blocks_lose_no_link(spark, few_blocks):
     """One large region of near copies, in which pivots and blocks must meet all linked sets."""
     rng = np.random.default_rng(12)
     base = [f"w{k}" for k in range(80)]
@@ -301,7 +302,7 @@ def test_voronoi_regions_and_blocks_lose_no_link(spark):
         for at in rng.choice(80, int(rng.integers(0, 7)), replace=False):
             words[at] = f"x{i}y{at}"
         rows.append((i, " ".join(words)))
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 2, "0.85", small_region=8).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 2, "0.85", small_region=8, few_blocks=few_blocks).collect()}
     assert got == brute_components(rows, 2, Fraction("0.85"))
 
 
