@@ -1,7 +1,12 @@
-"""Pixel kernels over Spark's decoded images: grey values, perceptual hash, quality."""
+"""Pixel kernels over Spark's decoded images: grey values, perceptual hash, quality. Pictures are turned upright as their Exif says."""
 
 from __future__ import annotations
 
+import os
+import re
+import struct
+from typing import BinaryIO
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -13,10 +18,60 @@ PICTURE_SCHEMA = "path string, width int, height int, phash string, blur_score d
 VECTOR_SIDE = 16
 
 
-def gray_of(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
-    """Grey values from interleaved blue, green, red (and alpha) bytes, with the usual luma weights."""
+def gray_of(data: bytes, height: int, width: int, channels: int, on_white: bool = False) -> np.ndarray:
+    """Grey values from interleaved blue, green, red (and alpha) bytes, with the usual luma weights. Alpha is left out of
+    account, or with `on_white` lets white through."""
     a = np.frombuffer(data, np.uint8).reshape(height, width, channels).astype(np.float64)
-    return a[:, :, 0] if channels == 1 else (a[:, :, 2] * 299 + a[:, :, 1] * 587 + a[:, :, 0] * 114) / 1000
+    gray = a[:, :, 0] if channels == 1 else (a[:, :, 2] * 299 + a[:, :, 1] * 587 + a[:, :, 0] * 114) / 1000
+    return 255 + (gray - 255) * a[:, :, 3] / 255 if on_white and channels == 4 else gray
+
+
+def local_path(uri: str) -> str:
+    """The path that a reader's `file:` name stands for."""
+    return re.sub("^file:(//)?", "", uri)
+
+
+def _exif_value(tiff: bytes) -> int:
+    order = {b"II": "<", b"MM": ">"}.get(tiff[:2])
+    if order is None:
+        return 1
+    at = struct.unpack_from(order + "I", tiff, 4)[0]
+    for k in range(struct.unpack_from(order + "H", tiff, at)[0]):
+        tag, _, _, value = struct.unpack_from(order + "HHIH", tiff, at + 2 + 12 * k)
+        if tag == 0x0112:
+            return value if 1 <= value <= 8 else 1
+    return 1
+
+
+def orientation(f: BinaryIO) -> int:
+    """The Exif orientation (1 to 8) of a JPEG file; 1 for other files and where it is absent or damaged. Reads the segments' heads alone."""
+    try:
+        if f.read(2) != b"\xff\xd8":
+            return 1
+        while True:
+            mark, kind, length = struct.unpack(">BBH", f.read(4))
+            if mark != 0xFF or kind == 0xDA or length < 2:
+                return 1
+            if kind == 0xE1 and (body := f.read(length - 2)).startswith(b"Exif\0\0"):
+                return _exif_value(body[6:])
+            if kind != 0xE1:
+                f.seek(length - 2, os.SEEK_CUR)
+    except struct.error:
+        return 1
+
+
+def orientation_at(path: str) -> int:
+    try:
+        with open(path, "rb") as f:
+            return orientation(f)
+    except OSError:
+        return 1
+
+
+def upright(a: np.ndarray, turn: int) -> np.ndarray:
+    """A picture as its Exif orientation wants it to be seen: 5 to 8 swap the axes, then either may be reversed."""
+    a = a.T if turn >= 5 else a
+    return a[:: -1 if turn in (3, 4, 7, 8) else 1, :: -1 if turn in (2, 3, 6, 7) else 1]
 
 
 def _resize(gray: np.ndarray, side: int) -> np.ndarray:
@@ -61,8 +116,10 @@ def measure_pictures(spark: SparkSession, path: str | list[str], vectors: bool =
                 if h <= 0 or w <= 0:
                     out.append((origin, None, None, None, 0.0, 0.0, *[None] * vectors))
                     continue
-                gray = gray_of(data, h, w, c)
-                out.append((origin, w, h, perceptual_hash(gray), *measure(gray), *([picture_vector(gray)] if vectors else [])))
+                turn = orientation_at(local_path(origin))
+                gray = upright(gray_of(data, h, w, c), turn)
+                vector = [picture_vector(upright(gray_of(data, h, w, c, on_white=True), turn) if c == 4 else gray)] if vectors else []
+                out.append((origin, gray.shape[1], gray.shape[0], perceptual_hash(gray), *measure(gray), *vector))
             yield pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")]).astype({"width": "Int32", "height": "Int32"})
 
     return rows.mapInPandas(work, schema).withColumn("path", F.regexp_replace("path", "^file:(//)?", ""))

@@ -14,6 +14,8 @@ from kindred.plans.session import cut
 
 #: Choices after which the least distances are written.
 WRITTEN_EVERY = 8
+#: k-means is fitted so often, from other starts; the fit of least cost counts.
+RESTARTS = 3
 METHODS = ("kmeans", "farthest", "hybrid")
 
 
@@ -79,7 +81,9 @@ def select_kmeans(rows: DataFrame, count: int, seed: int) -> list[int]:
     """The row nearest to each of `count` centres; farthest rows fill up where centres coincide."""
     if count == rows.count():
         return [r.idx for r in rows.select("idx").orderBy("idx").collect()]
-    fitted = KMeans(k=count, seed=seed, featuresCol="f", maxIter=20).fit(rows.select(array_to_vector("v").alias("f"))) if count > 1 else None
+    points = rows.select(array_to_vector("v").alias("f"))
+    fits = [KMeans(k=count, seed=seed + i, featuresCol="f", maxIter=20).fit(points) for i in range(RESTARTS)] if count > 1 else []
+    fitted = min(fits, key=lambda m: m.summary.trainingCost, default=None)
     centres = [np.asarray(c) for c in fitted.clusterCenters()] if fitted else [np.array(rows.select(*[F.avg(F.col("v")[i]) for i in range(len(rows.first().v))]).first())]
     picked = _nearest_unique(rows, centres)
     return picked if len(picked) == count else select_farthest(rows, count, seed, picked)

@@ -1,3 +1,4 @@
+import io
 import json
 import os
 import struct
@@ -6,9 +7,11 @@ import zlib
 import numpy as np
 import pytest
 
+from kindred.functions import images
+from kindred.plans import app
 from kindred.plans.app import WORKFLOWS
 from kindred.plans.options import OptionError, options
-from kindred.sinks import files
+from kindred.sinks import files, preview
 from kindred.sources.records import scan_files
 
 
@@ -120,3 +123,94 @@ def test_select_folder(spark, folder, tmp_path):
     assert sorted(os.listdir(out / "images")) == ["a.png", "c.png"]
     assert (out / "reports" / "rejected_all.txt").read_text().splitlines() == [f"duplicate\t{folder / 'sub' / 'b.png'}", f"embedding_failed\t{folder / 'broken.png'}"]
     assert len((out / "reports" / "selected_images.csv").read_text().splitlines()) == 3
+
+
+def exif(order, turn):
+    """A JPEG's first bytes: a comment, then an Exif segment with one other tag and the orientation."""
+    tiff = {"<": b"II", ">": b"MM"}[order] + struct.pack(order + "HI", 42, 8) + struct.pack(order + "H", 2) + struct.pack(order + "HHII", 0x0100, 4, 1, 9) + struct.pack(order + "HHIHH", 0x0112, 3, 1, turn, 0)
+    body = b"Exif\0\0" + tiff
+    return b"\xff\xd8\xff\xfe\0\x05abc\xff\xe1" + struct.pack(">H", len(body) + 2) + body + b"\xff\xda\0\2"
+
+
+@pytest.mark.parametrize("turn", range(1, 9))
+def test_orientation(turn):
+    assert images.orientation(io.BytesIO(exif("<", turn))) == images.orientation(io.BytesIO(exif(">", turn))) == turn
+    a = np.arange(6).reshape(2, 3)
+    # the corner that is seen at the upper left, and its neighbour to the right
+    corner = {1: (0, 1), 2: (2, 1), 3: (5, 4), 4: (3, 4), 5: (0, 3), 6: (3, 0), 7: (5, 2), 8: (2, 5)}[turn]
+    up = images.upright(a, turn)
+    assert tuple(up[0, :2]) == corner and up.shape == ((3, 2) if turn >= 5 else (2, 3))
+    m00, m10, m01, m11, m02, m12 = preview._turned(turn, 3, 2)
+    for y in range(2):
+        for x in range(3):  # pixel centres
+            u, v = m00 * (x + 0.5) + m01 * (y + 0.5) + m02, m10 * (x + 0.5) + m11 * (y + 0.5) + m12
+            assert up[int(v), int(u)] == a[y, x]
+
+
+def test_damaged_orientation():
+    whole = exif("<", 6)
+    for n in range(len(whole) - 8):
+        assert images.orientation(io.BytesIO(whole[:n])) == 1
+    for other in (b"", b"\x89PNG", exif("<", 0), exif("<", 9), whole.replace(b"II*", b"XX*")):
+        assert images.orientation(io.BytesIO(other)) == 1
+
+
+def test_turned_and_clear_pictures(spark, tmp_path):
+    """A JPEG with an orientation is measured as if it had been saved upright; clear pixels are white in the vector."""
+    java, rgb = spark._jvm.java, 1
+    picture = java.awt.image.BufferedImage(48, 32, rgb)
+    brush = picture.createGraphics()
+    brush.setColor(java.awt.Color.WHITE)
+    brush.fillRect(0, 0, 20, 10)
+    spark._jvm.javax.imageio.ImageIO.write(picture, "jpg", java.io.File(str(tmp_path / "a.jpg")))
+    plain = (tmp_path / "a.jpg").read_bytes()
+    (tmp_path / "b.jpg").write_bytes(exif("<", 6)[:-4] + plain[2:])
+    rows = {r.path[-5:]: r for r in images.measure_pictures(spark, str(tmp_path), vectors=True).collect()}
+    assert (rows["a.jpg"].width, rows["a.jpg"].height) == (48, 32) and (rows["b.jpg"].width, rows["b.jpg"].height) == (32, 48)
+    assert rows["a.jpg"].phash != rows["b.jpg"].phash and rows["a.jpg"].brightness == pytest.approx(rows["b.jpg"].brightness)
+    pixels = bytes([0, 0, 0, 0, 0, 0, 0, 255])
+    assert images.gray_of(pixels, 1, 2, 4, on_white=True).tolist() == [[255, 0]] and images.gray_of(pixels, 1, 2, 4).tolist() == [[0, 0]]
+
+
+def test_contact_sheet(spark, folder, tmp_path):
+    out = tmp_path / "sheets" / "s.jpg"
+    assert preview.contact_sheet(spark, [], str(out)) == 0 and not out.exists()
+    for bad in ({"columns": 0}, {"size": 31}):
+        with pytest.raises(ValueError):
+            preview.contact_sheet(spark, ["a"], str(out), **bad)
+    paths = [str(folder / n) for n in ("a.png", "broken.png", "none.png", "c.png")]
+    assert preview.contact_sheet(spark, paths, str(out), columns=3, size=64) == 2
+    sheet = spark._jvm.javax.imageio.ImageIO.read(spark._jvm.java.io.File(str(out)))
+    assert (sheet.getWidth(), sheet.getHeight()) == (3 * 64, 2 * 88)
+    gray = lambda x, y: sheet.getRGB(x, y) & 255
+    assert min(gray(x, 30) for x in range(14, 50)) < 100  # the first picture, in the middle of its cell
+    assert all(gray(x, y) > 240 for x in range(70, 186) for y in (5, 30, 60, 80))  # two blank cells
+    assert min(gray(x, y) for x in range(3, 60) for y in range(66, 86)) < 128  # a label
+    assert preview.label(9, "/x/" + "n" * 40) == "10. " + "n" * 24
+
+
+def test_cached_run(spark, folder, monkeypatch):
+    """The second run reads no file, a changed file alone is read again, and the results are the same."""
+    read, plain = [], app.pictures
+    monkeypatch.setattr(app, "pictures", lambda spark, scanned, places: read.append(sorted(os.path.basename(p) for p in places)) or plain(spark, scanned, places))
+    line = ["dedup", str(folder), "--keep-policy", "lexi", "--save-faiss-index"]
+
+    def run():
+        WORKFLOWS["dedup"](spark, options(line))
+        return {k: v for k, v in json.loads((folder / "dedup_report.json").read_text()).items() if k != "generated_at"}
+
+    first = run()
+    assert run() == first and first["total_duplicates"] == 1
+    assert spark.read.parquet(str(folder / ".kindred" / "vectors")).count() == 3
+    png(folder / "sub" / "b.png", np.random.default_rng(8).integers(0, 255, (40, 41)))
+    assert run()["total_duplicates"] == 0
+    # a file that can't be decoded is tried each time
+    assert read == [["a.png", "b.png", "broken.png", "c.png"], ["broken.png"], ["b.png", "broken.png"]]
+    (folder / "broken.png").unlink()
+    assert run()["total_images"] == 3 and len(read) == 3
+
+
+def test_selection_with_sheet(spark, folder, tmp_path):
+    out = tmp_path / "out"
+    WORKFLOWS["select"](spark, options(["select", str(folder), "--output", str(out), "--num", "2", "--selection-method", "kmeans", "--make-preview", "--preview-size", "40"]))
+    assert (out / "previews" / "selected.jpg").stat().st_size > 0 and len(os.listdir(out / "images")) == 2
