@@ -6,11 +6,11 @@ import os
 import re
 import struct
 from typing import BinaryIO
+from urllib.parse import unquote
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from kindred.operators.quality import measure
 
@@ -27,8 +27,13 @@ def gray_of(data: bytes, height: int, width: int, channels: int, on_white: bool
 
 
 def local_path(uri: str) -> str:
-    """The path that a reader's `file:` name stands for."""
-    return re.sub("^file:(//)?", "", uri)
+    """The path that the image reader's `file:` name, an encoded URI, stands for."""
+    return unquote(re.sub("^file:(//)?", "", uri))
+
+
+def literal(path: str) -> str:
+    """The pattern that matches this path alone, as Spark's readers take paths for patterns."""
+    return re.sub(r"([][{}*?\\])", r"\\\1", path)
 
 
 def _exif_value(tiff: bytes) -> int:
@@ -103,26 +108,27 @@ def picture_vector(gray: np.ndarray, side: int = VECTOR_SIDE) -> list[float]:
     return [*(small - small.mean()).tolist(), 1.0]
 
 
-def measure_pictures(spark: SparkSession, path: str | list[str], vectors: bool = False) -> DataFrame:
-    """PICTURE_SCHEMA, and with `vectors` also embedding, of the pictures under `path`; those that can't be decoded have NULL
+def measure_pictures(spark: SparkSession, places: str | list[str], vectors: bool = False) -> DataFrame:
+    """PICTURE_SCHEMA, and with `vectors` also embedding, of the pictures under `places`; those that can't be decoded have NULL
     sizes, hash and vector and zero quality."""
     schema = PICTURE_SCHEMA + (", embedding array<float>" if vectors else "")
-    rows = spark.read.format("image").option("recursiveFileLookup", "true").load(path).select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
+    rows = spark.read.format("image").option("recursiveFileLookup", "true").load([literal(p) for p in ([places] if isinstance(places, str) else places)]).select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
 
     def work(batches):
         for pdf in batches:
             out = []
             for origin, h, w, c, data in pdf.itertuples(index=False):
                 if h <= 0 or w <= 0:
-                    out.append((origin, None, None, None, 0.0, 0.0, *[None] * vectors))
+                    out.append((local_path(origin), None, None, None, 0.0, 0.0, *[None] * vectors))
                     continue
-                turn = orientation_at(local_path(origin))
+                path = local_path(origin)
+                turn = orientation_at(path)
                 gray = upright(gray_of(data, h, w, c), turn)
                 vector = [picture_vector(upright(gray_of(data, h, w, c, on_white=True), turn) if c == 4 else gray)] if vectors else []
-                out.append((origin, gray.shape[1], gray.shape[0], perceptual_hash(gray), *measure(gray), *vector))
+                out.append((path, gray.shape[1], gray.shape[0], perceptual_hash(gray), *measure(gray), *vector))
             yield pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")]).astype({"width": "Int32", "height": "Int32"})
 
-    return rows.mapInPandas(work, schema).withColumn("path", F.regexp_replace("path", "^file:(//)?", ""))
+    return rows.mapInPandas(work, schema)
 
 
 def measure_gray(rows: DataFrame, id_col: str, pixels: str, side: int) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from kindred.functions.decide import Thresholds
 from kindred.functions.features import l2_normalize, parent, sha256
-from kindred.functions.images import measure_pictures
+from kindred.functions.images import literal, measure_pictures
 from kindred.operators import report
 from kindred.operators.quality import QualityLimits, rejection_reason
 from kindred.plans import workflows
@@ -34,7 +34,7 @@ def pictures(spark: SparkSession, scanned: DataFrame, places: list[str]) -> Data
     if not places:
         empty = {"sha256": "string", "width": "int", "height": "int", "phash": "string", "blur_score": "double", "brightness": "double", "embedding": "array<double>"}
         return scanned.withColumns({k: F.lit(None).cast(v) for k, v in empty.items()})
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", PICTURES).load(places)
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", PICTURES).load([literal(p) for p in places])
     digests = raw.select(F.regexp_replace("path", "^file:(//)?", "").alias("path"), sha256(F.col("content")).alias("sha256"))
     measured = measure_pictures(spark, places, vectors=True).withColumn("embedding", l2_normalize(F.col("embedding")))
     return cut(scanned.join(digests, "path", "left").join(measured, "path", "left"))

@@ -12,7 +12,7 @@ from kindred.plans import app
 from kindred.plans.app import WORKFLOWS
 from kindred.plans.options import OptionError, options
 from kindred.sinks import files, preview
-from kindred.sources.records import scan_files
+from kindred.sources.records import scan_files, scan_table
 
 
 def png(path, pixels):
@@ -214,3 +214,14 @@ def test_selection_with_sheet(spark, folder, tmp_path):
     out = tmp_path / "out"
     WORKFLOWS["select"](spark, options(["select", str(folder), "--output", str(out), "--num", "2", "--selection-method", "kmeans", "--make-preview", "--preview-size", "40"]))
     assert (out / "previews" / "selected.jpg").stat().st_size > 0 and len(os.listdir(out / "images")) == 2
+
+
+def test_odd_names(spark, tmp_path):
+    """Names that hold spaces, patterns or escapes are read as they are, by folder and one by one."""
+    names = ["c [1].png", "d{a,b}.png", "e*?.png", "f%20g.png", "h#\u00e9.png"]
+    for n in names:
+        png(tmp_path / "in [x]" / n, np.arange(400).reshape(20, 20) % 251)
+    rows = scan_table(spark, [str(tmp_path / "in [x]")])
+    for places in ([str(tmp_path / "in [x]")], [str(tmp_path / "in [x]" / n) for n in names]):
+        found = app.pictures(spark, rows, places).collect()
+        assert sorted(os.path.basename(r.path) for r in found) == sorted(names) and all(r.sha256 and r.phash and r.embedding for r in found)
