@@ -5,17 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.plans.session import settle
+from kindred.plans.session import cut, few
 
 
-def _mark(edges: DataFrame) -> tuple[int, int]:
-    r = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-    return r.n, r.x or 0
+def _rows(*pairs: tuple[str, str]):
+    """Several (u, v) from one row. No union, so that a table in one partition stays there and needs no shuffle."""
+    return F.inline(F.array(*[F.struct(F.col(u).alias("u"), F.col(v).alias("v")) for u, v in pairs]))
+
+
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple[int, int, int]]:
+    """The edges, written and read back by as few tasks as they need; their number, their digest, and how many are loops."""
+    out = cut(edges)
+    r = out.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.count_if(F.col("u") == F.col("v")).alias("loops")).first()
+    return few(out, r.n), (r.n, r.x or 0, r.loops)
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each vertex links its larger neighbours to the smallest vertex it knows."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = edges.select(_rows(("u", "v"), ("v", "u")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
@@ -24,8 +31,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
     """Each vertex links its smaller neighbours and itself to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    return down.join(least, "u").select(_rows(("v", "m"), ("u", "m"))).where("u <> v").distinct()
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -33,18 +39,20 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Loops, repeated edges and edges with a null end are allowed and change nothing. Every round is written to the
     checkpoint folder, so neither the lineage nor what a lost executor costs grows with the rounds. Rounds grow with
-    the logarithm of the longest chain.
+    the logarithm of the longest chain. Rounds over edges that one task can read back shuffle nothing.
     """
     clean = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
-    loops = clean.where("u = v").select(F.col("u").alias("idx"))
-    now = settle(clean.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    mark = _mark(now)
+    first, mark = _written(clean.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    loops, now = mark[2], first
+    if loops:
+        now, mark = _written(first.where("u <> v"))
     while mark[0]:
-        now = settle(_small_star(_large_star(now)))
-        before, mark = mark, _mark(now)
+        before = mark
+        now, mark = _written(_small_star(_large_star(now)))
         if mark == before:
             break
-    members = now.select(F.col("u").alias("idx"), F.col("v").alias("group_id"))
-    members = members.unionByName(now.select(F.col("v").alias("idx"), F.col("v").alias("group_id")).distinct())
-    alone = loops.distinct().join(members, "idx", "left_anti").select("idx", F.col("idx").alias("group_id"))
-    return members.unionByName(alone)
+    members = now.select(_rows(("u", "v"), ("v", "v"))).distinct().toDF("idx", "group_id")
+    if not loops:
+        return members
+    alone = first.where("u = v").select(F.col("u").alias("idx")).join(members, "idx", "left_anti")
+    return members.unionByName(alone.select("idx", F.col("idx").alias("group_id")))

@@ -52,7 +52,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def few(df: DataFrame, rows: int, rows_per_task: int = 100_000) -> DataFrame:
+    """`df`, which has so many rows, in as few partitions as they need."""
+    return df.coalesce(max(1, -(-rows // rows_per_task)))
+
+
 def settle(df: DataFrame, rows_per_task: int = 100_000) -> DataFrame:
     """`cut`, read back by as few tasks as its rows need: later shuffles of a small table then write few files."""
     out = cut(df)
-    return out.coalesce(max(1, -(-out.count() // rows_per_task)))
+    return few(out, out.count(), rows_per_task)
