@@ -61,8 +61,8 @@ HELD_PAIRS = 1 << 20
 SLICE = 256
 #: Ids up to this many (8 bytes each) are broadcast to fetch their texts; more are joined.
 BROADCAST_IDS = 1_000_000
-#: Shared parts up to this many (8 bytes each) are broadcast; more are joined.
-BROADCAST_PARTS = 2_000_000
+#: Parts are dealt by so many bits of their signatures; parts that a task holds before it hands them on.
+BUCKET_BITS, HELD_PARTS = 10, 1 << 21
 #: Rows of a written table that one task reads back.
 SETS_PER_TASK = 20_000
 
@@ -89,37 +89,108 @@ class JaccardJoin:
 
     # -- what a text gives ------------------------------------------------------------------------------------------
 
-    def scan(self) -> tuple[DataFrame, DataFrame]:
-        """(doc_id, key, n) of every row, and (sig, key) of every part of every set, once per task and set."""
+    def scan(self) -> DataFrame:
+        """(doc_id, key, n) of every row."""
+        words = self.words
+
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            raw, keys, sizes = raw_texts(batch.column(1)), [], []
+            for a in range(0, len(raw), SLICE):
+                part = raw[a : a + SLICE]
+                owner, hashes = shingle_sets(part, words)
+                keys.append(_set_keys(owner, hashes, len(part)))
+                sizes.append(np.bincount(owner, minlength=len(part)))
+            return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), _signed(np.concatenate(keys)), pa.array(np.concatenate(sizes))], ["doc_id", "key", "n"])
+
+        return map_batches(self.docs, "doc_id long, key long, n long", work)
+
+    def dealt_parts(self) -> DataFrame:
+        """(bucket, parts): the parts of every set, once per task and set, in packs by the top bits of their signatures.
+
+        A part is a word, its further bits with its size in the last four, and the tag of its set: eight bytes.
+        """
         words, most = self.words, self.most
 
+        def packs(sigs: np.ndarray, sizes: np.ndarray, tags: np.ndarray) -> pa.RecordBatch:
+            order = np.argsort(sigs)
+            sigs, tags = sigs[order], tags[order]
+            bucket = (sigs >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+            low = (sigs >> np.uint64(32 - BUCKET_BITS)).astype(np.uint32) & np.uint32(~15 & 0xFFFFFFFF) | np.minimum(sizes[order], 15).astype(np.uint32)
+            starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+            held = [low[a:b].tobytes() + tags[a:b].tobytes() for a, b in zip(starts, [*starts[1:], len(sigs)], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(bucket[starts], pa.int32()), pa.array(held, pa.binary())], ["bucket", "parts"])
+
         def work(batches):
             seen: set[int] = set()
+            held, many = [], 0
             for batch in batches:
-                raw, ids = raw_texts(batch.column(1)), batch.column(0).to_pylist()
+                raw, known = raw_texts(batch.column(1)), batch.column(0).is_valid().to_numpy(zero_copy_only=False)
                 for a in range(0, len(raw), SLICE):
                     part = raw[a : a + SLICE]
                     owner, hashes = shingle_sets(part, words)
-                    keys, sizes = _set_keys(owner, hashes, len(part)), np.bincount(owner, minlength=len(part))
-                    new = np.zeros(len(part), bool)
-                    for i, k in enumerate(keys.tolist()):
-                        if sizes[i] and ids[a + i] is not None and k not in seen:
+                    keys, new = _set_keys(owner, hashes, len(part)), np.zeros(len(part), bool)
+                    for i in np.unique(owner[known[a : a + SLICE][owner]]).tolist():
+                        k = int(keys[i])
+                        if k not in seen:
                             new[i] = True
                             seen.add(k)
                     if len(seen) > 1_000_000:
                         seen.clear()
                     pick = new[owner]
-                    of, sigs = leaves(owner[pick], hashes[pick], most)
-                    # a row per document, with its parts where the set is seen first here
-                    order = np.argsort(of, kind="stable")
-                    counts = np.bincount(of, minlength=len(part))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[a : a + SLICE], pa.int64()), _signed(keys), pa.array(sizes), pa.array(new),
-                         pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), _signed(sigs[order]))],
-                        ["doc_id", "key", "n", "fresh", "sigs"],
-                    )
-
-        return self.docs.mapInArrow(work, "doc_id long, key long, n long, fresh boolean, sigs array<long>")
+                    of, sigs, sizes = leaves(owner[pick], hashes[pick], most)
+                    held.append((sigs, sizes, keys.astype(np.uint32)[of]))
+                    many += len(sigs)
+                    if many > HELD_PARTS:
+                        yield packs(*map(np.concatenate, zip(*held, strict=True)))
+                        held, many = [], 0
+            if many:
+                yield packs(*map(np.concatenate, zip(*held, strict=True)))
+
+        return self.docs.mapInArrow(work, "bucket int, parts binary")
+
+    def shared_parts(self) -> DataFrame:
+        """(sig, tag, size) of the parts that sets of several tags hold."""
+
+        def several(bucket: int, packs: list[bytes]) -> pa.RecordBatch:
+            halves = [np.frombuffer(p, np.uint32).reshape(2, -1).astype(np.uint64) for p in packs]
+            parts = np.unique(np.concatenate([low << np.uint64(32) | tags for low, tags in halves]))
+            low = parts >> np.uint64(32)
+            same = np.zeros(len(low) + 1, bool)
+            same[1:-1] = low[1:] == low[:-1]
+            held = same[:-1] | same[1:]
+            low, tags = low[held].astype(np.int64), (parts[held] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(bucket << 32 | low), pa.array(tags), pa.array(low & 15)], ["sig", "tag", "size"])
+
+        def stream(batches):
+            at, held = None, []
+            for batch in batches:
+                for bucket, pack in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    if bucket != at and held:
+                        yield several(at, held)
+                        held = []
+                    at = bucket
+                    held.append(pack)
+            if held:
+                yield several(at, held)
+
+        return self.dealt_parts().repartition("bucket").sortWithinPartitions("bucket").mapInArrow(stream, "sig long, tag long, size long")
+
+    def parts(self, nodes: DataFrame) -> DataFrame:
+        """(sig, key) of the shared parts of the sets that may be linked.
+
+        The parts that linked sets x and y share hold (t (s + 1) - s) |x or y| shingles at least: where their parts differ,
+        at most s of s + 1 shingles are common. Sets whose shared parts hold fewer are linked with nothing. Tags stand for
+        keys up to here; sets of equal tags, of which no part tells them apart, are a region of their own.
+        """
+        num, den, s = self.t.numerator, self.t.denominator, self.most
+        found = settle(self.shared_parts(), SETS_PER_TASK * 10)
+        tagged = nodes.select("key", "n", F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)).alias("tag"))
+        able = tagged.join(found.groupBy("tag").agg(F.sum("size").alias("held")), "tag")
+        # sizes from 15 on aren't told
+        able = able.where(f"held * {den} >= n * {num * (s + 1) - s * den}") if s < 15 else able
+        parts = found.join(self.small(able.select("tag", "key")), "tag").select("sig", "key")
+        twins = tagged.groupBy("tag").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("tag")
+        return settle(parts.union(tagged.join(self.small(twins), "tag").select(F.xxhash64("tag"), "key")))
 
     def read_sets(self, keys: DataFrame, nodes: DataFrame) -> DataFrame:
         """(key, members, sketch): the sorted shingle hashes, and counts of them by class, of the sets with these keys, from the
@@ -199,34 +270,6 @@ class JaccardJoin:
         pivots = parts.groupBy("sig").agg(F.min("key").alias("pivot"))
         return settle(parts.join(pivots, "sig").select(F.col("pivot").alias("region"), "pivot", "key").distinct())
 
-    @staticmethod
-    def two_of_each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        """(sig, key) from (key, sigs), with the least and the largest key of each part alone."""
-        lists = batch.column("sigs")
-        keys, sigs = np.repeat(batch.column("key").to_numpy(), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
-        order = np.lexsort((keys, sigs))
-        keys, sigs = keys[order], sigs[order]
-        ends = np.ones(len(sigs) + 1, bool)
-        ends[1:-1] = sigs[1:] != sigs[:-1]
-        kept = ends[:-1] | (ends[1:] & (keys != np.roll(keys, 1)))
-        return pa.RecordBatch.from_arrays([pa.array(sigs[kept]), pa.array(keys[kept])], ["sig", "key"])
-
-    def held_by_several(self, rows: DataFrame, shared: DataFrame) -> DataFrame:
-        """(sig, key) of the parts in `shared`, from (key, sigs). Up to a bound the shared parts travel to the rows, past it they meet by a join."""
-        if shared.count() > BROADCAST_PARTS:
-            return rows.select(F.explode("sigs").alias("sig"), "key").join(shared, "sig", "left_semi")
-        table = shared.toArrow()["sig"].to_numpy()
-        held = self.docs.sparkSession.sparkContext.broadcast(np.sort(table))
-
-        def pick(batch: pa.RecordBatch) -> pa.RecordBatch:
-            lists, known = batch.column("sigs"), held.value
-            keys = np.repeat(batch.column("key").to_numpy(), lists.value_lengths().to_numpy())
-            sigs = lists.flatten().to_numpy()
-            hit = known[np.minimum(np.searchsorted(known, sigs), len(known) - 1)] == sigs if len(known) else np.zeros(len(sigs), bool)
-            return pa.RecordBatch.from_arrays([pa.array(sigs[hit]), pa.array(keys[hit])], ["sig", "key"])
-
-        return map_batches(rows, "sig long, key long", pick)
-
     def star(self, regions: DataFrame, nodes: DataFrame) -> DataFrame:
         """Exact distances from the pivots to the members of their regions."""
         pairs = regions.where("key <> pivot").select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct()
@@ -347,15 +390,9 @@ class JaccardJoin:
 
     def components(self) -> DataFrame:
         """doc_id, n_shingles, component_id of each row."""
-        scanned = self.scan()
-        whole = cut(scanned)
-        docs = whole.select("doc_id", "key", "n")
-        nodes = settle(whole.where("n > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.min("n").alias("n")))
-        lists = whole.where("fresh").select("key", "sigs")
-        # two sets of a part at most from each batch, so that a part shared by very many sets is few rows; dealt once
-        some = map_batches(lists, "sig long, key long", self.two_of_each).repartition("sig")
-        shared = some.groupBy("sig").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("sig")
-        parts = settle(self.held_by_several(lists, cut(shared)).distinct())
+        docs = cut(self.scan())
+        nodes = settle(docs.where("n > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.min("n").alias("n")))
+        parts = self.parts(nodes)
         self.members = self.read_sets(parts.select("key").distinct(), nodes)
         sketched = settle(self.members.select("key", F.expr("octet_length(members) div 8").alias("n"), "sketch"))
         regions = self.by_pivot(parts)

@@ -58,12 +58,12 @@ def shingle_sets(raw: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
     return owner[fresh], rolled[fresh]
 
 
-def leaves(owner: np.ndarray, hashes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+def leaves(owner: np.ndarray, hashes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Cut each owner's set along the bits of its hashes until no part has more than `most` members.
 
-    Returns owner and signature of every part; a signature tells the bits that lead to the part and what it holds.
+    Returns owner, signature and size of every part; a signature tells the bits that lead to the part and what it holds.
     """
-    out_owner, out_sig = [], []
+    out_owner, out_sig, out_size = [], [], []
     mixed = mix(hashes + _GOLD)
     for level in range(65):
         if not len(owner):
@@ -77,9 +77,10 @@ def leaves(owner: np.ndarray, hashes: np.ndarray, most: int) -> tuple[np.ndarray
         if small.any():
             sums = np.add.reduceat(mixed, starts)[small]
             out_owner.append(owner[starts[small]])
+            out_size.append(sizes[small])
             out_sig.append(mix(sums + prefix[starts[small]] * _GOLD + np.uint64(level)))
         keep = np.repeat(~small, sizes)
         owner, hashes, mixed = owner[keep], hashes[keep], mixed[keep]
     if not out_owner:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(out_owner), np.concatenate(out_sig)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate(out_owner), np.concatenate(out_sig), np.concatenate(out_size)

@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from kindred.llm import bpe, html_extract, jaccard_join, line_dedup, matroska, packing, sharding, simhash, toxicity, warc
@@ -291,6 +292,31 @@ def test_jaccard_defined_cases(spark, docs, empty):
     assert jaccard_join.jaccard_components(empty).count() == 0
 
 
+def test_jaccard_reads_only_sets_that_may_be_linked(spark):
+    """A passage that all documents quote is less than what linked sets share, so none of their sets is read."""
+    passage = [f"p{i}" for i in range(12)]
+    rows = [(i, " ".join(passage + [f"o{i}x{k}" for k in range(200)])) for i in range(30)]
+    near = [f"n{k}" for k in range(200)]
+    rows += [(100 + i, " ".join(near[:150] + [f"e{i}"] + near[151:])) for i in range(3)]
+    join = jaccard_join.JaccardJoin(spark.createDataFrame(rows, "doc_id long, text string"), 5, Fraction("0.8"))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in join.components().collect()}
+    assert got == brute_components(rows, 5, Fraction("0.8"))
+    assert join.members.count() == 3
+    # a part travels as a word and a tag, whatever the number of shared ones
+    packs = join.dealt_parts().agg(F.sum(F.octet_length("parts")).alias("bytes")).first()
+    assert 0 < packs.bytes <= 8 * sum(n for n, _ in got.values())
+
+
+def test_jaccard_sets_of_equal_tags_meet(spark, monkeypatch):
+    """Tags that tell no sets apart lose no link."""
+    keys = jaccard_join._set_keys
+    monkeypatch.setattr(jaccard_join, "_set_keys", lambda *a: keys(*a) & np.uint64(0xFFFFFFFF00000000))
+    base = [f"w{k}" for k in range(60)]
+    rows = [(i, " ".join([f"x{i}"] + base[1:])) for i in range(4)] + [(9, "a b c d e f")]
+    join = jaccard_join.JaccardJoin(spark.createDataFrame(rows, "doc_id long, text string"), 3, Fraction("0.8"))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in join.components().collect()} == brute_components(rows, 3, Fraction("0.8"))
+
+
 @pytest.mark.parametrize("few_blocks", [1, 16])
 def test_voronoi_regions_and_blocks_lose_no_link(spark, few_blocks):
     """One large region of near copies, in which pivots and blocks must meet all linked sets."""
