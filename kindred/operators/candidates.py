@@ -6,6 +6,8 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,10 @@ from kindred.functions.features import dot, fingerprint_bits
 
 #: Rows of a block of the exact inner-product scan: two blocks and their scores are what one task holds.
 BLOCK_ROWS = 16384
+#: Rows of a block of the scans by threshold from which on tables are many blocks rather than larger ones.
+LARGE_BLOCK, LEAST_BLOCKS = 65536, 8
+#: Rows of a tile of such a scan, and pairs that a task scores or holds before it hands them on.
+TILE, TILE_COLUMNS, PAIRS_AT_ONCE = 128, 8192, 1 << 16
 
 
 def exact_pairs(records: DataFrame) -> DataFrame:
@@ -46,6 +52,162 @@ def hamming_pairs(records: DataFrame, radius: int, bands: int = 4) -> DataFrame:
     return met.select(F.col("a.idx").alias("a"), F.col("b.idx").alias("b"), apart.alias("distance")).distinct()
 
 
+def _meetings(rows: DataFrame, block_rows: int, columns: list[str], meet, schema: str) -> DataFrame:
+    """What `meet(left, right)` yields for any two blocks of `rows`, each two once in a task of its own; of a block by itself right is None."""
+    many = rows.count()
+    blocks = max(1, -(-many // max(block_rows, min(LARGE_BLOCK, many // LEAST_BLOCKS))))
+    block, other = F.col("_block"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    dealt = rows.withColumn("_block", F.pmod(F.xxhash64("idx"), F.lit(blocks)).cast("int")).withColumn("_other", other)
+    low, high = F.least("_block", "_other"), F.greatest("_block", "_other")
+    dealt = dealt.select((F.expr("greatest(_block, _other) * (greatest(_block, _other) + 1) div 2") + low).cast("int").alias("_at"), (block == high).alias("_right"), (low == high).alias("_alone"), *columns)
+
+    def run(batches):
+        held = [b for b in batches if b.num_rows]  # one meeting to a task
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        if table["_alone"][0].as_py():
+            yield from meet(table, None)
+            return
+        yield from meet(table.filter(pc.invert(table["_right"])), table.filter(table["_right"]))
+
+    return dealt.repartitionById(blocks * (blocks + 1) // 2, F.col("_at")).mapInArrow(run, schema)
+
+
+def _best(left: np.ndarray, right: np.ndarray, k: int, least: float):
+    """(p, q, cosine) by place: of each left row its k best right ones at or above `least`; right rows are in order of their ids.
+
+    Products in single precision leave open what lies within their error of the threshold; what they don't rule out is
+    scored in double precision.
+    """
+    short, base = left.astype(np.float32), np.ascontiguousarray(right.astype(np.float32).T)
+    size = np.sqrt((left * left).sum(1)).max(initial=0) * np.sqrt((right * right).sum(1)).max(initial=0)
+    # the error of a sum of products, and the last digit of a rounded score
+    fast = bool(np.isfinite(size) and size < 1e30)
+    error = size * 2.0**-23 * (left.shape[1] + 4) + 1e-6
+    for i in range(0, len(left), TILE):
+        rows = min(TILE, len(left) - i)
+        cut, held, many = np.full((rows, 1), least - error, np.float32), [], 0
+        for j in range(0, len(right), TILE_COLUMNS):
+            wide = min(TILE_COLUMNS, len(right) - j)
+            if not fast:
+                x, y = np.divmod(np.arange(rows * wide), wide)
+                held.append((x, y + j, np.zeros(len(x), np.float32)))
+                continue
+            product = short[i : i + TILE] @ base[:, j : j + wide]
+            at = np.flatnonzero(product >= cut)
+            x, y = np.divmod(at, wide)
+            held.append((x, y + j, product.ravel()[at]))
+            many += len(at)
+            if many > 3 * k * rows:
+                # a row's k best so far rule out what is lower by more than the error of either
+                x, y, about = (np.concatenate(c) for c in zip(*held, strict=True))
+                order = np.lexsort((-about, x))
+                last = np.searchsorted(x[order], np.arange(rows)) + k - 1
+                full = last < np.searchsorted(x[order], np.arange(rows), side="right")
+                cut[full, 0] = np.maximum(cut[full, 0], about[order[last[full]]] - np.float32(2 * error))
+                kept = about >= cut[x, 0]
+                held, many = [(x[kept], y[kept], about[kept])], int(kept.sum())
+        x, y, about = (np.concatenate(c) for c in zip(*held, strict=True))
+        fine = about >= cut[x, 0] if fast else np.ones(len(x), bool)
+        p, q = x[fine] + i, y[fine]
+        steps = range(0, len(p), PAIRS_AT_ONCE)
+        score = np.concatenate([np.round(np.einsum("ij,ij->i", left[p[at : at + PAIRS_AT_ONCE]], right[q[at : at + PAIRS_AT_ONCE]]), 6) + 0.0 for at in steps] or [np.zeros(0)])
+        order = np.lexsort((q, -score, p))
+        order = order[score[order] >= least]
+        p, q, score = p[order], q[order], score[order]
+        inside = np.arange(len(p)) - np.searchsorted(p, np.arange(i, i + TILE))[p - i] < k
+        if len(p):
+            yield p[inside], q[inside], score[inside]
+
+
+def _near(x: np.ndarray, y: np.ndarray, radius: int):
+    """(p, q, distance) by place, of fingerprints that differ in at most `radius` bits."""
+    rows, wide = TILE // 2, TILE_COLUMNS // 2  # half a tile's xors stay in the cache
+    for i in range(0, len(x), rows):
+        for j in range(0, len(y), wide):
+            apart = np.bitwise_count(x[i : i + rows, None] ^ y[None, j : j + wide])
+            p, q = np.divmod(np.flatnonzero(apart <= radius), apart.shape[1])
+            for at in range(0, len(p), PAIRS_AT_ONCE):
+                u, v = p[at : at + PAIRS_AT_ONCE], q[at : at + PAIRS_AT_ONCE]
+                yield u + i, v + j, apart[u, v].astype(np.int32)
+
+
+class _Block:
+    """Records of a block in order of their ids; rows without a vector or fingerprint are told by `whole` and `printed`."""
+
+    def __init__(self, table: pa.Table):
+        table = table.take(pc.sort_indices(table, [("idx", "ascending")])).combine_chunks()
+        self.ids = table["idx"].to_numpy()
+        vectors = table["embedding"].combine_chunks()
+        self.whole = vectors.is_valid().to_numpy(zero_copy_only=False)
+        flat, self.n = vectors.drop_null().flatten().to_numpy(zero_copy_only=False).astype(np.float64), len(table)
+        self.vectors = np.zeros((self.n, len(flat) // max(1, int(self.whole.sum()))))
+        self.vectors[self.whole] = flat.reshape(int(self.whole.sum()), -1) if len(flat) else 0
+        if "bits" in table.column_names:
+            bits = table["bits"].combine_chunks()
+            self.printed, self.bits = bits.is_valid().to_numpy(zero_copy_only=False), bits.fill_null(0).to_numpy().view(np.uint64)
+            self.sha = table["sha256"].combine_chunks()
+
+    def best(self, other: _Block, k: int, least: float):
+        """`_best` between the rows that have vectors, by their places in the blocks."""
+        mine, theirs = np.flatnonzero(self.whole), np.flatnonzero(other.whole)
+        if len(mine) and len(theirs):
+            for p, q, score in _best(self.vectors[mine], other.vectors[theirs], k, least):
+                yield mine[p], theirs[q], score
+
+
+def _above(records: DataFrame, k: int, least: float, block_rows: int) -> DataFrame:
+    """(a, b, cosine) at or above `least`, of each record and block the k best."""
+
+    def meet(left: pa.Table, right: pa.Table | None):
+        l = _Block(left)
+        r = l if right is None else _Block(right)
+        for own, other in ((l, r),) if right is None else ((l, r), (r, l)):
+            for p, q, score in own.best(other, k, least):
+                yield pa.RecordBatch.from_arrays([pa.array(own.ids[p]), pa.array(other.ids[q]), pa.array(score)], ["a", "b", "cosine"])
+
+    return _meetings(records, block_rows, ["idx", "embedding"], meet, "a long, b long, cosine double")
+
+
+def near_pairs(records: DataFrame, radius: int, k: int, least: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(a, b, arm, cosine, phash_distance, same_sha256), a < b: arm 1 of fingerprints within `radius`, arm 2 of the one-sided top-k.
+
+    Blocks meet blocks with all that the evidence is made of, so no pair is joined with its records.
+    """
+    names = ["a", "b", "arm", "cosine", "phash_distance", "same_sha256"]
+
+    def told(l: _Block, r: _Block, arm: int, p: np.ndarray, q: np.ndarray, cosine: np.ndarray | None) -> pa.RecordBatch:
+        # each way round for the top-k, whose ranks count partners on both sides
+        if cosine is None:
+            cosine = np.round(np.einsum("ij,ij->i", l.vectors[p], r.vectors[q]), 6) + 0.0 if l.vectors.shape[1] == r.vectors.shape[1] else np.zeros(len(p))
+        apart = np.bitwise_count(l.bits[p] ^ r.bits[q]).astype(np.int32)
+        one = l.sha.take(pa.array(p))
+        same = pc.and_(pc.equal(one, r.sha.take(pa.array(q))), pc.not_equal(one, "")).fill_null(False)
+        a, b = l.ids[p], r.ids[q]
+        if arm == 1:
+            a, b = np.minimum(a, b), np.maximum(a, b)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(p), arm, np.int32)), pa.array(cosine, mask=~(l.whole[p] & r.whole[q])), pa.array(apart, mask=~(l.printed[p] & r.printed[q])), same], names)
+
+    def meet(left: pa.Table, right: pa.Table | None):
+        l = _Block(left)
+        r = l if right is None else _Block(right)
+        mine, theirs = np.flatnonzero(l.printed), np.flatnonzero(r.printed)
+        for p, q, _ in _near(l.bits[mine], r.bits[theirs], radius):
+            p, q = mine[p], theirs[q]
+            if right is None:
+                p, q = p[l.ids[p] < r.ids[q]], q[l.ids[p] < r.ids[q]]
+            yield told(l, r, 1, p, q, None)
+        for own, other in ((l, r),) if right is None else ((l, r), (r, l)):
+            for p, q, score in own.best(other, k, least):
+                yield told(own, other, 2, p, q, score)
+
+    rows = records.select("idx", fingerprint_bits(F.col("phash")).alias("bits"), "embedding", "sha256")
+    met = _meetings(rows, block_rows, ["idx", "bits", "embedding", "sha256"], meet, "a long, b long, arm int, cosine double, phash_distance int, same_sha256 boolean")
+    order = Window.partitionBy("arm", "a").orderBy(F.col("cosine").desc(), "b")
+    return met.withColumn("rank", F.row_number().over(order)).where(f"arm = 1 OR rank <= {k} AND a < b").select(*names)
+
+
 def top_k(records: DataFrame, k: int, least: float | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(a, b, cosine, rank): the k best partners of each record, itself among them, by exact inner product.
 
@@ -53,6 +215,9 @@ def top_k(records: DataFrame, k: int, least: float | None = None, block_rows: in
     record, and a window merges them. With `least`, scores below it are dropped early, which changes no rank above it.
     """
     rows = records.where("embedding IS NOT NULL").select("idx", "embedding")
+    order = Window.partitionBy("a").orderBy(F.col("cosine").desc(), "b")
+    if least is not None:
+        return _above(rows, k, least, block_rows).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     blocks = max(1, -(-rows.count() // block_rows))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("idx"), F.lit(blocks)).cast("int"))
     others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
@@ -69,21 +234,12 @@ def top_k(records: DataFrame, k: int, least: float | None = None, block_rows: in
             part = l.iloc[at : at + 512]
             scores = np.round(np.stack(part["embedding"].to_list()).astype(np.float64) @ base.T, 6) + 0.0
             own = part["idx"].to_numpy()
-            if least is not None:
-                r, c = np.nonzero(scores >= least)
-                order = np.lexsort((c, -scores[r, c], r))
-                r, c = r[order], c[order]
-                first = np.searchsorted(r, np.arange(len(own)))
-                inside = np.arange(len(r)) - first[r] < k
-                r, c = r[inside], c[inside]
-            else:
-                c = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                r, c = np.repeat(np.arange(len(own)), c.shape[1]), c.ravel()
+            c = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+            r, c = np.repeat(np.arange(len(own)), c.shape[1]), c.ravel()
             out.append(pd.DataFrame({"a": own[r], "b": ids[c], "cosine": scores[r, c]}))
         return pd.concat(out)
 
     met = left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInPandas(meet, "a long, b long, cosine double")
-    order = Window.partitionBy("a").orderBy(F.col("cosine").desc(), "b")
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 

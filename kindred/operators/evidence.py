@@ -6,36 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.functions.decide import Thresholds, decide, rank
-from kindred.functions.features import dot, fingerprint_distance
-from kindred.operators.candidates import exact_pairs, hamming_pairs, one_sided, top_k
+from kindred.functions.features import fingerprint_distance
+from kindred.operators.candidates import exact_pairs, near_pairs
 
 
-def _sides(pairs: DataFrame, records: DataFrame) -> DataFrame:
-    own = records.select("idx", "sha256", "phash", "parent", "embedding")
-    left = own.select(*[F.col(c).alias(f"a_{c}") for c in own.columns])
-    right = own.select(*[F.col(c).alias(f"b_{c}") for c in own.columns])
-    return pairs.join(left, F.col("a") == F.col("a_idx")).join(right, F.col("b") == F.col("b_idx"))
-
-
-def decided(pairs: DataFrame, records: DataFrame, t: Thresholds, cross_folder_only: bool = False) -> DataFrame:
-    """pairs(a, b, arm, cosine) with distance, same_sha256 and the decision; cosine is computed for the fingerprint arm."""
-    both = _sides(pairs, records)
-    if cross_folder_only:
-        both = both.where("a_parent <> b_parent")
-    same = F.coalesce((F.col("a_sha256") == F.col("b_sha256")) & (F.col("a_sha256") != ""), F.lit(False))
-    cosine = F.when(F.col("arm") == 1, F.round(dot(F.col("a_embedding"), F.col("b_embedding")), 6)).otherwise(F.col("cosine"))
-    full = both.select("a", "b", "arm", cosine.alias("cosine"), fingerprint_distance(F.col("a_phash"), F.col("b_phash")).alias("phash_distance"), same.alias("same_sha256"))
+def decided(pairs: DataFrame, t: Thresholds) -> DataFrame:
+    """pairs(a, b, arm, cosine, phash_distance, same_sha256) with the decision."""
     verdict = decide(F.col("same_sha256"), F.col("phash_distance"), F.col("cosine"), t)
-    return full.withColumn("v", verdict).select("a", "b", "arm", "cosine", "phash_distance", "same_sha256", "v.decision", "v.reason", "v.confidence")
+    return pairs.withColumn("v", verdict).select("a", "b", "arm", "cosine", "phash_distance", "same_sha256", "v.decision", "v.reason", "v.confidence")
 
 
 def all_evidence(records: DataFrame, t: Thresholds, k: int = 50, cross_folder_only: bool = False) -> DataFrame:
     """Decided candidates of the arms: 0 equal digests, 1 near fingerprints, 2 one-sided top-k."""
-    none = F.lit(None).cast("double")
-    arms = exact_pairs(records).select("a", "b", F.lit(0).alias("arm"), none.alias("cosine"))
-    arms = arms.unionByName(hamming_pairs(records, t.phash_verify).select("a", "b", F.lit(1).alias("arm"), none.alias("cosine")))
-    arms = arms.unionByName(one_sided(top_k(records, k, t.cosine_review), t.cosine_review).select("a", "b", F.lit(2).alias("arm"), "cosine"))
-    return decided(arms, records, t, cross_folder_only)
+    own = records.select("idx", "phash")
+    equal = exact_pairs(records).join(own.toDF("a", "pa"), "a").join(own.toDF("b", "pb"), "b")
+    arms = equal.select("a", "b", F.lit(0).alias("arm"), F.lit(None).cast("double").alias("cosine"), fingerprint_distance(F.col("pa"), F.col("pb")).alias("phash_distance"), F.lit(True).alias("same_sha256"))
+    arms = arms.unionByName(near_pairs(records, t.phash_verify, k, t.cosine_review))
+    if cross_folder_only:
+        folder = records.select("idx", "parent")
+        arms = arms.join(folder.toDF("a", "fa"), "a").join(folder.toDF("b", "fb"), "b").where("fa <> fb").drop("fa", "fb")
+    return decided(arms, t)
 
 
 def best_pairs(evidence: DataFrame) -> DataFrame:

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.functions.features import parent, sha256, suffix, text_fingerprints, text_vectors
+from kindred.functions.features import parent, sha256, suffix
+from kindred.functions.texts import with_features
 from kindred.operators.number import numbered
 from kindred.plans.session import cut
 
@@ -41,12 +42,7 @@ def plain_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_records(spark: SparkSession, sf_dir: str, prints: bool = True, vectors: bool = True) -> DataFrame:
     """Records of the documents table with the features asked for, written once so that a plan may read them often."""
     rows = from_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    out = rows
-    if prints:
-        out = out.join(text_fingerprints(rows), "idx", "left")
-    if vectors:
-        out = out.join(text_vectors(rows), "idx", "left")
-    return cut(out.drop("text"))
+    return cut(with_features(rows, prints, vectors))
 
 
 def entries(folder: str) -> Iterator[tuple[str, int, float, bool]]:

@@ -1,3 +1,5 @@
+import re
+import hashlib
 import itertools
 import math
 import os
@@ -11,6 +13,8 @@ from pyspark.sql import functions as F
 
 from kindred.functions.decide import Thresholds, decide
 from kindred.functions.features import fingerprint_distance, l2_normalize
+from kindred.functions.texts import with_features
+from kindred.operators import candidates
 from kindred.operators.candidates import hamming_pairs, one_sided, top_k
 from kindred.operators.cluster import chain_labels, linkage_labels, split_groups
 from kindred.operators.components import connected_components
@@ -88,6 +92,56 @@ def test_top_k_is_one_sided_and_counts_itself(spark):
     assert full.groupBy("a").count().where("count > 2").count() == 0
 
 
+def test_best_partners_under_running_bounds(monkeypatch):
+    """What rules a pair out early changes no list, ties and copies included."""
+    monkeypatch.setattr(candidates, "TILE_COLUMNS", 16)
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(20, 8))
+    rows = np.concatenate([base[rng.integers(0, 20, 200)] + 0.1 * rng.normal(size=(200, 8)), np.repeat(base[:2], 60, axis=0)])
+    rows = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    scores = np.round(rows @ rows.T, 6)
+    for k in (1, 3, 1 << 30):
+        want = {(i, int(j)) for i in range(len(rows)) for j in np.argsort(-scores[i], kind="stable")[:k] if scores[i, j] >= 0.9}
+        assert {(int(i), int(j)) for p, q, _ in candidates._best(rows, rows, k, 0.9) for i, j in zip(p, q, strict=True)} == want
+
+
+@pytest.mark.parametrize("block_rows", [7, 1000])
+def test_pairs_come_with_their_evidence(spark, block_rows):
+    """No pair is joined with its records, whichever blocks they lie in; missing features satisfy nothing."""
+    rng = np.random.default_rng(4)
+    prints = [int(x) for x in rng.integers(0, 2**63, 4)]
+    rows = []
+    for i in range(40):
+        v = rng.normal(size=4)
+        rows.append((i, f"{prints[i % 4] ^ (1 << (i % 11)):016x}" if i % 9 else None, (v / np.linalg.norm(v)).tolist() if i % 7 else None, ["x", "y", "", None][i % 4]))
+    frame = spark.createDataFrame(rows, "idx long, phash string, embedding array<double>, sha256 string")
+    pairs = candidates.near_pairs(frame, 2, 5, 0.8, block_rows=block_rows)
+    assert "Join" not in pairs._jdf.queryExecution().executedPlan().toString()
+    got = {(r.a, r.b, r.arm): (r.cosine, r.phash_distance, r.same_sha256) for r in pairs.collect()}
+    cosine = lambda a, b: None if a[2] is None or b[2] is None else round(float(np.dot(a[2], b[2])), 6)
+    apart = lambda a, b: None if a[1] is None or b[1] is None else (int(a[1], 16) ^ int(b[1], 16)).bit_count()
+    told = lambda a, b: (cosine(a, b), apart(a, b), bool(a[3]) and a[3] == b[3])
+    want = {(a[0], b[0], 1): told(a, b) for a, b in itertools.combinations(rows, 2) if apart(a, b) is not None and apart(a, b) <= 2}
+    for a in rows:
+        best = sorted((-cosine(a, b), b[0]) for b in rows if cosine(a, b) is not None and cosine(a, b) >= 0.8)[:5]
+        want |= {(a[0], j, 2): told(a, rows[j]) for _, j in best if j > a[0]}
+    assert got == want
+
+
+def test_text_features_need_no_shuffle(spark):
+    """Fingerprint and vector by the definitions, of rows that stay where they are; null and empty texts have their own."""
+    texts = [None, "", " \t\n", "One one TWO\x0bthree", "a b a c " * 50, "\u00c4pfel \u4e2d\u6587 x\u00a0y"]
+    out = with_features(spark.createDataFrame(list(enumerate(texts)), "idx long, text string"))
+    assert not {"Exchange", "Join", "Aggregate"} & set(re.findall("Exchange|Join|Aggregate", out._jdf.queryExecution().executedPlan().toString()))
+    for r in out.collect():
+        words = (texts[r.idx] or "").lower().encode().split()
+        hashes = [int.from_bytes(hashlib.md5(w).digest()[:8], "big") for w in set(words)]
+        bits = sum(1 << j for j in range(64) if 2 * sum(h >> j & 1 for h in hashes) > len(hashes))
+        assert r.phash == (None if texts[r.idx] is None else f"{bits:016x}")
+        counts = np.bincount([hashlib.md5(w).digest()[0] % 64 for w in words], minlength=64) - len(words) / 64
+        assert r.embedding is None if not words else np.allclose(r.embedding, counts / np.linalg.norm(counts), rtol=0, atol=1e-15)
+
+
 def test_best_evidence_by_rank_then_cosine_then_arm(spark):
     cols = "a long, b long, arm int, cosine double, phash_distance int, same_sha256 boolean, decision string, reason string, confidence string"
     rows = [(1, 2, 0, None, 0, True, "duplicate", "x", "e"), (1, 2, 1, 0.9, 0, True, "duplicate", "y", "e"), (1, 2, 2, 0.9, 0, True, "duplicate", "z", "e"), (3, 4, 2, 0.99, 9, False, "ignore", "n", "i"), (5, 6, 2, 0.86, 9, False, "review", "r", "r")]
