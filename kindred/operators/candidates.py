@@ -10,9 +10,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from kindred.functions.decide import no_nan
 from kindred.functions.features import dot, fingerprint_bits
+from kindred.plans.session import cut
 
 #: Rows of a block of the exact inner-product scan: two blocks and their scores are what one task holds.
 BLOCK_ROWS = 16384
@@ -20,6 +22,12 @@ BLOCK_ROWS = 16384
 LARGE_BLOCK, LEAST_BLOCKS = 65536, 8
 #: Rows of a tile of such a scan, and pairs that a task scores or holds before it hands them on.
 TILE, TILE_COLUMNS, PAIRS_AT_ONCE = 128, 8192, 1 << 16
+#: Rows and columns of a tile where both sides look for partners, rows whose best product is looked at first, and partners held.
+WIDE_TILE, GROUP, MOST_HELD = 1024, 32, 1 << 22
+#: Rows of a cell of like vectors, in which floors are found, and rows that choose the cells.
+CELL_ROWS, CELL_SAMPLE = 16384, 8192
+#: Bands of a fingerprint, and pairs from which on they are looked up.
+BANDS, LEAST_LOOKUP = 3, 1 << 26
 
 
 def exact_pairs(records: DataFrame) -> DataFrame:
@@ -123,6 +131,9 @@ def _best(left: np.ndarray, right: np.ndarray, k: int, least: float):
 
 def _near(x: np.ndarray, y: np.ndarray, radius: int):
     """(p, q, distance) by place, of fingerprints that differ in at most `radius` bits."""
+    if radius // BANDS <= 2 and len(x) * len(y) >= LEAST_LOOKUP:
+        yield from _near_by_bands(x, y, radius)
+        return
     rows, wide = TILE // 2, TILE_COLUMNS // 2  # half a tile's xors stay in the cache
     for i in range(0, len(x), rows):
         for j in range(0, len(y), wide):
@@ -133,6 +144,233 @@ def _near(x: np.ndarray, y: np.ndarray, radius: int):
                 yield u + i, v + j, apart[u, v].astype(np.int32)
 
 
+def _near_by_bands(x: np.ndarray, y: np.ndarray, radius: int):
+    """`_near` by multi-index hashing: one of the bands differs in at most radius // BANDS bits; a pair counts in the first such band."""
+    least = radius // BANDS
+    edges = [64 * b // BANDS for b in range(BANDS + 1)]
+    masks = [np.uint64((1 << hi) - (1 << lo)) for lo, hi in zip(edges, edges[1:], strict=False)]
+    for b, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
+        mine, theirs = (((z & masks[b]) >> np.uint64(lo)).astype(np.int64) for z in (x, y))
+        many = np.bincount(theirs, minlength=1 << (hi - lo))
+        order, held, end = np.argsort(theirs, kind="stable"), many > 0, np.cumsum(many)
+        for flip in (sum(1 << i for i in c) for n in range(least + 1) for c in combinations(range(hi - lo), n)):
+            probe = mine ^ flip
+            found = np.flatnonzero(held[probe])
+            count = many[probe[found]]
+            upto = np.cumsum(count)
+            at = 0
+            while at < len(found):
+                # as many probes as meet PAIRS_AT_ONCE fingerprints, one at least
+                done = upto[at - 1] if at else 0
+                to = max(at + 1, int(np.searchsorted(upto, done + PAIRS_AT_ONCE, side="right")))
+                some, n = found[at:to], count[at:to]
+                inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                p, q = np.repeat(some, n), order[np.repeat(end[probe[some]] - n, n) + inside]
+                apart = np.bitwise_count(x[p] ^ y[q])
+                fine = apart <= radius
+                for mask in masks[:b]:
+                    fine &= np.bitwise_count((x[p] ^ y[q]) & mask) > least
+                if fine.any():
+                    yield p[fine], q[fine], apart[fine].astype(np.int32)
+                at = to
+
+
+def _error(vectors: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Of each vector, what a product with the others in single precision may be off, and the last digit of a rounded score."""
+    size = np.sqrt((vectors * vectors).sum(1)) * np.sqrt((others * others).sum(1)).max(initial=0)
+    return size * 2.0**-23 * (vectors.shape[1] + 4) + 1e-6
+
+
+def _firsts(owner: np.ndarray, partner: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best of each owner, in order; equal scores by the lower partner."""
+    order = np.lexsort((partner, -score, owner))
+    mine = owner[order]
+    return order[np.arange(len(mine)) - np.searchsorted(mine, mine) < k]
+
+
+class _Lists:
+    """The best partners so far of the rows of a block, trimmed to k each whenever MOST_HELD are held."""
+
+    def __init__(self, floor: np.ndarray, k: int):
+        self.floor, self.k, self.held, self.many = floor.copy(), k, [], 0
+
+    def add(self, owner: np.ndarray, partner: np.ndarray, score: np.ndarray) -> bool:
+        """Whether floors rose."""
+        fine = score >= self.floor[owner]
+        self.held.append((owner[fine], partner[fine], score[fine]))
+        self.many += int(fine.sum())
+        if self.many < MOST_HELD:
+            return False
+        owner, partner, score = self.best()
+        self.held, self.many = [(owner, partner, score)], len(owner)
+        # what is still there is no reason to trim again
+        self.many -= min(self.many, MOST_HELD // 2)
+        last = np.searchsorted(owner, np.arange(len(self.floor)), side="right") - 1
+        full = np.bincount(owner, minlength=len(self.floor)) >= self.k
+        self.floor[full] = score[last[full]]
+        return True
+
+    def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        owner, partner, score = (np.concatenate(c) for c in zip(*self.held, strict=True)) if self.held else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        first = _firsts(owner, partner, score, self.k)
+        return owner[first], partner[first], score[first]
+
+
+def _best_of_both(left: np.ndarray, right: np.ndarray | None, floors: tuple[np.ndarray, np.ndarray], k: int):
+    """(p, q, score) by place twice: of each left row its k best right ones at or above its floor, and the other way round.
+
+    One product serves both. Without `right` the left rows meet each other and themselves, and the second is None. Rows
+    are in order of their ids. Products in single precision are compared less their error; what they leave is scored in
+    double precision. Rows of like floors lie together, so the largest product of a group tells that none of it counts.
+    """
+    alone = right is None
+    right = left if alone else right
+    order = [np.argsort(f, kind="stable") for f in floors]
+    lists = [_Lists(floors[0], k)] + [_Lists(floors[1], k)] * (not alone)
+    mine, theirs = lists[0], lists[-1]
+    x, y = (v[o].astype(np.float32) for v, o in zip((left, right), order, strict=True))
+    error = _error(left, right)[order[0]], _error(right, left)[order[1]]
+    fast = bool(all(np.isfinite(e).all() and e.max(initial=0) < 1 for e in error))
+
+    def bounds():
+        return (mine.floor[order[0]] - error[0]).astype(np.float32), (theirs.floor[order[1]] - error[1]).astype(np.float32)
+
+    def scored(p: np.ndarray, q: np.ndarray) -> bool:
+        rose = False
+        for at in range(0, len(p), PAIRS_AT_ONCE):
+            u, v = order[0][p[at : at + PAIRS_AT_ONCE]], order[1][q[at : at + PAIRS_AT_ONCE]]
+            score = np.round(np.einsum("ij,ij->i", left[u], right[v]), 6) + 0.0
+            rose |= mine.add(u, v, score)
+            other = u != v if alone else slice(None)
+            rose |= theirs.add(v[other], u[other], score[other])
+        return rose
+
+    below, above = bounds()
+    room = np.empty(WIDE_TILE * WIDE_TILE, np.float32)
+    for i in range(0, len(x), WIDE_TILE):
+        rows = min(WIDE_TILE, len(x) - i)
+        full = -(-rows // GROUP)
+        for j in range(i if alone else 0, len(y), WIDE_TILE):
+            wide = min(WIDE_TILE, len(y) - j)
+            if fast:
+                product = room[: full * GROUP * wide].reshape(full * GROUP, wide)
+                np.matmul(x[i : i + rows], y[j : j + wide].T, out=product[:rows])
+                product[rows:] = -np.inf
+                own = np.full(full * GROUP, np.inf, np.float32)
+                own[:rows] = below[i : i + rows]
+                own = own.reshape(full, GROUP)
+                grouped = product.reshape(full, GROUP, wide)
+                g, c = np.divmod(np.flatnonzero(grouped.max(1) >= np.minimum(own.min(1)[:, None], above[j : j + wide])), wide)
+                n, r = np.divmod(np.flatnonzero(grouped[g, :, c] >= np.minimum(own[g], above[j + c][:, None])), GROUP)
+                p, q = g[n] * GROUP + r + i, c[n] + j
+            else:
+                p, q = (z.ravel() for z in np.meshgrid(np.arange(i, i + rows), np.arange(j, j + wide), indexing="ij"))
+            if alone and i == j:
+                p, q = p[p <= q], q[p <= q]
+            if scored(p, q):
+                below, above = bounds()
+    yield mine.best()
+    yield None if alone else theirs.best()
+
+
+def _tree(sample: np.ndarray, depth: int) -> list[list[tuple[np.ndarray, float]]]:
+    """Directions and bounds that halve the sample `depth` times, level by level."""
+    levels, parts = [], [sample]
+    for _ in range(depth):
+        level, halves = [], []
+        for part in parts:
+            centred = part - part.mean(0) if len(part) else np.zeros((1, sample.shape[1]))
+            way = np.linalg.eigh(centred.T @ centred)[1][:, -1]
+            along = part @ way
+            bound = float(np.median(along)) if len(part) else 0.0
+            level.append((way, bound))
+            halves += [part[along <= bound], part[along > bound]]
+        levels.append(level)
+        parts = halves
+    return levels
+
+
+def _cells(vectors: np.ndarray, levels: list) -> np.ndarray:
+    at = np.zeros(len(vectors), np.int64)
+    for level in levels:
+        along = np.einsum("ij,ij->i", vectors, np.stack([way for way, _ in level])[at])
+        at = 2 * at + (along > np.array([bound for _, bound in level])[at])
+    return at
+
+
+def _floors(vectors: np.ndarray, k: int, least: float) -> np.ndarray:
+    """Of each vector a score that k of these, itself among them, reach; `least` where they don't reach that."""
+    out, n = np.full(len(vectors), least), len(vectors)
+    step = max(1, min(8, n // (2 * k)))  # the k best of groups of rows, each by its best, reach no more than the k best rows
+    fit = n // step * step
+    error = _error(vectors, vectors)
+    if fit // step < k or not (np.isfinite(error).all() and error.max(initial=0) < 1):
+        return out
+    single = vectors.astype(np.float32)
+    for i in range(0, n, TILE):
+        product = single[:fit] @ single[i : i + TILE].T
+        best = product.reshape(fit // step, step, -1).max(1)
+        reach = (best >= least).sum(0) >= k
+        if reach.any():
+            kth = np.partition(best[:, reach], best.shape[0] - k, axis=0)[best.shape[0] - k]
+            out[i : i + TILE][reach] = np.maximum(least, kth.astype(np.float64) - error[i : i + TILE][reach])
+    return out
+
+
+def with_floors(rows: DataFrame, k: int, least: float, cell_rows: int | None = None) -> DataFrame:
+    """`rows` with `floor`: a score of at least `least` below which no partner is among the k best of the row.
+
+    Like vectors meet in cells, chosen by a sample, and a row's k-th best partner there is its floor. Which cells these are
+    changes how high floors are, never which pairs are found.
+    """
+    cell_rows = cell_rows or CELL_ROWS
+    sample = rows.where("embedding IS NOT NULL").select("embedding", F.xxhash64("idx").alias("_h")).orderBy("_h").limit(CELL_SAMPLE).toArrow()["embedding"].combine_chunks()
+    some = sample.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(sample), -1) if len(sample) else np.zeros((0, 0))
+    some = some[np.isfinite(some).all(1) & (np.abs(some) < 1e30).all(1)]
+    depth = max(0, int(np.ceil(np.log2(max(1, rows.count()) / cell_rows)))) if some.size else 0
+    levels = _tree(some, depth)
+    schema = rows.schema
+
+    def vectors_of(table) -> tuple[np.ndarray, np.ndarray]:
+        found = table["embedding"]
+        found = found.combine_chunks() if isinstance(found, pa.ChunkedArray) else found
+        whole = found.is_valid().to_numpy(zero_copy_only=False)
+        flat = found.drop_null().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        return whole, flat.reshape(int(whole.sum()), -1) if len(flat) else np.zeros((int(whole.sum()), 0))
+
+    def place(batches):
+        for batch in batches:
+            whole, vectors = vectors_of(batch)
+            cell = np.arange(batch.num_rows) % (1 << depth)  # rows without a vector go anywhere
+            if vectors.size:
+                cell[whole] = _cells(vectors, levels)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32))], [*schema.names, "_cell"])
+
+    def find(batches):
+        def told(held):
+            table = pa.Table.from_batches(held).drop_columns(["_cell"]).combine_chunks()
+            whole, vectors = vectors_of(table)
+            floor = np.full(len(table), least)
+            if vectors.size:
+                floor[whole] = _floors(vectors, k, least)
+            yield from table.append_column("floor", pa.array(floor)).to_batches()
+
+        held, many = [], 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, cell_rows):
+                part = batch.slice(at, cell_rows)
+                if many + part.num_rows > 2 * cell_rows:
+                    yield from told(held)
+                    held, many = [], 0
+                held.append(part)
+                many += part.num_rows
+        if many:
+            yield from told(held)
+
+    dealt = rows.mapInArrow(place, StructType([*schema.fields, StructField("_cell", IntegerType())]))
+    return dealt.repartitionById(1 << depth, F.col("_cell")).mapInArrow(find, StructType([*schema.fields, StructField("floor", DoubleType())]))
+
+
 class _Block:
     """Records of a block in order of their ids; rows without a vector or fingerprint are told by `whole` and `printed`."""
 
@@ -147,7 +385,7 @@ class _Block:
         if "bits" in table.column_names:
             bits = table["bits"].combine_chunks()
             self.printed, self.bits = bits.is_valid().to_numpy(zero_copy_only=False), bits.fill_null(0).to_numpy().view(np.uint64)
-            self.sha = table["sha256"].combine_chunks()
+            self.sha, self.floor = table["sha256"].combine_chunks(), table["floor"].to_numpy()
 
     def best(self, other: _Block, k: int, least: float):
         """`_best` between the rows that have vectors, by their places in the blocks."""
@@ -157,6 +395,14 @@ class _Block:
                 yield mine[p], theirs[q], score
 
 
+def _number(l: _Block, r: _Block) -> None:
+    """Numbers in place of digests: equal ones are equal in both blocks, null and empty ones are -1."""
+    parts = [b.sha for b in ((l,) if l is r else (l, r))]
+    codes = pc.index_in(pa.chunked_array(parts), pc.unique(pa.chunked_array(parts))).to_numpy()
+    codes = np.where(pc.fill_null(pc.not_equal(pa.chunked_array(parts), ""), False).to_numpy(), codes, -1)
+    l.digest, r.digest = codes[: l.n], codes[len(codes) - r.n :]
+
+
 def _above(records: DataFrame, k: int, least: float, block_rows: int) -> DataFrame:
     """(a, b, cosine) at or above `least`, of each record and block the k best."""
 
@@ -182,28 +428,34 @@ def near_pairs(records: DataFrame, radius: int, k: int, least: float, block_rows
         if cosine is None:
             cosine = np.round(np.einsum("ij,ij->i", l.vectors[p], r.vectors[q]), 6) + 0.0 if l.vectors.shape[1] == r.vectors.shape[1] else np.zeros(len(p))
         apart = np.bitwise_count(l.bits[p] ^ r.bits[q]).astype(np.int32)
-        one = l.sha.take(pa.array(p))
-        same = pc.and_(pc.equal(one, r.sha.take(pa.array(q))), pc.not_equal(one, "")).fill_null(False)
+        same = (l.digest[p] == r.digest[q]) & (l.digest[p] >= 0)
         a, b = l.ids[p], r.ids[q]
         if arm == 1:
             a, b = np.minimum(a, b), np.maximum(a, b)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(p), arm, np.int32)), pa.array(cosine, mask=~(l.whole[p] & r.whole[q])), pa.array(apart, mask=~(l.printed[p] & r.printed[q])), same], names)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(p), arm, np.int32)), pa.array(cosine, mask=~(l.whole[p] & r.whole[q])), pa.array(apart, mask=~(l.printed[p] & r.printed[q])), pa.array(same)], names)
 
     def meet(left: pa.Table, right: pa.Table | None):
         l = _Block(left)
         r = l if right is None else _Block(right)
+        _number(l, r)
         mine, theirs = np.flatnonzero(l.printed), np.flatnonzero(r.printed)
         for p, q, _ in _near(l.bits[mine], r.bits[theirs], radius):
             p, q = mine[p], theirs[q]
             if right is None:
                 p, q = p[l.ids[p] < r.ids[q]], q[l.ids[p] < r.ids[q]]
             yield told(l, r, 1, p, q, None)
-        for own, other in ((l, r),) if right is None else ((l, r), (r, l)):
-            for p, q, score in own.best(other, k, least):
-                yield told(own, other, 2, p, q, score)
-
-    rows = records.select("idx", fingerprint_bits(F.col("phash")).alias("bits"), "embedding", "sha256")
-    met = _meetings(rows, block_rows, ["idx", "bits", "embedding", "sha256"], meet, "a long, b long, arm int, cosine double, phash_distance int, same_sha256 boolean")
+        mine, theirs = np.flatnonzero(l.whole), np.flatnonzero(r.whole)
+        if len(mine) and len(theirs):
+            both = _best_of_both(l.vectors[mine], None if right is None else r.vectors[theirs], (l.floor[mine], r.floor[theirs]), k)
+            for (own, other, x, y), found in zip(((l, r, mine, theirs), (r, l, theirs, mine)), both, strict=True):
+                if found is not None:
+                    p, q, score = found
+                    for at in range(0, len(p), PAIRS_AT_ONCE):
+                        part = slice(at, at + PAIRS_AT_ONCE)
+                        yield told(own, other, 2, x[p[part]], y[q[part]], score[part])
+
+    rows = cut(with_floors(records.select("idx", fingerprint_bits(F.col("phash")).alias("bits"), "embedding", "sha256"), k, least))
+    met = _meetings(rows, block_rows, ["idx", "bits", "embedding", "sha256", "floor"], meet, "a long, b long, arm int, cosine double, phash_distance int, same_sha256 boolean")
     order = Window.partitionBy("arm", "a").orderBy(F.col("cosine").desc(), "b")
     return met.withColumn("rank", F.row_number().over(order)).where(f"arm = 1 OR rank <= {k} AND a < b").select(*names)
 

@@ -105,6 +105,62 @@ def test_best_partners_under_running_bounds(monkeypatch):
         assert {(int(i), int(j)) for p, q, _ in candidates._best(rows, rows, k, 0.9) for i, j in zip(p, q, strict=True)} == want
 
 
+@pytest.mark.parametrize("held", [1 << 22, 300])
+def test_one_product_serves_both_sides(monkeypatch, held):
+    """Both directions of a meeting hold the k best over the floors, ties and copies included, however few are held at once."""
+    for name, value in (("WIDE_TILE", 48), ("GROUP", 8), ("MOST_HELD", held), ("PAIRS_AT_ONCE", 64)):
+        monkeypatch.setattr(candidates, name, value)
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(20, 8))
+    rows = np.concatenate([base[rng.integers(0, 20, 200)] + 0.1 * rng.normal(size=(200, 8)), np.repeat(base[:2], 60, axis=0)])
+    rows = rng.permutation(rows / np.linalg.norm(rows, axis=1, keepdims=True))
+    x, y = rows[:150], rows[150:]
+
+    def want(u, v, floor, k):
+        scores = np.round(u @ v.T, 6)
+        return {(i, int(j)) for i in range(len(u)) for j in np.argsort(-scores[i], kind="stable")[:k] if scores[i, j] >= floor[i]}
+
+    told = lambda found: {(int(p), int(q)) for p, q, _ in [found] for p, q in zip(p, q, strict=True)}
+    for k in (1, 3, 1 << 30):
+        floors = np.where(np.arange(320) % 3, 0.9, 0.97)
+        one, other = candidates._best_of_both(x, y, (floors[:150], floors[150:]), k)
+        assert told(one) == want(x, y, floors[:150], k) and told(other) == want(y, x, floors[150:], k)
+        alone, none = candidates._best_of_both(rows, None, (floors, floors), k)
+        assert told(alone) == want(rows, rows, floors, k) and none is None
+        # products beyond single precision are all scored in double precision
+        huge = x * 1e200, y * 1e-200
+        assert told(next(iter(candidates._best_of_both(*huge, (floors[:150], floors[150:]), k)))) == want(*huge, floors[:150], k)
+
+
+def test_near_fingerprints_by_bands():
+    """Each pair once, whatever bands its bits lie in."""
+    rng = np.random.default_rng(10)
+    x = rng.integers(0, 2**63, 60).astype(np.uint64)
+    y = np.concatenate([x, x] + [x ^ np.array([sum(1 << int(b) for b in rng.choice(64, rng.integers(1, 11), replace=False)) for _ in x], np.uint64) for _ in range(6)])
+    for radius in (0, 4, 8):
+        got = [(int(p), int(q), int(d)) for u, v, w in candidates._near_by_bands(x, y, radius) for p, q, d in zip(u, v, w, strict=True)]
+        want = {(i, j, d) for i in range(len(x)) for j in range(len(y)) if (d := int(x[i] ^ y[j]).bit_count()) <= radius}
+        assert len(got) == len(want) and set(got) == want
+
+
+def test_floors_rule_out_no_partner_and_most_others(spark):
+    """No more than a few times k partners of a row reach its floor, and always its k best; no row gets lost."""
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(4, 16))
+    v = base[rng.integers(0, 4, 2000)] + 0.3 * rng.normal(size=(2000, 16))
+    v = v / np.linalg.norm(v, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, v[i].tolist() if i % 50 else None) for i in range(2000)], "idx long, embedding array<double>")
+    floor = {r.idx: r.floor for r in candidates.with_floors(rows, 5, 0.8, cell_rows=600).collect()}
+    assert sorted(floor) == list(range(2000)) and all(floor[i] == 0.8 for i in range(0, 2000, 50))
+    there = [i for i in range(2000) if i % 50]
+    scores = np.round(v[there] @ v[there].T, 6)
+    f = np.array([floor[i] for i in there])
+    fifth = np.partition(scores, -5, axis=1)[:, -5]
+    assert (f <= np.maximum(fifth, 0.8)).all()
+    assert (scores >= f[:, None]).sum() < 0.1 * (scores >= 0.8).sum()
+    assert candidates.with_floors(rows.where("embedding IS NULL"), 5, 0.8, cell_rows=10).count() == 40
+
+
 @pytest.mark.parametrize("block_rows", [7, 1000])
 def test_pairs_come_with_their_evidence(spark, block_rows):
     """No pair is joined with its records, whichever blocks they lie in; missing features satisfy nothing."""
