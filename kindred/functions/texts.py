@@ -1,20 +1,20 @@
-"""Fingerprints and vectors of texts, made in Arrow batches: a word is hashed once per worker, and no row is shuffled."""
+"""Fingerprints and vectors of texts, made in Arrow batches: a word is looked up once per batch and hashed once per worker, and no row is shuffled."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from kindred.functions.features import DIM
 
-#: Words handled at a time (64 votes of a byte each), and words whose hash a worker keeps.
-WORDS_AT_ONCE, KEPT_WORDS = 100_000, 1_000_000
+#: Texts and words handled at a time (64 votes of a byte each), and words whose hash a worker keeps.
+ROWS_AT_ONCE, WORDS_AT_ONCE, KEPT_WORDS = 2500, 100_000, 1_000_000
 
 
 class _Hashes(dict):
@@ -28,37 +28,37 @@ class _Hashes(dict):
 _hashes = _Hashes()
 
 
-def _slices(words: list[list[bytes]]) -> Iterator[list[list[bytes]]]:
-    start = many = 0
-    for i, w in enumerate(words):
-        many += len(w)
-        if many >= WORDS_AT_ONCE:
-            yield words[start : i + 1]
-            start, many = i + 1, 0
-    if start < len(words):
-        yield words[start:]
-
-
-def _hashed(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """Owner and hash of every word."""
+def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Owner and number of every word, and the hash of each number; only different words leave Arrow."""
     if len(_hashes) > KEPT_WORDS:
         _hashes.clear()
-    counts = np.array([len(w) for w in words], np.int64)
-    return np.repeat(np.arange(len(words)), counts), np.fromiter((h for w in words for h in map(_hashes.__getitem__, w)), np.uint64, int(counts.sum()))
+    lists = pc.ascii_split_whitespace(texts)
+    owner, flat = pc.list_parent_indices(lists).to_numpy(), pc.list_flatten(lists)
+    some = pc.greater(pc.binary_length(flat), 0)
+    coded = flat.filter(some).dictionary_encode()
+    hashes = np.fromiter(map(_hashes.__getitem__, coded.dictionary.cast(pa.binary()).to_pylist()), np.uint64, len(coded.dictionary))
+    return owner[some.to_numpy(zero_copy_only=False)].astype(np.int64), coded.indices.to_numpy().astype(np.int64), hashes
 
 
-def simhashes(owner: np.ndarray, hashes: np.ndarray, n: int) -> list[str]:
+def simhashes(owner: np.ndarray, word: np.ndarray, hashes: np.ndarray, n: int) -> list[str]:
     """64-bit SimHash of each owner's distinct words, as 16 hex digits; zeros without words."""
-    order = np.lexsort((hashes, owner))
-    owner, hashes = owner[order], hashes[order]
-    fresh = np.ones(len(owner), bool)
-    fresh[1:] = (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])
-    owner, hashes = owner[fresh], hashes[fresh]
+    many = max(1, len(hashes))
+    each = np.sort(owner * many + word)
+    fresh = np.ones(len(each), bool)
+    fresh[1:] = each[1:] != each[:-1]
+    owner, word = np.divmod(each[fresh], many)
     votes, terms = np.zeros((n, 64), np.int64), np.bincount(owner, minlength=n)
-    if len(owner):
-        starts = np.flatnonzero(np.diff(owner, prepend=-1))
-        bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        votes[owner[starts]] = np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
+    for at in range(0, len(owner), WORDS_AT_ONCE):
+        mine = owner[at : at + WORDS_AT_ONCE]
+        bits = np.unpackbits(hashes[word[at : at + WORDS_AT_ONCE]].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        # runs of one owner and of at most 255 words, so that eight counts of a byte add up as one number
+        new = np.diff(mine, prepend=-1) != 0
+        first = np.flatnonzero(new)
+        inside = np.arange(len(mine)) - np.repeat(first, np.diff(first, append=len(mine)))
+        starts = np.flatnonzero(inside % 255 == 0)
+        counts = np.add.reduceat(bits.view(np.uint64), starts, axis=0).view(np.uint8)
+        owners = np.flatnonzero(np.diff(mine[starts], prepend=-1))
+        votes[mine[first]] += np.add.reduceat(counts, owners, axis=0, dtype=np.int64)
     return [b.tobytes().hex() for b in np.packbits(votes * 2 > terms[:, None], axis=1)]
 
 
@@ -80,23 +80,18 @@ def with_features(rows: DataFrame, prints: bool = True, vectors: bool = True) ->
     fields += [StructField("phash", StringType())] * prints + [StructField("embedding", ArrayType(DoubleType()))] * vectors
 
     def work(batches):
-        for batch in batches:
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            words = [(t or b"").split() for t in texts]
-            found, made = [], []
-            for part in _slices(words):
-                owner, hashes = _hashed(part)
-                if prints:
-                    found += simhashes(owner, hashes, len(part))
-                if vectors:
-                    made.append(bucket_vectors(owner, hashes, len(part)))
+        for batch in (b.slice(at, ROWS_AT_ONCE) for b in batches for at in range(0, b.num_rows, ROWS_AT_ONCE)):
+            n = batch.num_rows
+            texts = batch.column("text")
+            owner, word, hashes = _words(texts)
             columns = [batch.column(c) for c in others]
             if prints:
-                columns.append(pa.array([f if t is not None else None for f, t in zip(found, texts, strict=True)], pa.string()))
+                found = simhashes(owner, word, hashes, n)
+                columns.append(pa.array(found, pa.string(), mask=texts.is_null().to_numpy(zero_copy_only=False)))
             if vectors:
-                flat = np.concatenate(made).ravel() if made else np.zeros(0)
-                none = pa.array([not w for w in words], pa.bool_())
-                columns.append(pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1) * DIM, pa.int32()), pa.array(flat), mask=none))
+                flat = bucket_vectors(owner, hashes[word], n).ravel()
+                none = pa.array(np.bincount(owner, minlength=n) == 0)
+                columns.append(pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * DIM, pa.int32()), pa.array(flat), mask=none))
             yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
 
     return rows.withColumn("text", F.lower("text")).mapInArrow(work, StructType(fields))

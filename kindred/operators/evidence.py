@@ -18,6 +18,11 @@ def decided(pairs: DataFrame, t: Thresholds) -> DataFrame:
 
 def all_evidence(records: DataFrame, t: Thresholds, k: int = 50, cross_folder_only: bool = False) -> DataFrame:
     """Decided candidates of the arms: 0 equal digests, 1 near fingerprints, 2 one-sided top-k."""
+    return decided(candidate_arms(records, t, k, cross_folder_only), t)
+
+
+def candidate_arms(records: DataFrame, t: Thresholds, k: int = 50, cross_folder_only: bool = False) -> DataFrame:
+    """What `all_evidence` decides."""
     own = records.select("idx", "phash")
     equal = exact_pairs(records).join(own.toDF("a", "pa"), "a").join(own.toDF("b", "pb"), "b")
     arms = equal.select("a", "b", F.lit(0).alias("arm"), F.lit(None).cast("double").alias("cosine"), fingerprint_distance(F.col("pa"), F.col("pb")).alias("phash_distance"), F.lit(True).alias("same_sha256"))
@@ -25,14 +30,26 @@ def all_evidence(records: DataFrame, t: Thresholds, k: int = 50, cross_folder_on
     if cross_folder_only:
         folder = records.select("idx", "parent")
         arms = arms.join(folder.toDF("a", "fa"), "a").join(folder.toDF("b", "fb"), "b").where("fa <> fb").drop("fa", "fb")
-    return decided(arms, t)
+    return arms
 
 
 def best_pairs(evidence: DataFrame) -> DataFrame:
     """One row per pair: highest decision, then highest cosine (none counts as -1), then the first arm; ignored pairs go."""
-    held = F.struct("a", "b", "arm", "cosine", "phash_distance", "same_sha256", "decision", "reason", "confidence")
+    held = F.struct("arm", "cosine", "phash_distance", "same_sha256", "decision", "reason", "confidence")
     order = F.struct(rank(F.col("decision")), F.coalesce("cosine", F.lit(-1.0)), -F.col("arm"))
-    return evidence.groupBy("a", "b").agg(F.max_by(held, order).alias("p")).select("p.*").where("decision <> 'ignore'")
+    return evidence.groupBy("a", "b").agg(F.max_by(held, order).alias("p")).select("a", "b", "p.*").where("decision <> 'ignore'")
+
+
+def best_decided(arms: DataFrame, t: Thresholds) -> DataFrame:
+    """`best_pairs` of `decided`, where a pair's evidence differs between arms only in what is missing.
+
+    Evidence is grouped as numbers and decided once a pair: a decision's rank stands for it meanwhile.
+    """
+    verdict = rank(decide(F.col("same_sha256"), F.col("phash_distance"), F.col("cosine"), t)["decision"])
+    ranked = arms.withColumn("_rank", verdict).where("_rank > 0")
+    order = F.struct("_rank", F.coalesce("cosine", F.lit(-1.0)).alias("_cosine"), (-F.col("arm")).alias("_arm"))
+    held = F.struct("arm", "cosine", "phash_distance", "same_sha256")
+    return decided(ranked.groupBy("a", "b").agg(F.max_by(held, order).alias("p")).select("a", "b", "p.*"), t)
 
 
 def groups_of(pairs: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from kindred.functions.decide import Thresholds, decide
 from kindred.operators import report
 from kindred.operators.candidates import against_reference
 from kindred.operators.cluster import split_groups
-from kindred.operators.evidence import all_evidence, best_pairs, groups_of
+from kindred.operators.evidence import best_decided, candidate_arms, groups_of
 from kindred.operators.quality import QualityLimits, rejection_reason
 from kindred.operators.representatives import keep
 from kindred.operators.select import select_representatives
@@ -28,7 +28,7 @@ class Matches:
 
 def match(records: DataFrame, t: Thresholds = Thresholds(), k: int = 50, cross_folder_only: bool = False, linkage: str | None = None, split_at: float | None = None) -> Matches:
     """Candidates of all arms, decided; the best per pair; components of the duplicates, split if a linkage is given."""
-    pairs = cut(best_pairs(all_evidence(records, t, k, cross_folder_only)))
+    pairs = cut(best_decided(candidate_arms(records, t, k, cross_folder_only), t))
     components = groups_of(pairs)
     if linkage:
         components = split_groups(components, records, t.cosine_auto if split_at is None else split_at, linkage)

@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 
 from kindred.functions.decide import Thresholds, decide
 from kindred.functions.features import fingerprint_distance, l2_normalize
+from kindred.functions import texts
 from kindred.functions.texts import with_features
 from kindred.operators import candidates
 from kindred.operators.candidates import hamming_pairs, one_sided, top_k
 from kindred.operators.cluster import chain_labels, linkage_labels, split_groups
 from kindred.operators.components import connected_components
-from kindred.operators.evidence import best_pairs
+from kindred.operators.evidence import best_decided, best_pairs, decided
 from kindred.operators.quality import QualityLimits
 from kindred.operators.representatives import keep
 from kindred.operators.select import METHODS, select_representatives
@@ -198,6 +199,22 @@ def test_text_features_need_no_shuffle(spark):
         assert r.embedding is None if not words else np.allclose(r.embedding, counts / np.linalg.norm(counts), rtol=0, atol=1e-15)
 
 
+def test_fingerprints_of_more_words_than_a_byte_counts():
+    """Texts of more than 255 different words, over several steps, without a step's end changing a bit."""
+    rng = np.random.default_rng(12)
+    hashes = rng.integers(0, 2**63, 3000).astype(np.uint64)
+    owner = np.repeat([0, 2, 3], [900, 260, 3000])
+    word = np.concatenate([rng.integers(0, 700, 900), np.arange(260), np.arange(3000)])
+    want = []
+    for i in range(5):
+        mine = {int(hashes[w]) for o, w in zip(owner, word, strict=True) if o == i}
+        want.append(f"{sum(1 << j for j in range(64) if 2 * sum(h >> j & 1 for h in mine) > len(mine)):016x}")
+    for step in (100, 100_000):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(texts, "WORDS_AT_ONCE", step)
+            assert texts.simhashes(owner, word, hashes, 5) == want
+
+
 def test_best_evidence_by_rank_then_cosine_then_arm(spark):
     cols = "a long, b long, arm int, cosine double, phash_distance int, same_sha256 boolean, decision string, reason string, confidence string"
     rows = [(1, 2, 0, None, 0, True, "duplicate", "x", "e"), (1, 2, 1, 0.9, 0, True, "duplicate", "y", "e"), (1, 2, 2, 0.9, 0, True, "duplicate", "z", "e"), (3, 4, 2, 0.99, 9, False, "ignore", "n", "i"), (5, 6, 2, 0.86, 9, False, "review", "r", "r")]
@@ -205,6 +222,18 @@ def test_best_evidence_by_rank_then_cosine_then_arm(spark):
     assert got == {(1, 2): 1, (5, 6): 2}
 
 
+def test_pairs_grouped_as_numbers_are_decided_the_same(spark):
+    """One decision a pair, after grouping; no text is shuffled."""
+    t = Thresholds()
+    cases = itertools.product([None, 0, 4, 5, 9], [None, float("nan"), 0.8, 0.86, 0.93, 0.98], [True, False], [(0,), (1, 2), (0, 1), (2,)])
+    rows = [(i, i + 1000, arm, None if arm == 0 else cos, dist, same) for i, (dist, cos, same, arms) in enumerate(cases) for arm in arms]
+    arms = spark.createDataFrame(rows, "a long, b long, arm int, cosine double, phash_distance int, same_sha256 boolean").repartition(3)
+    new, old = best_decided(arms, t), best_pairs(decided(arms, t))
+    assert sorted(map(str, new.collect())) == sorted(map(str, old.select(new.columns).collect())) and new.columns == old.columns
+    exchange = new._jdf.queryExecution().optimizedPlan().toString().split("Aggregate")[1]
+    assert "reason" not in exchange
+
+
 def test_keep_policies_with_ties(spark):
     rows = spark.createDataFrame([(1, "b", 5, 1.0, 2, 2, 9.0, 127.0, None), (2, "a", 5, 1.0, 2, 2, 9.0, 127.0, None), (3, "c", 4, 0.0, 1, None, 9.0, 127.0, "blurry")], "idx long, path string, size long, mtime double, width int, height int, blur_score double, brightness double, rejection_reason string")
     groups = spark.createDataFrame([(1, 1), (2, 1), (3, 1)], "idx long, group_id long")
