@@ -31,6 +31,11 @@ def _matched(spark: SparkSession, d: str) -> tuple[DataFrame, workflows.Matches]
     return records, workflows.match(records)
 
 
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs alone, for queries that need no groups."""
+    return workflows.best_of_all_arms(document_records(spark, d))
+
+
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("idx"), "embedding")
 
@@ -90,15 +95,15 @@ def decide_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def best_pair(spark: SparkSession, d: str) -> DataFrame:
-    return _matched(spark, d)[1].pairs.select("a", "b", _r6("cosine"), "phash_distance", "same_sha256", "decision", "reason", "confidence")
+    return _pairs(spark, d).select("a", "b", _r6("cosine"), "phash_distance", "same_sha256", "decision", "reason", "confidence")
 
 
 def review_only(spark: SparkSession, d: str) -> DataFrame:
-    return _matched(spark, d)[1].pairs.where("decision = 'review'").select("a", "b", _r6("cosine"))
+    return _pairs(spark, d).where("decision = 'review'").select("a", "b", _r6("cosine"))
 
 
 def decision_counts(spark: SparkSession, d: str) -> DataFrame:
-    return _matched(spark, d)[1].pairs.groupBy("decision", "confidence").agg(F.count(F.lit(1)).alias("n"))
+    return _pairs(spark, d).groupBy("decision", "confidence").agg(F.count(F.lit(1)).alias("n"))
 
 
 def duplicate_groups(spark: SparkSession, d: str) -> DataFrame:

@@ -234,6 +234,14 @@ def test_pairs_grouped_as_numbers_are_decided_the_same(spark):
     assert "reason" not in exchange
 
 
+@pytest.mark.parametrize("query", ["best_pair", "decision_counts", "review_only"])
+def test_queries_on_pairs_make_no_groups(spark, monkeypatch, query):
+    from kindred.plans import workflows
+
+    monkeypatch.setattr(workflows, "groups_of", lambda pairs: pytest.fail("no groups are asked for"))
+    assert catalogue.QUERIES[query](spark, SF).count()
+
+
 def test_keep_policies_with_ties(spark):
     rows = spark.createDataFrame([(1, "b", 5, 1.0, 2, 2, 9.0, 127.0, None), (2, "a", 5, 1.0, 2, 2, 9.0, 127.0, None), (3, "c", 4, 0.0, 1, None, 9.0, 127.0, "blurry")], "idx long, path string, size long, mtime double, width int, height int, blur_score double, brightness double, rejection_reason string")
     groups = spark.createDataFrame([(1, 1), (2, 1), (3, 1)], "idx long, group_id long")
