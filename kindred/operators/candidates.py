@@ -26,6 +26,8 @@ TILE, TILE_COLUMNS, PAIRS_AT_ONCE = 128, 8192, 1 << 16
 WIDE_TILE, GROUP, MOST_HELD = 1024, 32, 1 << 22
 #: Rows of a cell of like vectors, in which floors are found, and rows that choose the cells.
 CELL_ROWS, CELL_SAMPLE = 16384, 8192
+#: Squared distance of partners up to which a tile meets only rows near its box; rows of such a tile, axes of the box, and rows that floors come from then.
+NEAR, NEAR_TILE, AXES, NEAR_CELL = 0.125, 512, 16, 2048
 #: Bands of a fingerprint, and pairs from which on they are looked up.
 BANDS, LEAST_LOOKUP = 3, 1 << 26
 
@@ -216,21 +218,70 @@ class _Lists:
         return owner[first], partner[first], score[first]
 
 
+def _alike(vectors: np.ndarray, most: int) -> list[np.ndarray]:
+    """Places of the rows in parts of at most `most` like ones: halved along the axis of most spread, again and again."""
+    parts = [np.arange(len(vectors))]
+    while len(parts[0]) > most:  # parts differ by one row at most, the first is among the largest
+        halves = []
+        for part in parts:
+            own = vectors[part]
+            along = np.argpartition(own[:, own.var(0).argmax()], len(part) // 2) if len(part) > 1 else np.arange(len(part))
+            half = -(-len(part) // 2)
+            halves += [part[along[:half]], part[along[half:]]]
+        parts = halves
+    return [part for part in parts if len(part)]
+
+
+class _Boxes:
+    """Right rows near a box of left rows, by the leading axes of the left ones; what it leaves out is farther than `reach`."""
+
+    def __init__(self, left: np.ndarray, right: np.ndarray, reach: float):
+        way = np.linalg.eigh(np.cov(left.T))[1][:, ::-1][:, :AXES]
+        self.left, self.right, self.reach = left @ way, np.ascontiguousarray((right @ way).T), reach + 1e-6
+
+    def near(self, rows: np.ndarray) -> np.ndarray:
+        """Places of right rows that may lie within reach of some of the left rows, in order."""
+        low, high = self.left[rows].min(0), self.left[rows].max(0)
+        found, far = np.arange(self.right.shape[1]), 0.0
+        for axes in (slice(0, 3), slice(3, None)):
+            along = self.right[axes] if axes.start == 0 else self.right[axes, found]
+            off = np.maximum(np.maximum(low[axes, None] - along, along - high[axes, None]), 0)
+            far = far + np.einsum("ij,ij->j", off, off)
+            fine = far <= self.reach
+            found, far = found[fine], far[fine]
+        return found
+
+
 def _best_of_both(left: np.ndarray, right: np.ndarray | None, floors: tuple[np.ndarray, np.ndarray], k: int):
     """(p, q, score) by place twice: of each left row its k best right ones at or above its floor, and the other way round.
 
     One product serves both. Without `right` the left rows meet each other and themselves, and the second is None. Rows
     are in order of their ids. Products in single precision are compared less their error; what they leave is scored in
     double precision. Rows of like floors lie together, so the largest product of a group tells that none of it counts.
+    Where floors leave only near partners, like rows lie together instead, and a tile meets the rows near its box.
     """
     alone = right is None
     right = left if alone else right
     order = [np.argsort(f, kind="stable") for f in floors]
     lists = [_Lists(floors[0], k)] + [_Lists(floors[1], k)] * (not alone)
     mine, theirs = lists[0], lists[-1]
+    off = _error(left, right), _error(right, left)
+    fast = bool(all(np.isfinite(e).all() and e.max(initial=0) < 1 for e in off))
+    boxes, tiles = None, [np.arange(at, min(at + WIDE_TILE, len(left))) for at in range(0, len(left), WIDE_TILE)]
+    if fast and len(left) > 1:
+        # |u - v|^2 = |u|^2 + |v|^2 - 2 uv, and uv is at least the lower floor, less its error
+        reach = (left * left).sum(1).max() + (right * right).sum(1).max() - 2 * min((f - e).min() for f, e in zip(floors, off, strict=True))
+        if reach <= NEAR:
+            boxes = _Boxes(left, right, reach)
+            parts = _alike(boxes.left, min(NEAR_TILE, WIDE_TILE))
+            edges = np.cumsum([0, *map(len, parts)])
+            tiles = [np.arange(lo, hi) for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
+            order[0] = np.concatenate(parts)
+            if alone:
+                order[1] = order[0]
+    place = np.argsort(order[1])
     x, y = (v[o].astype(np.float32) for v, o in zip((left, right), order, strict=True))
-    error = _error(left, right)[order[0]], _error(right, left)[order[1]]
-    fast = bool(all(np.isfinite(e).all() and e.max(initial=0) < 1 for e in error))
+    error = off[0][order[0]], off[1][order[1]]
 
     def bounds():
         return (mine.floor[order[0]] - error[0]).astype(np.float32), (theirs.floor[order[1]] - error[1]).astype(np.float32)
@@ -247,25 +298,28 @@ def _best_of_both(left: np.ndarray, right: np.ndarray | None, floors: tuple[np.n
 
     below, above = bounds()
     room = np.empty(WIDE_TILE * WIDE_TILE, np.float32)
-    for i in range(0, len(x), WIDE_TILE):
-        rows = min(WIDE_TILE, len(x) - i)
+    for tile in tiles:
+        i, rows = tile[0], len(tile)
         full = -(-rows // GROUP)
-        for j in range(i if alone else 0, len(y), WIDE_TILE):
-            wide = min(WIDE_TILE, len(y) - j)
+        met = np.arange(len(y)) if boxes is None else np.sort(place[boxes.near(order[0][tile])])
+        met = met[met >= i] if alone else met
+        for j in range(0, len(met), WIDE_TILE):
+            some = met[j : j + WIDE_TILE]
+            wide = len(some)
             if fast:
                 product = room[: full * GROUP * wide].reshape(full * GROUP, wide)
-                np.matmul(x[i : i + rows], y[j : j + wide].T, out=product[:rows])
+                np.matmul(x[i : i + rows], y[some].T, out=product[:rows])
                 product[rows:] = -np.inf
                 own = np.full(full * GROUP, np.inf, np.float32)
                 own[:rows] = below[i : i + rows]
                 own = own.reshape(full, GROUP)
                 grouped = product.reshape(full, GROUP, wide)
-                g, c = np.divmod(np.flatnonzero(grouped.max(1) >= np.minimum(own.min(1)[:, None], above[j : j + wide])), wide)
-                n, r = np.divmod(np.flatnonzero(grouped[g, :, c] >= np.minimum(own[g], above[j + c][:, None])), GROUP)
-                p, q = g[n] * GROUP + r + i, c[n] + j
+                g, c = np.divmod(np.flatnonzero(grouped.max(1) >= np.minimum(own.min(1)[:, None], above[some])), wide)
+                n, r = np.divmod(np.flatnonzero(grouped[g, :, c] >= np.minimum(own[g], above[some[c]][:, None])), GROUP)
+                p, q = g[n] * GROUP + r + i, some[c[n]]
             else:
-                p, q = (z.ravel() for z in np.meshgrid(np.arange(i, i + rows), np.arange(j, j + wide), indexing="ij"))
-            if alone and i == j:
+                p, q = (z.ravel() for z in np.meshgrid(np.arange(i, i + rows), some, indexing="ij"))
+            if alone:
                 p, q = p[p <= q], q[p <= q]
             if scored(p, q):
                 below, above = bounds()
@@ -352,7 +406,10 @@ def with_floors(rows: DataFrame, k: int, least: float, cell_rows: int | None = N
             whole, vectors = vectors_of(table)
             floor = np.full(len(table), least)
             if vectors.size:
-                floor[whole] = _floors(vectors, k, least)
+                # the few partners of a high score are among the most alike
+                parts = _alike(vectors, NEAR_CELL) if 2 - 2 * least <= NEAR else [np.arange(len(vectors))]
+                for part in parts:
+                    floor[np.flatnonzero(whole)[part]] = _floors(vectors[part], k, least)
             yield from table.append_column("floor", pa.array(floor)).to_batches()
 
         held, many = [], 0

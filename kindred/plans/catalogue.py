@@ -26,9 +26,14 @@ T = Thresholds()
 LIMITS = QualityLimits(min_width=5, min_height=5, min_blur=50.0, min_brightness=10.0, max_brightness=245.0)
 
 
-def _matched(spark: SparkSession, d: str) -> tuple[DataFrame, workflows.Matches]:
+def _matched(spark: SparkSession, d: str, duplicates_only: bool = False) -> tuple[DataFrame, workflows.Matches]:
     records = document_records(spark, d)
-    return records, workflows.match(records)
+    return records, workflows.match(records, duplicates_only=duplicates_only)
+
+
+def _grouped(spark: SparkSession, d: str) -> tuple[DataFrame, workflows.Matches]:
+    """Groups and their evidence, for queries that tell nothing of pairs to review."""
+    return _matched(spark, d, True)
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -107,16 +112,16 @@ def decision_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def duplicate_groups(spark: SparkSession, d: str) -> DataFrame:
-    return _matched(spark, d)[1].components
+    return _grouped(spark, d)[1].components
 
 
 def group_sizes(spark: SparkSession, d: str) -> DataFrame:
-    sizes = _matched(spark, d)[1].components.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"))
+    sizes = _grouped(spark, d)[1].components.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"))
     return numbered(sizes, ["group_id"], "number").withColumn("number", F.col("number") + 1)
 
 
 def removals(spark: SparkSession, d: str) -> DataFrame:
-    return _matched(spark, d)[1].components.groupBy("group_id").agg((F.count(F.lit(1)) - 1).alias("n")).agg(F.sum("n").alias("removals"))
+    return _grouped(spark, d)[1].components.groupBy("group_id").agg((F.count(F.lit(1)) - 1).alias("n")).agg(F.sum("n").alias("removals"))
 
 
 def _judged(spark: SparkSession, d: str) -> DataFrame:
@@ -125,7 +130,7 @@ def _judged(spark: SparkSession, d: str) -> DataFrame:
 
 def _keeper(policy: str):
     def query(spark: SparkSession, d: str) -> DataFrame:
-        return keep(_matched(spark, d)[1].components, _judged(spark, d), policy)
+        return keep(_grouped(spark, d)[1].components, _judged(spark, d), policy)
 
     return query
 
@@ -135,12 +140,12 @@ def _kept(records: DataFrame, found: workflows.Matches) -> DataFrame:
 
 
 def best_evidence(spark: SparkSession, d: str) -> DataFrame:
-    records, found = _matched(spark, d)
+    records, found = _grouped(spark, d)
     return report.best_evidence(found.components, _kept(records, found), found.pairs).select("group_id", "keep", "idx", "reason", _r6("cosine"), "phash_distance", "same_sha256", "confidence")
 
 
 def report_rows(spark: SparkSession, d: str) -> DataFrame:
-    records, found = _matched(spark, d)
+    records, found = _grouped(spark, d)
     return report.report_rows(found.components, _kept(records, found), found.pairs, records).select("group_id", "keep_path", "duplicate_path", "reason", _r6("cosine"), "phash_distance", "same_sha256", "confidence")
 
 
@@ -191,7 +196,7 @@ def _agglomerative(linkage: str):
     def query(spark: SparkSession, d: str) -> DataFrame:
         from kindred.operators.cluster import split_groups
 
-        records, found = _matched(spark, d)
+        records, found = _grouped(spark, d)
         return split_groups(found.components, records, T.cosine_auto, linkage)
 
     return query
@@ -283,7 +288,7 @@ def no_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 def report_quality(spark: SparkSession, d: str) -> DataFrame:
     """Report rows with the quality of both sides."""
-    records, found = _matched(spark, d)
+    records, found = _grouped(spark, d)
     judged = records.withColumn("rejection_reason", rejection_reason(LIMITS))
     rows = report.with_quality(report.report_rows(found.components, _kept(records, found), found.pairs, records), judged)
     return rows.select("keep_path", "duplicate_path", F.col("quality.width").alias("width"), F.col("quality.blur_score").alias("blur_score"), F.col("quality.rejection_reason").alias("rejection_reason"), F.col("keep_quality.height").alias("keep_height"), F.col("keep_quality.brightness").alias("keep_brightness"))
@@ -291,7 +296,7 @@ def report_quality(spark: SparkSession, d: str) -> DataFrame:
 
 def report_groups(spark: SparkSession, d: str) -> DataFrame:
     """The nested report, its lists as text."""
-    records, found = _matched(spark, d)
+    records, found = _grouped(spark, d)
     rows = report.report_groups(found.components, _kept(records, found), found.pairs, records.drop("blur_score"))
     lines = F.transform("duplicates", lambda x: F.concat_ws(" ", x["path"], x["reason"], x["confidence"]))
     return rows.select("keep", F.size("duplicates").cast("long").alias("n"), F.array_join(lines, ", ").alias("duplicates"))

@@ -26,14 +26,15 @@ class Matches:
     components: DataFrame
 
 
-def best_of_all_arms(records: DataFrame, t: Thresholds = Thresholds(), k: int = 50, cross_folder_only: bool = False) -> DataFrame:
-    """Candidates of all arms, decided; the best per pair, without those that are ignored."""
-    return best_decided(candidate_arms(records, t, k, cross_folder_only), t)
+def best_of_all_arms(records: DataFrame, t: Thresholds = Thresholds(), k: int = 50, cross_folder_only: bool = False, duplicates_only: bool = False) -> DataFrame:
+    """Candidates of all arms, decided; the best per pair, without those that are ignored. With `duplicates_only`, the duplicates
+    alone; that asks for equal features where digests are equal, and looks for fewer candidates."""
+    return best_decided(candidate_arms(records, t, k, cross_folder_only, duplicates_only), t, duplicates_only)
 
 
-def match(records: DataFrame, t: Thresholds = Thresholds(), k: int = 50, cross_folder_only: bool = False, linkage: str | None = None, split_at: float | None = None) -> Matches:
+def match(records: DataFrame, t: Thresholds = Thresholds(), k: int = 50, cross_folder_only: bool = False, linkage: str | None = None, split_at: float | None = None, duplicates_only: bool = False) -> Matches:
     """`best_of_all_arms`, and components of the duplicates, split if a linkage is given."""
-    pairs = cut(best_of_all_arms(records, t, k, cross_folder_only))
+    pairs = cut(best_of_all_arms(records, t, k, cross_folder_only, duplicates_only))
     components = groups_of(pairs)
     if linkage:
         components = split_groups(components, records, t.cosine_auto if split_at is None else split_at, linkage)

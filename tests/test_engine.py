@@ -8,6 +8,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,6 +73,20 @@ def test_components_of_chains_stars_and_loops(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("at_once", [3, 1000])
+def test_components_from_stars_of_each_task(spark, monkeypatch, at_once):
+    """One task ends what is small, rounds end what isn't; both find what the rounds alone find."""
+    from kindred.operators import components
+
+    monkeypatch.setattr(components, "EDGES_HELD", 7)
+    rng = np.random.default_rng(13)
+    edges = [(i, i + 1) for i in range(1, 60)] + [(100, x) for x in range(101, 160)] + [(200, 200), (None, 3), (5, 5)] + [(int(x), int(y)) for x, y in rng.integers(300, 500, (90, 2))]
+    frame = spark.createDataFrame(edges, "a long, b long").repartition(9)
+    got = sorted(connected_components(frame, at_once=at_once).collect())
+    assert got == sorted(connected_components(frame).collect())
+    assert connected_components(spark.createDataFrame([], "a long, b long"), at_once=at_once).count() == 0
+
+
 def test_hamming_join_against_brute_force(spark):
     rng = np.random.default_rng(3)
     base = [int(x) for x in rng.integers(0, 2**63, 40)]
@@ -133,6 +148,35 @@ def test_one_product_serves_both_sides(monkeypatch, held):
         assert told(next(iter(candidates._best_of_both(*huge, (floors[:150], floors[150:]), k)))) == want(*huge, floors[:150], k)
 
 
+@pytest.mark.parametrize("held", [1 << 22, 300])
+def test_tiles_meet_only_rows_near_their_box(monkeypatch, held):
+    """Where floors are high most rows aren't met, and both directions hold the k best over the floors all the same."""
+    for name, value in (("NEAR_TILE", 16), ("WIDE_TILE", 48), ("GROUP", 8), ("AXES", 5), ("MOST_HELD", held), ("PAIRS_AT_ONCE", 64)):
+        monkeypatch.setattr(candidates, name, value)
+    rng = np.random.default_rng(14)
+    base = rng.normal(size=(30, 8))
+    rows = np.concatenate([base[rng.integers(0, 30, 400)] + 0.1 * rng.normal(size=(400, 8)), np.repeat(base[:2], 60, axis=0)])
+    rows = rng.permutation(rows / np.linalg.norm(rows, axis=1, keepdims=True))
+    x, y = rows[:230], rows[230:]
+    met = []
+    near = candidates._Boxes.near
+    monkeypatch.setattr(candidates._Boxes, "near", lambda self, tile: met.append(len(found := near(self, tile))) or found)
+
+    def want(u, v, floor, k):
+        scores = np.round(u @ v.T, 6)
+        return {(i, int(j)) for i in range(len(u)) for j in np.argsort(-scores[i], kind="stable")[:k] if scores[i, j] >= floor[i]}
+
+    told = lambda found: {(int(p), int(q)) for p, q, _ in [found] for p, q in zip(p, q, strict=True)}
+    for k in (1, 3, 1 << 30):
+        floors = np.where(np.arange(len(rows)) % 3, 0.97, 0.985)
+        one, other = candidates._best_of_both(x, y, (floors[:230], floors[230:]), k)
+        assert told(one) == want(x, y, floors[:230], k) and told(other) == want(y, x, floors[230:], k)
+        assert max(met) < len(y) and np.mean(met) < 0.5 * len(y)
+        alone, none = candidates._best_of_both(rows, None, (floors, floors), k)
+        assert told(alone) == want(rows, rows, floors, k) and none is None
+        met.clear()
+
+
 def test_near_fingerprints_by_bands():
     """Each pair once, whatever bands its bits lie in."""
     rng = np.random.default_rng(10)
@@ -215,6 +259,17 @@ def test_fingerprints_of_more_words_than_a_byte_counts():
             assert texts.simhashes(owner, word, hashes, 5) == want
 
 
+def test_words_hashed_side_by_side():
+    """Digests of words of one block and of more, from the middle of a column."""
+    rng = np.random.default_rng(15)
+    words = [bytes(rng.integers(0, 256, n).astype(np.uint8)) for n in range(130)]
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(texts, "HASHED_AT_ONCE", 9)
+        got = texts.word_hashes(pa.array([b"before", *words], pa.binary()).slice(1))
+    assert got.tolist() == [int.from_bytes(hashlib.md5(w).digest()[:8], "big") for w in words]
+    assert texts.word_hashes(pa.array([], pa.string())).tolist() == []
+
+
 def test_best_evidence_by_rank_then_cosine_then_arm(spark):
     cols = "a long, b long, arm int, cosine double, phash_distance int, same_sha256 boolean, decision string, reason string, confidence string"
     rows = [(1, 2, 0, None, 0, True, "duplicate", "x", "e"), (1, 2, 1, 0.9, 0, True, "duplicate", "y", "e"), (1, 2, 2, 0.9, 0, True, "duplicate", "z", "e"), (3, 4, 2, 0.99, 9, False, "ignore", "n", "i"), (5, 6, 2, 0.86, 9, False, "review", "r", "r")]
@@ -242,6 +297,25 @@ def test_queries_on_pairs_make_no_groups(spark, monkeypatch, query):
     assert catalogue.QUERIES[query](spark, SF).count()
 
 
+@pytest.mark.parametrize("query", ["group_sizes", "keep_largest", "report_quality", "report_groups", "agglomerative_complete"])
+def test_queries_on_groups_look_for_duplicates_alone(spark, monkeypatch, query):
+    from kindred.operators import evidence
+
+    least, near = [], evidence.near_pairs
+    monkeypatch.setattr(evidence, "near_pairs", lambda records, radius, k, floor: least.append(floor) or near(records, radius, k, floor))
+    assert catalogue.QUERIES[query](spark, SF).columns and least == [Thresholds().cosine_auto]
+
+
+def test_duplicates_alone_are_those_of_all_pairs(spark):
+    from kindred.plans import workflows
+    from kindred.sources.records import document_records
+
+    records = document_records(spark, "/root/testdata/sf0.01")
+    whole, alone = workflows.match(records), workflows.match(records, duplicates_only=True)
+    assert sorted(map(str, alone.pairs.collect())) == sorted(map(str, whole.pairs.where("decision = 'duplicate'").collect())) and whole.pairs.where("decision = 'review'").count()
+    assert sorted(alone.components.collect()) == sorted(whole.components.collect())
+
+
 def test_keep_policies_with_ties(spark):
     rows = spark.createDataFrame([(1, "b", 5, 1.0, 2, 2, 9.0, 127.0, None), (2, "a", 5, 1.0, 2, 2, 9.0, 127.0, None), (3, "c", 4, 0.0, 1, None, 9.0, 127.0, "blurry")], "idx long, path string, size long, mtime double, width int, height int, blur_score double, brightness double, rejection_reason string")
     groups = spark.createDataFrame([(1, 1), (2, 1), (3, 1)], "idx long, group_id long")
