@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections import OrderedDict
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +28,13 @@ def linkage_labels(vectors: np.ndarray, least_cosine: float, linkage: str, weigh
     distance = 1 - np.clip(vectors @ vectors.T, -1, 1)
     np.fill_diagonal(distance, np.inf)
     n, size, label = len(vectors), np.ones(len(vectors)) if weights is None else weights.astype(float), np.arange(len(vectors))
+    # each row's nearest, the first of equal ones, so that a merge looks at the whole matrix no more
+    nearest = distance.argmin(1)
+    least = distance[label, nearest]
     while n > 1:
-        i, j = sorted(divmod(int(distance.argmin()), len(vectors)))
+        i = int(least.argmin())
+        j = int(nearest[i])
+        i, j = min(i, j), max(i, j)
         if not distance[i, j] < 1 - least_cosine:
             break
         merged = np.maximum(distance[i], distance[j]) if linkage == "complete" else (size[i] * distance[i] + size[j] * distance[j]) / (size[i] + size[j])
@@ -38,6 +43,13 @@ def linkage_labels(vectors: np.ndarray, least_cosine: float, linkage: str, weigh
         size[i] += size[j]
         label[label == label[j]] = label[i]
         n -= 1
+        lost = (nearest == i) | (nearest == j)
+        lost[[i, j]] = True
+        closer = ~lost & ((distance[:, i] < least) | (distance[:, i] == least) & (i < nearest))
+        nearest[closer], least[closer] = i, distance[closer, i]
+        for part in np.array_split(np.flatnonzero(lost), max(1, len(lost) * int(lost.sum()) // DISTANCES_AT_ONCE)):
+            nearest[part] = distance[part].argmin(1)
+            least[part] = distance[part, nearest[part]]
     return label
 
 
@@ -122,14 +134,41 @@ def split_groups(components: DataFrame, records: DataFrame, least_cosine: float,
     if not -1 <= least_cosine <= 1:
         raise ValueError("the cosine threshold lies in [-1, 1]")
 
-    def split(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("first")
-        if pdf["n"].sum() < 3 or pdf["embedding"].isna().any():
-            return pdf.assign(part=pdf["group_id"])[["first", "part"]]
-        labels = linkage_labels if len(pdf) <= most else chain_labels
-        pdf["label"] = labels(np.stack(pdf["embedding"].to_list()).astype(np.float64), least_cosine, linkage, pdf["n"].to_numpy())
-        pdf["part"] = pdf.groupby("label")["first"].transform("min")
-        return pdf[pdf.groupby("label")["n"].transform("sum") > 1][["first", "part"]]
+    def told(held: list) -> pa.RecordBatch:
+        """Parts of whole groups, which lie together in order of their first members."""
+        table = pa.Table.from_batches(held).combine_chunks()
+        group, first, n = (table[c].to_numpy() for c in ("group_id", "first", "n"))
+        edges = np.flatnonzero(np.diff(group, prepend=group[0] - 1, append=group[-1] + 1))
+        vectors = table["embedding"].combine_chunks()
+        whole = vectors.is_valid().to_numpy(zero_copy_only=False)
+        splits = (np.add.reduceat(n, edges[:-1]) > 2) & np.logical_and.reduceat(whole, edges[:-1])
+        part, stays = group.copy(), np.ones(len(group), bool)
+        for lo, hi in zip(edges[:-1][splits].tolist(), edges[1:][splits].tolist(), strict=True):
+            own = vectors.slice(lo, hi - lo).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(hi - lo, -1)
+            if hi - lo == 1:
+                label = np.zeros(1, int)
+            else:
+                label = (linkage_labels if hi - lo <= most else chain_labels)(own, least_cosine, linkage, n[lo:hi])
+            _, head, label = np.unique(label, return_index=True, return_inverse=True)
+            part[lo:hi] = first[lo:hi][head[label]]
+            stays[lo:hi] = (np.bincount(label, weights=n[lo:hi]) > 1)[label]
+        return pa.RecordBatch.from_arrays([pa.array(first[stays]), pa.array(part[stays])], ["first", "part"])
+
+    def split(batches):
+        held: list = []
+        for batch in batches:
+            groups = batch.column("group_id").to_numpy()
+            if not len(groups):
+                continue
+            last = int(np.searchsorted(groups, groups[-1]))  # where the group begins that may go on
+            if held and (last or groups[0] != held[-1].column("group_id")[-1].as_py()):
+                yield told([*held, batch.slice(0, last)] if last else held)
+                held = []
+            elif last:
+                yield told([batch.slice(0, last)])
+            held.append(batch.slice(last))
+        if held:
+            yield told(held)
 
     norm = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     # equal vectors are one row where their distance is 0 and in reach; others (zero vectors) stay apart by their idx
@@ -137,7 +176,8 @@ def split_groups(components: DataFrame, records: DataFrame, least_cosine: float,
     members = components.join(records.select("idx", F.col("embedding")), "idx")
     members = cut(members.select("idx", "group_id", "embedding", F.when(F.col("embedding").isNull() | alike, F.lit(-1)).otherwise(F.col("idx")).alias("own")))
     distinct = cut(members.groupBy("group_id", "embedding", "own").agg(F.min("idx").alias("first"), F.count(F.lit(1)).alias("n")))
-    parts = distinct.groupBy("group_id").applyInPandas(split, "first long, part long")
+    # groups under three, most of all, go through with the others: a task tells many groups at once
+    parts = distinct.repartition("group_id").sortWithinPartitions("group_id", "first").select("group_id", "first", "n", "embedding").mapInArrow(split, "first long, part long")
     # a vector may belong to very many members, which are dealt by a salt as well
     found = distinct.join(parts, "first").select(F.col("group_id").alias("_g"), F.col("embedding").alias("_e"), F.col("own").alias("_o"), "part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
     salted = members.withColumn("salt", F.pmod(F.xxhash64("idx"), F.lit(SALTS)).cast("int"))

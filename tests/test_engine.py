@@ -335,6 +335,68 @@ def test_agglomerative_rules(spark):
     assert len(set(linkage_labels(exact, float(exact[0] @ exact[1]) + 1e-12, "complete"))) == 2
 
 
+@pytest.mark.parametrize("linkage", ["complete", "average"])
+def test_merges_look_at_the_whole_matrix_once(linkage):
+    """The pair that merges is the first of the nearest ones in the matrix, ties included, without a look at all of it."""
+
+    def plain(v, reach, w):
+        d, label = 1 - np.clip(v @ v.T, -1, 1), np.arange(len(v))
+        np.fill_diagonal(d, np.inf)
+        size = w.astype(float)
+        for _ in range(len(v) - 1):
+            i, j = sorted(divmod(int(d.argmin()), len(v)))
+            if not d[i, j] < reach:
+                break
+            row = np.maximum(d[i], d[j]) if linkage == "complete" else (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
+            d[i], d[:, i] = row, row
+            d[i, i] = d[j] = d[:, j] = np.inf
+            size[i] += size[j]
+            label[label == label[j]] = label[i]
+        return label
+
+    rng = np.random.default_rng(17)
+    for digits in (1, 2, 9):
+        v = rng.normal(size=(120, 3))
+        v = np.round(v / np.linalg.norm(v, axis=1, keepdims=True), digits)
+        w = rng.integers(1, 5, 120)
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr("kindred.operators.cluster.DISTANCES_AT_ONCE", 500)
+            assert linkage_labels(v, 0.9, linkage, w).tolist() == plain(v, 1 - 0.9, w).tolist()
+    looks = []
+    seen = type("Seen", (np.ndarray,), {"argmin": lambda self, *a, **b: looks.append(self.shape) or np.asarray(self).argmin(*a, **b)})
+    linkage_labels(v.view(seen), 0.9, linkage, w)
+    assert looks.count((120, 120)) == 1
+
+
+@pytest.mark.parametrize("batch", [1, 3, 10_000])
+def test_agglomerative_tells_many_groups_at_once(spark, batch):
+    """Groups of every size, wherever a batch ends in them; none is a call of its own."""
+    rng = np.random.default_rng(16)
+    base = rng.normal(size=(40, 3))
+    v = base[rng.integers(0, 40, 200)] + 0.05 * rng.normal(size=(200, 3)) * (rng.random((200, 1)) < 0.7)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    heads = np.sort(rng.choice(200, 60, replace=False))
+    heads[0] = 0
+    group = heads[np.searchsorted(heads, np.arange(200), side="right") - 1]
+    rows = spark.createDataFrame([(i, int(group[i]), x.tolist() if i % 41 else None) for i, x in enumerate(v)], "idx long, group_id long, embedding array<double>")
+    want = {}
+    for g in heads:
+        own = np.flatnonzero(group == g)
+        if len(own) < 3 or (own % 41 == 0).any():
+            want |= dict.fromkeys(own.tolist(), int(g))
+            continue
+        for x in _sets(linkage_labels(v[own], 0.97, "complete")):
+            part = own[sorted(x)]
+            want |= dict.fromkeys(part.tolist(), int(part[0])) if len(part) > 1 else {}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        found = split_groups(rows.select("idx", "group_id"), rows.select("idx", "embedding"), 0.97)
+        assert "FlatMapGroups" not in found._jdf.queryExecution().optimizedPlan().toString()
+        assert {r.idx: r.group_id for r in found.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def _sets(labels):
     return {frozenset(np.flatnonzero(labels == x)) for x in set(labels)}
 
