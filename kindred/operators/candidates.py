@@ -236,7 +236,7 @@ class _Boxes:
     """Right rows near a box of left rows, by the leading axes of the left ones; what it leaves out is farther than `reach`."""
 
     def __init__(self, left: np.ndarray, right: np.ndarray, reach: float):
-        way = np.linalg.eigh(np.cov(left.T))[1][:, ::-1][:, :AXES]
+        way = np.linalg.eigh(np.atleast_2d(np.cov(left.T)))[1][:, ::-1][:, :AXES]
         self.left, self.right, self.reach = left @ way, np.ascontiguousarray((right @ way).T), reach + 1e-6
 
     def near(self, rows: np.ndarray) -> np.ndarray:

@@ -175,6 +175,9 @@ def test_tiles_meet_only_rows_near_their_box(monkeypatch, held):
         alone, none = candidates._best_of_both(rows, None, (floors, floors), k)
         assert told(alone) == want(rows, rows, floors, k) and none is None
         met.clear()
+    # vectors of one number have a box of one axis
+    one, other = candidates._best_of_both(np.sign(x[:, :1]), np.sign(y[:, :1]), (np.full(230, 0.97), np.full(len(y), 0.97)), 5)
+    assert told(one) == want(np.sign(x[:, :1]), np.sign(y[:, :1]), np.full(230, 0.97), 5)
 
 
 def test_near_fingerprints_by_bands():
